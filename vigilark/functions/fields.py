@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEADING_DATE = r"^\d{4}-\d{2}-\d{2}"
@@ -66,3 +66,14 @@ def to_time(text: Column) -> Column:
 def iso_epoch(text: Column) -> Column:
     """Epoch seconds of ISO text, 0.0 when it does not parse."""
     return F.coalesce(F.unix_micros(to_time(text)) / 1e6, F.lit(0.0))
+
+
+def once(rows: DataFrame, *names: str) -> DataFrame:
+    """The same rows with the named columns worked out once per row.
+
+    They pass through a one-element generator: Spark neither merges later
+    projections into them nor pushes filters on them below, either of which
+    would repeat a long expression for every mention.
+    """
+    rest = [c for c in rows.columns if c not in names]
+    return rows.select(*rest, F.inline(F.array(F.struct(*names))))

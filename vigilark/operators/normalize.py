@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark import dims
-from vigilark.functions.fields import (array_lit, iso_from_epoch, present_key, safe_int, safe_str,
-                                       to_time)
+from vigilark.functions.fields import (array_lit, iso_from_epoch, once, present_key, safe_int,
+                                       safe_str, to_time)
 
 ZEEK = ["zeek_conn", "zeek_dns", "zeek_http", "zeek_ssl"]
 
@@ -243,7 +243,11 @@ def normalize(identified: DataFrame, line: str = "line", extra_windows: bool = F
         for name, value in columns.items()
     ]
     extra = [name for name in keep if name in identified.columns]
-    return kept.select(*extra, "log_source", "format", *out, failed.alias("normalize_failed"))
+    rows = kept.select(*extra, "log_source", "format", *out, failed.alias("normalize_failed"))
+    # The hash stays outside so that jobs that do not need it never compute it.
+    carried = [*extra, "raw_payload", "sha256_hash"]
+    return once(rows.drop("sha256_hash"), *[c for c in rows.columns if c not in carried]).withColumn(
+        "sha256_hash", F.sha2("raw_payload", 256))
 
 
 def assign_uuids(lines: DataFrame, path: str = "source_path", line: str = "line",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilark.functions.fields import as_column
+from vigilark.functions.fields import as_column, once
 
 # ---- fixed values: patterns --------------------------------------------------------------
 KEY_VALUE = r'(?U)(\w+)=(?:"([^"]*?)"|(\S+))'
@@ -92,7 +92,7 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
                .rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(key))
         for key in TYPED_KEYS
     ]
-    return (
+    named = (
         parsed.withColumn("format", kind)
         .withColumn("fields", fields)
         .withColumn("numeric_keys", F.when(F.col("format") == "json",
@@ -100,6 +100,7 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
                     .otherwise(F.array().cast("array<string>")))
         .drop("_text", "_box", "_json", "_map", "_keys")
     )
+    return once(named, "format", "fields", "numeric_keys")
 
 
 def source_from_path(path: str | Column) -> Column:

@@ -38,8 +38,10 @@ def _bucketed(triggers: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Da
         F.explode(F.sequence(
             F.floor((F.col("event_epoch") - F.col("window_s")) / BUCKET_S),
             F.floor((F.col("event_epoch") + F.col("window_s")) / BUCKET_S))).alias("bucket"))
+    # Fresh aliases: triggers and candidates often come from the same table.
     right = candidates.select(
-        "id", "event_epoch", "embedding",
+        F.col("id").alias("id"), F.col("event_epoch").alias("event_epoch"),
+        F.col("embedding").alias("embedding"),
         F.floor(F.col("event_epoch") / BUCKET_S).alias("bucket"))
     return left, right
 
@@ -51,7 +53,7 @@ def temporal_candidates(triggers: DataFrame, candidates: DataFrame) -> DataFrame
     the window's ends, so no pair is ever formed.
     """
     tick = F.floor(F.col("event_epoch") * 1_000_000).cast("bigint")
-    width = F.col("window_s") * 1_000_000
+    width = F.col("window_s").cast("bigint") * 1_000_000
     marks = candidates.groupBy(tick.alias("at")).agg(F.count("*").alias("n")).select(
         "at", "n", F.lit(0).alias("sign"), F.lit("").alias("trigger_id"))
     edges = triggers.select(F.col("id").alias("trigger_id"), F.inline(F.array(

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import vigilark
+
 SETTINGS = {
     # Event times are compared as UTC everywhere.
     "spark.sql.session.timeZone": "UTC",
@@ -15,7 +18,6 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # A session merge or a local sort never needs more than this many bytes at once.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
 }
 
@@ -24,6 +26,9 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the jobs rely on; partition counts stay the cluster's choice."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    # The few functions that run in Python tasks travel with the job, so
+    # executors need no installed copy of the package.
+    cloudpickle.register_pickle_by_value(vigilark)
     return spark
 
 
