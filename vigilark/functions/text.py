@@ -13,37 +13,37 @@ from vigilark.operators.parse import strip
 BASIC_PATTERNS = [
     r"```[\s\S]*?```",
     r"`[^`]+`",
-    r"(?iu)(ignore|forget|disregard)\s+(all\s+)?(previous|above|prior)\s+"
+    r"(?iU)(ignore|forget|disregard)\s+(all\s+)?(previous|above|prior)\s+"
     r"(instructions?|prompts?|context)",
-    r"(?iu)you\s+are\s+now\s+a",
-    r"(?iu)system\s*:\s*",
-    r"(?iu)assistant\s*:\s*",
-    r"(?iu)user\s*:\s*",
-    r"(?iu)<\|.*?\|>",
-    r"(?ius)\[INST\].*?\[/INST\]",
-    r"(?ius)<<SYS>>.*?<</SYS>>",
-    r"(?iu)<script[\s>][\s\S]*?</script>",
-    r"(?iu)<iframe[\s>][\s\S]*?</iframe>",
+    r"(?iU)you\s+are\s+now\s+a",
+    r"(?iU)system\s*:\s*",
+    r"(?iU)assistant\s*:\s*",
+    r"(?iU)user\s*:\s*",
+    r"(?iU)<\|.*?\|>",
+    r"(?iUs)\[INST\].*?\[/INST\]",
+    r"(?iUs)<<SYS>>.*?<</SYS>>",
+    r"(?iU)<script[\s>][\s\S]*?</script>",
+    r"(?iU)<iframe[\s>][\s\S]*?</iframe>",
 ]
 ASCII_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 CODE_BLOCK = r"```[\s\S]*?```"
 STRICT_PATTERNS = [
-    r"(?iu)ignore\s+(all\s+)?previous\s+instructions?",
-    r"(?iu)system\s*:",
-    r"(?iu)assistant\s*:",
-    r"(?iu)user\s*:",
-    r"(?iu)<\|?(system|user|assistant|im_start|im_end)\|?>",
-    r"(?iu)\[INST\]",
-    r"(?iu)\[/INST\]",
-    r"(?iu)<<SYS>>",
-    r"(?iu)<</SYS>>",
-    r"(?iu)you\s+are\s+now\s+(a\s+)?",
-    r"(?iu)forget\s+(everything|all)",
-    r"(?iu)new\s+instructions?\s*:",
-    r"(?iu)override\s+(system|safety)",
-    r"(?iu)jailbreak",
-    r"(?iu)do\s+not\s+follow\s+(the\s+)?rules?",
-    r"(?iu)pretend\s+(you\s+are|to\s+be)",
+    r"(?iU)ignore\s+(all\s+)?previous\s+instructions?",
+    r"(?iU)system\s*:",
+    r"(?iU)assistant\s*:",
+    r"(?iU)user\s*:",
+    r"(?iU)<\|?(system|user|assistant|im_start|im_end)\|?>",
+    r"(?iU)\[INST\]",
+    r"(?iU)\[/INST\]",
+    r"(?iU)<<SYS>>",
+    r"(?iU)<</SYS>>",
+    r"(?iU)you\s+are\s+now\s+(a\s+)?",
+    r"(?iU)forget\s+(everything|all)",
+    r"(?iU)new\s+instructions?\s*:",
+    r"(?iU)override\s+(system|safety)",
+    r"(?iU)jailbreak",
+    r"(?iU)do\s+not\s+follow\s+(the\s+)?rules?",
+    r"(?iU)pretend\s+(you\s+are|to\s+be)",
 ]
 UNICODE_CONTROL = r"[\p{C}&&[^\n\r\t]]"
 SANITIZED_MAX_CHARS = 2000

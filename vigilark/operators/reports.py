@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark import dims
-from vigilark.functions.detect import bind
+from vigilark.functions.fields import once
 from vigilark.functions.text import chunk_message
 from vigilark.operators.parse import strip
 from vigilark.schema import REPORT
@@ -34,7 +34,9 @@ def evidence_bundles(triggers: DataFrame, hits: DataFrame) -> DataFrame:
     hint = F.when(F.length("mitre_technique_hint") > 0, F.concat(
         F.lit(" [MITRE hint: "), F.col("mitre_technique_hint"), F.lit("]"))).otherwise("")
     line = F.concat(
-        F.lit("[similarity="), F.format_string("%.3f", "similarity"), F.lit("] ["),
+        F.lit("[similarity="),
+        # format_number rounds the exact binary value, as the printed reports do.
+        F.call_function("format_number", F.col("similarity"), F.lit("0.000")), F.lit("] ["),
         F.col("event_timestamp"), F.lit("] "), F.col("synthetic_intent"), hint)
     listed = hits.select("trigger_id", F.struct("rank", line.alias("line")).alias("r")).groupBy(
         "trigger_id").agg(F.sort_array(F.collect_list("r")).alias("ranked"))
@@ -90,16 +92,14 @@ def parse_responses(responses: DataFrame, response: str = "response") -> DataFra
         .when(~F.coalesce(confidence.between(0.0, 1.0), F.lit(False)), "confidence outside 0 to 1")
         .when(bad_list | incomplete, "malformed list")
     )
-    parsed = responses.withColumn("_json", json_text(response)).withColumn("_box", boxed)
-    parsed = parsed.withColumn("_variant", F.when(
+    parsed = once(responses.withColumn("_json", json_text(response)), "_json")
+    parsed = parsed.withColumn("_box", boxed).withColumn("_variant", F.when(
         F.col("_json").rlike(r"^\{[\s\S]*\}$")
         & F.variant_get("_box", "$[1]", "string").isNull(),
         F.variant_get("_box", "$[0]", "variant")))
-    return (
-        parsed.withColumn("problem", problem)
-        .withColumn("report", F.when(F.col("problem").isNull(), report))
-        .drop("_json", "_box", "_variant")
-    )
+    judged = once(parsed, "_variant").withColumn("problem", problem)
+    return once(judged, "problem").withColumn(
+        "report", F.when(F.col("problem").isNull(), report)).drop("_json", "_box", "_variant")
 
 
 def first_valid(parsed: DataFrame) -> DataFrame:
@@ -109,11 +109,14 @@ def first_valid(parsed: DataFrame) -> DataFrame:
         F.min("attempt").alias("attempt"), F.min_by("report", "attempt").alias("report"))
 
 
-def fallback_report() -> Column:
-    """Report struct made of the trigger's own columns, used when no attempt was usable."""
+def fallback_report(columns: list[str]) -> Column:
+    """Report struct made of the trigger's own columns, used when no attempt was usable.
+
+    The user is read from ``user``, not ``user_account``; without such a column it is SYSTEM.
+    """
     intent = F.coalesce("synthetic_intent", F.lit("Suspicious activity detected"))
     host = F.coalesce("hostname", F.lit("UNKNOWN_HOST"))
-    user = F.coalesce("user_account", F.lit("SYSTEM"))
+    user = F.coalesce("user", F.lit("SYSTEM")) if "user" in columns else F.lit("SYSTEM")
     process = F.coalesce("process_name", F.lit("unknown"))
     when = F.date_format("event_timestamp", "yyyy-MM-dd'T'HH:mm:ss")
 
@@ -151,7 +154,7 @@ def final_reports(triggers: DataFrame, valid: DataFrame) -> DataFrame:
         F.col("id").alias("trigger_id"),
         F.coalesce("attempt", F.lit(MAX_ATTEMPTS)).alias("attempts"),
         F.col("report").isNull().alias("is_fallback"),
-        F.when(F.col("report").isNotNull(), chosen).otherwise(fallback_report()).alias("report"))
+        F.when(F.col("report").isNotNull(), chosen).otherwise(fallback_report(triggers.columns)).alias("report"))
 
 
 def _block(title: str | None, lines: Column, close: bool = True) -> Column:

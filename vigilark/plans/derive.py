@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from vigilark.functions.fields import array_lit
 
-K, U = F.col("event_id"), F.col("user_id")
+def _ids() -> tuple[Column, Column]:
+    return F.col("event_id"), F.col("user_id")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,7 +28,7 @@ def _text(value: Column) -> Column:
 
 
 def _step(divisor: int) -> Column:
-    return F.floor(K / divisor)
+    return F.floor(F.col("event_id") / divisor)
 
 
 PORTS = [443, 80, 4444, 22, 8443, 53, 3389, 31337, 8080, 25]
@@ -50,72 +51,74 @@ LISTED_HASH = "61c0810a23580cf492a6ba4f7654566108331e7a4134c968c2d6a05261b2d8a1"
 
 def sec_log(spark: SparkSession, folder: str) -> DataFrame:
     """Canonical rows, one per event."""
+    k, u = _ids()
     kind = F.col("event_type")
     event_type = (
-        F.when(K % 97 == 0, "PRIVILEGE_ESCALATION").when(K % 101 == 0, "EXFILTRATION_HINT")
-        .when(K % 103 == 0, "LATERAL_MOVEMENT_HINT").when(K % 107 == 0, "SERVICE_INSTALL")
-        .when(K % 109 == 0, "SCHEDULED_TASK").when(kind == "error", "AUTHENTICATION_FAILURE")
-        .when(kind == "signup", F.when(K % 3 == 0, "AUTHENTICATION_SUCCESS")
+        F.when(k % 97 == 0, "PRIVILEGE_ESCALATION").when(k % 101 == 0, "EXFILTRATION_HINT")
+        .when(k % 103 == 0, "LATERAL_MOVEMENT_HINT").when(k % 107 == 0, "SERVICE_INSTALL")
+        .when(k % 109 == 0, "SCHEDULED_TASK").when(kind == "error", "AUTHENTICATION_FAILURE")
+        .when(kind == "signup", F.when(k % 3 == 0, "AUTHENTICATION_SUCCESS")
               .otherwise("PROCESS_CREATION"))
-        .when(kind == "click", F.when(K % 4 == 0, "REGISTRY_WRITE").otherwise("HTTP_REQUEST"))
-        .when(kind == "view", F.when(K % 4 == 0, "FILE_WRITE").otherwise("DNS_QUERY"))
+        .when(kind == "click", F.when(k % 4 == 0, "REGISTRY_WRITE").otherwise("HTTP_REQUEST"))
+        .when(kind == "view", F.when(k % 4 == 0, "FILE_WRITE").otherwise("DNS_QUERY"))
         .otherwise("NETWORK_CONNECTION")
     )
     dest_ip = (
-        F.when(K % 53 == 0, "203.0.113.77")
-        .when(K % 5 == 0, F.concat(F.lit("192.168.1."), _text(K % 200)))
-        .when(K % 5 == 1, F.concat(F.lit("8.8."), _text(K % 8), F.lit(".8")))
-        .when(K % 5 == 3, F.concat(F.lit("2001:db8::"), _text(K % 10)))
-        .when(K % 5 == 4, F.concat(F.lit("52.10."), _text(U % 9), F.lit("."), _text(K % 30)))
+        F.when(k % 53 == 0, "203.0.113.77")
+        .when(k % 5 == 0, F.concat(F.lit("192.168.1."), _text(k % 200)))
+        .when(k % 5 == 1, F.concat(F.lit("8.8."), _text(k % 8), F.lit(".8")))
+        .when(k % 5 == 3, F.concat(F.lit("2001:db8::"), _text(k % 10)))
+        .when(k % 5 == 4, F.concat(F.lit("52.10."), _text(u % 9), F.lit("."), _text(k % 30)))
     )
     dns_query = (
-        F.when(U % 7 == 0, F.concat(F.substring(F.md5(_text(K)), 1, 24),
+        F.when(u % 7 == 0, F.concat(F.substring(F.md5(_text(k)), 1, 24),
                                     F.lit(".tunnel.example.net")))
-        .when(K % 6 == 0, "a.b.c.d.e.example.org")
-        .otherwise(F.concat(F.lit("www.site"), _text(U % 40), F.lit(".org")))
+        .when(k % 6 == 0, "a.b.c.d.e.example.org")
+        .otherwise(F.concat(F.lit("www.site"), _text(u % 40), F.lit(".org")))
     )
     rows = table(spark, folder, "events").select(
-        K, U, "value",
-        F.concat(F.lit("ev-"), F.lpad(_text(K), 12, "0")).alias("log_uuid"),
+        k, u, "value",
+        F.concat(F.lit("ev-"), F.lpad(_text(k), 12, "0")).alias("log_uuid"),
         F.col("ts").cast("timestamp").alias("event_timestamp"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("event_timestamp_raw"),
         event_type.alias("event_type"),
-        F.when(K % 211 == 0, "unknown_host").otherwise(
-            F.concat(F.lit("HOST-"), _text(U % 20))).alias("hostname"),
-        F.when(K % 17 != 0, F.concat(F.lit("user"), _text(U))).alias("user_account"),
-        F.concat(F.lit("10.0."), _text(U % 4), F.lit("."), _text(U % 250)).alias("source_ip"),
+        F.when(k % 211 == 0, "unknown_host").otherwise(
+            F.concat(F.lit("HOST-"), _text(u % 20))).alias("hostname"),
+        F.when(k % 17 != 0, F.concat(F.lit("user"), _text(u))).alias("user_account"),
+        F.concat(F.lit("10.0."), _text(u % 4), F.lit("."), _text(u % 250)).alias("source_ip"),
         dest_ip.alias("dest_ip"),
-        (K % 60000 + 1024).cast("int").alias("source_port"),
-        F.when(K % 5 != 2, _choice(PORTS, K % 10)).alias("dest_port"),
+        (k % 60000 + 1024).cast("int").alias("source_port"),
+        F.when(k % 5 != 2, _choice(PORTS, k % 10)).alias("dest_port"),
         _choice(PROCESSES, _step(10) % 10).alias("process_name"),
         _choice(PARENTS, _step(3) % 7).alias("parent_process_name"),
         _choice(ARGUMENTS, _step(7) % 8).alias("command_line_args"),
-        _choice([None, "1102", "4625", "104"], K % 4).alias("event_code"),
+        _choice([None, "1102", "4625", "104"], k % 4).alias("event_code"),
         _choice(FILES, _step(2) % 5).alias("file_path"),
         _choice(REGISTRY, _step(4) % 4).alias("registry_key"),
         dns_query.alias("dns_query"),
-        F.concat(F.lit("http://site"), _text(U % 30), F.lit(".example.com/"),
-                 _choice(URL_TAILS, K % 6)).alias("http_url"),
-        F.when(K % 2 == 0, "GET").otherwise("POST").alias("http_method"),
+        F.concat(F.lit("http://site"), _text(u % 30), F.lit(".example.com/"),
+                 _choice(URL_TAILS, k % 6)).alias("http_url"),
+        F.when(k % 2 == 0, "GET").otherwise("POST").alias("http_method"),
         (F.floor(F.col("value") * 1000) * 100).cast("bigint").alias("bytes_sent"),
         F.floor(F.col("value") * 10).cast("bigint").alias("bytes_received"),
-        F.when(K % 3 == 0, "DENY").otherwise("ALLOW").alias("action"),
-        F.when(K % 41 == 0, "P1").when(K % 43 == 0, "BENIGN").alias("severity_hint"),
+        F.when(k % 3 == 0, "DENY").otherwise("ALLOW").alias("action"),
+        F.when(k % 41 == 0, "P1").when(k % 43 == 0, "BENIGN").alias("severity_hint"),
         F.lit(None).cast("string").alias("mitre_technique_hint"),
         F.lit("").alias("synthetic_intent"),
     )
     payload = F.concat(
-        F.lit('{"id":'), _text(K), F.lit(',"host":"'), F.col("hostname"), F.lit('","cmd":"'),
+        F.lit('{"id":'), _text(k), F.lit(',"host":"'), F.col("hostname"), F.lit('","cmd":"'),
         F.coalesce("command_line_args", F.lit("")), F.lit('"'),
-        F.when(K % 61 == 0, f',"sha256":"{LISTED_HASH}"').otherwise(""), F.lit("}"))
+        F.when(k % 61 == 0, f',"sha256":"{LISTED_HASH}"').otherwise(""), F.lit("}"))
     return rows.withColumn("raw_payload", payload).withColumn(
         "sha256_hash", F.sha2("raw_payload", 256))
 
 
 def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(event_id, source_path, line): one line per event in a dozen shapes."""
+    k, u = _ids()
     rows = sec_log(spark, folder)
-    form, turn = K % 12, _step(12)
+    form, turn = k % 12, _step(12)
     escape = {c: F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\"))
               for c in ("command_line_args", "registry_key")}
     time = F.col("event_timestamp_raw")
@@ -124,7 +127,7 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
         return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(_text(p), F.lit(""))
                           for p in parts])
 
-    seconds = K * 37 + 1704067200
+    seconds = k * 37 + 1704067200
     text = (
         F.when(form == 0, line(
             '{"source":"sysmon","EventID":', _choice([1, 3, 10, 11, 13, 22, 99], turn % 7),
@@ -149,8 +152,8 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
             '{"ts":', seconds, '.5,"id.orig_h":"', F.col("source_ip"), '","query":"',
             F.col("dns_query"), '","host":"', F.col("hostname"), '"}'))
         .when(form == 4, line(
-            '{"source":"zeek_http","ts":"', time, '","host":"site', U % 30,
-            '.example.com","uri":"/', _choice(URL_TAILS, K % 6), '","method":"',
+            '{"source":"zeek_http","ts":"', time, '","host":"site', u % 30,
+            '.example.com","uri":"/', _choice(URL_TAILS, k % 6), '","method":"',
             F.col("http_method"), '","request_body_len":', F.col("bytes_sent"),
             ',"response_body_len":"', F.col("bytes_received"), '"}'))
         .when(form == 5, line(
@@ -166,13 +169,13 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
             '","severity":"', _choice(["P1", "high", "BENIGN"], turn % 3), '","timestamp":"',
             time, '"}'))
         .when(form == 8, line("<34>Jan  5 10:00:00 ", F.col("hostname"),
-                              " sshd[99]: Failed password for user", U))
-        .when(form == 9, line("plain text note ", K, " from ", F.col("hostname")))
+                              " sshd[99]: Failed password for user", u))
+        .when(form == 9, line("plain text note ", k, " from ", F.col("hostname")))
         .when(form == 10, F.lit("   "))
-        .otherwise(F.when(turn % 4 == 0, line("[", K, "]"))
-                   .when(turn % 4 == 1, line('{"a":', K))
-                   .when(turn % 4 == 2, line('{"a":', K, "} tail"))
-                   .otherwise(line('{"event_type":5,"hostname":"h', K % 9, '"}')))
+        .otherwise(F.when(turn % 4 == 0, line("[", k, "]"))
+                   .when(turn % 4 == 1, line('{"a":', k))
+                   .when(turn % 4 == 2, line('{"a":', k, "} tail"))
+                   .otherwise(line('{"event_type":5,"hostname":"h', k % 9, '"}')))
     )
     path = _choice(["/var/log/ops/agent.json", "/var/log/win/security.json", "/logs/zeek/conn.log",
                     "/logs/zeek/dns.log", "/srv/web/http.json", "/srv/tls/x.json",
@@ -183,21 +186,23 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines with many exact copies, as short application logs have."""
+    k, u = _ids()
     return table(spark, folder, "events").select(
-        F.concat(F.lit("app-"), _text(U % 3)).alias("source_path"),
-        F.concat(F.lit("login "), F.col("event_type"), F.lit(" host "), _text(U % 20)).alias("line"),
+        F.concat(F.lit("app-"), _text(u % 3)).alias("source_path"),
+        F.concat(F.lit("login "), F.col("event_type"), F.lit(" host "), _text(u % 20)).alias("line"),
         (_step(1000) * 1000).alias("block_start"))
 
 
 def scenario_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Numbered scenario lines with section headers, comments, blanks and bad JSON."""
+    k, u = _ids()
     line = (
-        F.when(K % 10 == 0, F.concat(F.lit("# === PHASE "), _text(_step(10)), F.lit(" ===")))
-        .when(K % 10 == 1, "# comment").when(K % 10 == 2, "").when(K % 10 == 3, "not json")
-        .otherwise(F.concat(F.lit('{"n":'), _text(K), F.lit("}"))))
+        F.when(k % 10 == 0, F.concat(F.lit("# === PHASE "), _text(_step(10)), F.lit(" ===")))
+        .when(k % 10 == 1, "# comment").when(k % 10 == 2, "").when(k % 10 == 3, "not json")
+        .otherwise(F.concat(F.lit('{"n":'), _text(k), F.lit("}"))))
     return table(spark, folder, "events").select(
-        F.concat(F.lit("scenario-"), _text(U % 5), F.lit(".log")).alias("source_path"),
-        K.alias("line_no"), line.alias("line"))
+        F.concat(F.lit("scenario-"), _text(u % 5), F.lit(".log")).alias("source_path"),
+        k.alias("line_no"), line.alias("line"))
 
 
 VECTOR_TYPES = ["PRIVILEGE_ESCALATION", "PROCESS_CREATION", "NETWORK_CONNECTION", "DNS_QUERY",
@@ -217,18 +222,19 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def dead_letter_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One dead letter per event in every state."""
-    payload = F.when(K % 31 == 0, "not json").otherwise(F.concat(
+    k, _ = _ids()
+    payload = F.when(k % 31 == 0, "not json").otherwise(F.concat(
         F.lit('{"log_uuid":"'), F.col("log_uuid"), F.lit('","event_type":"'),
-        F.when(K % 37 == 0, "NOT_A_TYPE").otherwise(F.col("event_type")), F.lit('"}')))
+        F.when(k % 37 == 0, "NOT_A_TYPE").otherwise(F.col("event_type")), F.lit('"}')))
     return sec_log(spark, folder).select(
-        F.concat(F.lit("dlq-"), _text(K)).alias("dlq_uuid"),
-        _choice(["INGESTION", "CORRELATION", "EMBEDDING"], K % 3).alias("work_type"),
+        F.concat(F.lit("dlq-"), _text(k)).alias("dlq_uuid"),
+        _choice(["INGESTION", "CORRELATION", "EMBEDDING"], k % 3).alias("work_type"),
         payload.alias("payload"),
-        _choice(["timeout", "bad schema", "unavailable", "disk full"], K % 4).alias("failure_reason"),
-        F.when(K % 19 == 0, "not a time").otherwise(
+        _choice(["timeout", "bad schema", "unavailable", "disk full"], k % 4).alias("failure_reason"),
+        F.when(k % 19 == 0, "not a time").otherwise(
             F.concat(F.replace(F.col("event_timestamp_raw"), F.lit(" "), F.lit("T")), F.lit("Z"))
         ).alias("failed_at"),
-        (K % 5).cast("int").alias("retry_count"), (K % 7 == 0).alias("resolved"))
+        (k % 5).cast("int").alias("retry_count"), (k % 7 == 0).alias("resolved"))
 
 
 def injected_texts(spark: SparkSession, folder: str) -> DataFrame:

@@ -177,9 +177,9 @@ def graph_export(spark, folder):
 @query("inject_rows")
 def inject_rows(spark, folder):
     asked = derive.sec_log(spark, folder).select(
-        "log_uuid", F.when(derive.K % 11 == 0, "NOT_A_TYPE").otherwise(F.col("event_type"))
+        "log_uuid", F.when(F.col("event_id") % 11 == 0, "NOT_A_TYPE").otherwise(F.col("event_type"))
         .alias("event_type"),
-        F.when(derive.K % 13 != 0, F.col("hostname")).alias("hostname"), "source_ip", "dest_ip",
+        F.when(F.col("event_id") % 13 != 0, F.col("hostname")).alias("hostname"), "source_ip", "dest_ip",
         F.col("raw_payload").alias("raw_line"))
     return normalize.inject_rows(asked)
 
@@ -249,21 +249,21 @@ def ingest_split(spark, folder):
 @query("validate_rows")
 def validate_rows(spark, folder):
     rows = derive.sec_log(spark, folder).select(
-        "log_uuid", F.when(derive.K % 71 != 0, F.col("event_timestamp")).alias("event_timestamp"),
-        F.when(derive.K % 73 == 0, "STRANGE").otherwise(F.col("event_type")).alias("event_type"),
-        F.when(derive.K % 79 != 0, F.col("hostname")).alias("hostname"),
-        F.when(derive.K % 83 == 0, "short").otherwise(F.col("sha256_hash")).alias("sha256_hash"),
+        "log_uuid", F.when(F.col("event_id") % 71 != 0, F.col("event_timestamp")).alias("event_timestamp"),
+        F.when(F.col("event_id") % 73 == 0, "STRANGE").otherwise(F.col("event_type")).alias("event_type"),
+        F.when(F.col("event_id") % 79 != 0, F.col("hostname")).alias("hostname"),
+        F.when(F.col("event_id") % 83 == 0, "short").otherwise(F.col("sha256_hash")).alias("sha256_hash"),
         "raw_payload", "source_port", "dest_port",
-        F.when(derive.K % 41 == 0, "HIGH").otherwise(F.col("severity_hint")).alias("severity_hint"),
-        (derive.K % 103 / 100).alias("confidence"))
+        F.when(F.col("event_id") % 41 == 0, "HIGH").otherwise(F.col("severity_hint")).alias("severity_hint"),
+        (F.col("event_id") % 103 / 100).alias("confidence"))
     return validate.violations(rows)
 
 
 @query("quarantine")
 def quarantine(spark, folder):
     rows = derive.sec_log(spark, folder).withColumns({
-        "event_type": F.when(derive.K % 73 == 0, "STRANGE").otherwise(F.col("event_type")),
-        "hostname": F.when(derive.K % 79 != 0, F.col("hostname"))})
+        "event_type": F.when(F.col("event_id") % 73 == 0, "STRANGE").otherwise(F.col("event_type")),
+        "hostname": F.when(F.col("event_id") % 79 != 0, F.col("hostname"))})
     return validate.quarantine(rows)[1].select(
         "log_uuid", F.array_join("broken_rules", ",").alias("broken_rules"))
 
@@ -371,8 +371,8 @@ def triage_route(spark, folder):
 @query("handoff_gate")
 def handoff_gate(spark, folder):
     stage = derive.sec_log(spark, folder).select(
-        "log_uuid", F.when(derive.K % 29 == 0, "timeline").otherwise("triage").alias("from_skill"),
-        F.when(derive.K % 23 == 0, "0.9.0").otherwise(dims.SCHEMA_VERSION).alias("schema_version"))
+        "log_uuid", F.when(F.col("event_id") % 29 == 0, "timeline").otherwise("triage").alias("from_skill"),
+        F.when(F.col("event_id") % 23 == 0, "0.9.0").otherwise(dims.SCHEMA_VERSION).alias("schema_version"))
     accepted, letters = severity.handoff_gate(stage, "triage")
     return accepted.select("log_uuid", F.lit("accepted").alias("outcome")).unionByName(
         letters.select(F.get_json_object("payload", "$.log_uuid").alias("log_uuid"),
@@ -758,7 +758,7 @@ def report_stats(spark, folder):
 @query("tamper_audit")
 def tamper_audit(spark, folder):
     stored = derive.sec_log(spark, folder).withColumn("raw_payload", F.when(
-        derive.K % 89 == 0, F.concat("raw_payload", F.lit(" "))).otherwise(F.col("raw_payload")))
+        F.col("event_id") % 89 == 0, F.concat("raw_payload", F.lit(" "))).otherwise(F.col("raw_payload")))
     return integrity.tamper_audit(stored).withColumn("event_date", F.col("event_date").cast("string"))
 
 
