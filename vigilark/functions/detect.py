@@ -1,4 +1,8 @@
-"""Predicates of the enrichment rules, written as column expressions."""
+"""Predicates of the enrichment rules.
+
+Each rule is written once as SQL text over a column name; the same text makes
+the column expression and the function registered for ``spark.sql``.
+"""
 
 from __future__ import annotations
 
@@ -8,132 +12,128 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from vigilark import dims
-from vigilark.functions.fields import array_lit, as_column
+from vigilark.functions.fields import array_lit, sql_text
 
 
-def shannon_entropy(text: str | Column) -> Column:
+def entropy_sql(name: str) -> str:
     """Bits per character of the whole string; 0 for null and empty text."""
-    text = as_column(text)
-    length = F.length(text)
-
-    def add(total: Column, char: Column) -> Column:
-        share = (length - F.length(F.replace(text, char, F.lit("")))) / length
-        return total - share * F.log2(share)
-
-    chars = F.array_distinct(F.split(text, ""))
-    return F.when(length > 0, F.aggregate(chars, F.lit(0.0), add)).otherwise(F.lit(0.0))
+    share = f"((length({name}) - length(replace({name}, ch, ''))) / length({name}))"
+    return (f"CASE WHEN length({name}) > 0 THEN aggregate(array_distinct(split({name}, '')), 0D, "
+            f"(total, ch) -> total - {share} * log2({share})) ELSE 0D END")
 
 
-def label_count(name: str | Column) -> Column:
-    return F.size(F.split(as_column(name), r"\."))
+def labels_sql(name: str) -> str:
+    return f"size(split({name}, '[.]'))"
 
 
-def looks_tunnelled(name: str | Column, threshold: float = dims.DNS_ENTROPY_THRESHOLD) -> Column:
+def tunnelled_sql(name: str, threshold: float = dims.DNS_ENTROPY_THRESHOLD) -> str:
     """High entropy or many labels; false for a missing or empty name."""
-    name = as_column(name)
-    suspicious = (label_count(name) > dims.DNS_LABEL_LIMIT) | (shannon_entropy(name) > threshold)
-    return F.coalesce((F.length(name) > 0) & suspicious, F.lit(False))
+    return (f"coalesce(length({name}) > 0 AND ({labels_sql(name)} > {dims.DNS_LABEL_LIMIT} "
+            f"OR {entropy_sql(name)} > {threshold}D), false)")
 
 
-def parent_domain(name: str | Column) -> Column:
-    """Text after the first label when there are at least three labels, else the whole name."""
-    name = as_column(name)
-    return F.when(label_count(name) >= 3, F.regexp_replace(name, r"^[^.]*\.", "")).otherwise(name)
-
+def sql_token_sql(url: str) -> str:
+    tests = " OR ".join(f"contains(upper({url}), {sql_text(t)})" for t in dims.SQL_TOKENS)
+    return f"coalesce({tests}, false)"
 
-def bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), 0)
 
+def system_dir_sql(path: str) -> str:
+    lowered = f"translate(lower({path}), '\\\\', '/')"
+    tests = " OR ".join(f"contains({lowered}, {sql_text(d)})" for d in dims.SYSTEM_DIRS)
+    return f"coalesce({tests}, false)"
 
-def ipv4_number(text: str | Column) -> Column:
-    """Address as a number, null unless it is four plain octets."""
-    text = as_column(text)
-    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    number = F.aggregate(F.split(text, r"\."), F.lit(0).cast("bigint"),
-                         lambda total, part: total * 256 + part.cast("bigint"))
-    return F.when(text.rlike(rf"^{octet}\.{octet}\.{octet}\.{octet}$"), number)
 
+def web_server_sql(name: str, servers=tuple(dims.INTENT_WEB_SERVERS)) -> str:
+    listed = ", ".join(sql_text(s.lower()) for s in servers)
+    return f"coalesce(lower({name}) IN ({listed}), false)"
 
-def ipv6_groups(text: str | Column) -> Column:
-    """The eight 16-bit groups of an address, null when it is not one.
 
-    ``::`` is filled up with as many zero groups as are missing; every other
-    count of groups is refused by the shape test.
-    """
-    text = F.lower(as_column(text))
-    shape = (text.rlike(r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4}){7}"
-                        r"|([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)$"))
-    named = F.regexp_count(text, F.lit("[0-9a-f]+"))
-    zeros = F.repeat(F.lit(":0"), F.greatest(8 - named, F.lit(0)))
-    filled = F.when(text.contains("::"), F.replace(text, F.lit("::"), F.concat(zeros, F.lit(":")))
-                    ).otherwise(text)
-    numbers = F.transform(F.regexp_extract_all(filled, F.lit("[0-9a-f]+"), F.lit(0)),
-                          lambda g: F.conv(g, 16, 10).cast("int"))
-    return F.when(shape & (~text.contains("::") | (named < 8)), numbers)
-
-
-def _in_v4(number: Column, block: str) -> Column:
+def _v4_test(block: str) -> str:
     net = ipaddress.ip_network(block)
-    return number.between(int(net.network_address), int(net.broadcast_address))
+    return f"n BETWEEN {int(net.network_address)} AND {int(net.broadcast_address)}"
 
 
-def _in_v6(groups: Column, block: str) -> Column:
+def _v6_test(block: str) -> str:
+    """Group-wise range test; groups that may hold anything are left out."""
     net = ipaddress.ip_network(block)
     low, high = int(net.network_address), int(net.broadcast_address)
-    inside = F.lit(True)
+    tests = []
     for i in range(8):
         shift = 16 * (7 - i)
         first, last = (low >> shift) & 0xFFFF, (high >> shift) & 0xFFFF
         if (first, last) != (0, 0xFFFF):
-            inside = inside & F.get(groups, i).between(first, last)
-    return inside
+            tests.append(f"g[{i}] BETWEEN {first} AND {last}")
+    return "(" + " AND ".join(tests) + ")"
+
+
+def _inside(test, blocks: list[str], exceptions: list[str]) -> str:
+    return (f"({' OR '.join(test(b) for b in blocks)}) AND NOT "
+            f"({' OR '.join(test(b) for b in exceptions)})")
 
 
-def _inside(value: Column, test, blocks: list[str], exceptions: list[str]) -> Column:
-    hit = F.lit(False)
-    for block in blocks:
-        hit = hit | test(value, block)
-    for block in exceptions:
-        hit = hit & ~test(value, block)
-    return hit
+def private_ip_sql(text: str) -> str:
+    """True inside the private blocks, false elsewhere and for text that is no address.
+
+    The parsed address is bound to a lambda variable, so it is worked out once
+    per row however many blocks it is compared with.
+    """
+    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    hextet = "[0-9a-f]{1,4}"
+    plain = rf"regexp_replace({text}, r'(?i)^::ffff:(?=\d+\.\d+\.\d+\.\d+$)', '')"
+    number = (rf"CASE WHEN {plain} RLIKE r'^{octet}\.{octet}\.{octet}\.{octet}$' THEN "
+              f"aggregate(split({plain}, '[.]'), 0L, (total, part) -> total * 256 + cast(part AS bigint)) END")
+    v4 = _inside(_v4_test, dims.PRIVATE_V4, dims.PUBLIC_V4_EXCEPTIONS)
+    low = f"lower({text})"
+    shape = (f"{low} RLIKE '^({hextet}(:{hextet}){{7}}|({hextet}(:{hextet})*)?::({hextet}(:{hextet})*)?)$'")
+    named = f"regexp_count({low}, '[0-9a-f]+')"
+    # "::" is filled up with the missing zero groups.
+    filled = (f"CASE WHEN contains({low}, '::') THEN replace({low}, '::', "
+              f"concat(repeat(':0', greatest(8 - {named}, 0)), ':')) ELSE {low} END")
+    groups = (f"CASE WHEN {shape} AND (NOT contains({low}, '::') OR {named} < 8) THEN transform("
+              f"regexp_extract_all({filled}, '[0-9a-f]+', 0), h -> cast(conv(h, 16, 10) AS int)) END")
+    v6 = _inside(_v6_test, dims.PRIVATE_V6, dims.PUBLIC_V6_EXCEPTIONS)
+    return (f"coalesce(CASE WHEN contains({text}, ':') AND NOT contains({text}, '.') "
+            f"THEN transform(array({groups}), g -> {v6})[0] "
+            f"ELSE transform(array({number}), n -> {v4})[0] END, false)")
+
+
+def shannon_entropy(name: str) -> Column:
+    return F.expr(entropy_sql(name))
+
+
+def label_count(name: str) -> Column:
+    return F.expr(labels_sql(name))
+
+
+def looks_tunnelled(name: str, threshold: float = dims.DNS_ENTROPY_THRESHOLD) -> Column:
+    return F.expr(tunnelled_sql(name, threshold))
+
+
+def parent_domain(name: str) -> Column:
+    """Text after the first label when there are at least three labels, else the whole name."""
+    return F.expr(f"CASE WHEN {labels_sql(name)} >= 3 THEN regexp_replace({name}, '^[^.]*[.]', '') "
+                  f"ELSE {name} END")
 
 
-def is_private_ip(text: str | Column) -> Column:
-    """True inside the private blocks, false elsewhere and for text that is no address."""
-    text = as_column(text)
-    plain = F.regexp_replace(text, r"(?i)^::ffff:(?=\d+\.\d+\.\d+\.\d+$)", "")
-    v4 = bind(ipv4_number(plain), lambda n: _inside(
-        n, _in_v4, dims.PRIVATE_V4, dims.PUBLIC_V4_EXCEPTIONS))
-    v6 = bind(ipv6_groups(text), lambda g: _inside(
-        g, _in_v6, dims.PRIVATE_V6, dims.PUBLIC_V6_EXCEPTIONS))
-    # The longer IPv6 test only runs on text with a colon and no dots.
-    return F.coalesce(F.when(text.contains(":") & ~text.contains("."), v6).otherwise(v4),
-                      F.lit(False))
+def is_private_ip(text: str) -> Column:
+    return F.expr(private_ip_sql(text))
 
 
-def has_sql_token(text: str | Column) -> Column:
-    upper = F.upper(as_column(text))
-    found = F.lit(False)
-    for token in dims.SQL_TOKENS:
-        found = found | upper.contains(token)
-    return F.coalesce(found, F.lit(False))
+def has_sql_token(url: str) -> Column:
+    return F.expr(sql_token_sql(url))
 
 
-def in_system_dir(path: str | Column) -> Column:
-    lowered = F.translate(F.lower(as_column(path)), "\\", "/")
-    found = F.lit(False)
-    for folder in dims.SYSTEM_DIRS:
-        found = found | lowered.contains(folder)
-    return F.coalesce(found, F.lit(False))
+def in_system_dir(path: str) -> Column:
+    return F.expr(system_dir_sql(path))
 
 
-def base_name(path: str | Column) -> Column:
-    return F.element_at(F.split(as_column(path), r"[\\/]"), -1)
+def is_web_server(name: str, servers=tuple(dims.INTENT_WEB_SERVERS)) -> Column:
+    return F.expr(web_server_sql(name, servers))
 
 
-def is_web_server(name: str | Column, servers=tuple(dims.INTENT_WEB_SERVERS)) -> Column:
-    return F.coalesce(F.lower(as_column(name)).isin(*[s.lower() for s in servers]), F.lit(False))
+def base_name(path: str) -> Column:
+    """Last part of a path with either kind of slash."""
+    return F.element_at(F.split(path, r"[\\/]"), -1)
 
 
 def contains_any(text: Column, needles) -> Column:
@@ -145,29 +145,19 @@ def contains_any(text: Column, needles) -> Column:
 
 
 SQL_FUNCTIONS = {
-    "dns_entropy": """
-        CREATE OR REPLACE TEMPORARY FUNCTION dns_entropy(name STRING) RETURNS DOUBLE
-        RETURN CASE WHEN length(name) > 0 THEN aggregate(
-            array_distinct(split(name, '')), 0D,
-            (total, ch) -> total - (length(name) - length(replace(name, ch, ''))) / length(name)
-                * log2((length(name) - length(replace(name, ch, ''))) / length(name)))
-        ELSE 0D END""",
-    "dns_labels": """
-        CREATE OR REPLACE TEMPORARY FUNCTION dns_labels(name STRING) RETURNS INT
-        RETURN size(split(name, '[.]'))""",
-    "is_system_path": "CREATE OR REPLACE TEMPORARY FUNCTION is_system_path(path STRING) "
-                      "RETURNS BOOLEAN RETURN coalesce(exists(array(%s), "
-                      "d -> contains(translate(lower(path), '\\\\', '/'), d)), false)"
-                      % ", ".join(f"'{d}'" for d in dims.SYSTEM_DIRS),
-    "has_sql_syntax": "CREATE OR REPLACE TEMPORARY FUNCTION has_sql_syntax(url STRING) "
-                      "RETURNS BOOLEAN RETURN coalesce(exists(array(%s), "
-                      "t -> contains(upper(url), t)), false)"
-                      % ", ".join(f"'{t}'" for t in dims.SQL_TOKENS),
+    "dns_entropy": ("DOUBLE", entropy_sql),
+    "dns_labels": ("INT", labels_sql),
+    "dns_suspicious": ("BOOLEAN", tunnelled_sql),
+    "is_private_address": ("BOOLEAN", private_ip_sql),
+    "is_system_path": ("BOOLEAN", system_dir_sql),
+    "has_sql_syntax": ("BOOLEAN", sql_token_sql),
+    "is_web_server": ("BOOLEAN", web_server_sql),
 }
 
 
 def register_sql_functions(spark: SparkSession) -> list[str]:
     """Make the predicates callable from ``spark.sql`` as SQL functions (no Python at run time)."""
-    for statement in SQL_FUNCTIONS.values():
-        spark.sql(statement)
+    for name, (kind, text) in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} "
+                  f"RETURN {text('x')}")
     return list(SQL_FUNCTIONS)

@@ -14,13 +14,28 @@ def as_column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def sql_text(value) -> str:
+    """A Python value as SQL literal text."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(sql_text(v) for v in value) + ")"
+    if isinstance(value, dict):
+        return "map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in value.items()) + ")"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
 def array_lit(values: Iterable) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A literal array in one expression (a call per element would cost more than the query)."""
+    return F.expr(sql_text(list(values)))
 
 
-def present_key(fields: Column, keys: Column) -> Column:
-    """The first of ``keys`` that the map holds, even when its value is null."""
-    return F.get(F.filter(keys, lambda k: F.map_contains_key(fields, k)), 0)
+def map_lit(table: dict) -> Column:
+    return F.expr(sql_text(table))
 
 
 def pick(fields: str | Column, *keys: str, default: str | None = None) -> Column:
@@ -37,16 +52,6 @@ def safe_str(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def safe_int(value: Column, kind: str = "int") -> Column:
-    """Whole number or null; never an error."""
-    return F.trim(value).try_cast(kind)
-
-
-def or_unknown(name: str | Column) -> Column:
-    """Text for a template: null reads as ``unknown``, empty text stays empty."""
-    return F.coalesce(as_column(name).cast("string"), F.lit("unknown"))
-
-
 def iso_from_epoch(seconds: Column) -> Column:
     """UTC ISO text; the fraction appears only when there is one."""
     stamp = F.timestamp_micros(F.round(seconds * 1_000_000).cast("bigint"))

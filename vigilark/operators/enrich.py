@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilark import dims
 from vigilark.functions import detect
-from vigilark.functions.fields import or_unknown
+from vigilark.functions.fields import sql_text
 
 # ---- fixed values: sentences -------------------------------------------------------------
 # {name} reads a column, null as "unknown".
@@ -55,66 +55,69 @@ OPT_IN_SENTENCES = {
 OPT_IN_HINTS = {"SERVICE_INSTALL": "T1543.003", "SCHEDULED_TASK": "T1053.005"}
 
 
-def fill(sentence: str, time_column: str = "event_timestamp") -> Column:
-    """A sentence with its {placeholders} replaced by null-safe columns."""
+def fill(sentence: str, time_column: str = "event_timestamp_raw") -> str:
+    """SQL text of a sentence with its {placeholders} read null-safely from columns."""
     parts = []
     for piece in sentence.split("{"):
         name, closed, rest = piece.partition("}")
         if closed:
-            parts.append(or_unknown(time_column if name == "event_timestamp" else name))
-            parts.append(F.lit(rest))
+            column = time_column if name == "event_timestamp" else name
+            parts.append(f"coalesce(cast({column} AS string), 'unknown')")
+            parts.append(sql_text(rest))
         else:
-            parts.append(F.lit(piece))
-    return F.concat(*parts)
+            parts.append(sql_text(piece))
+    return f"concat({', '.join(parts)})"
+
+
+ARGS = "lower(coalesce(command_line_args, ''))"
+KEY = "coalesce(registry_key, 'unknown')"
+LSASS = "coalesce(contains(lower(process_name), 'lsass'), false)"
 
 
 def _rules(entropy_threshold: float, web_servers: list[str]) -> dict[str, list]:
-    """(condition, added sentence, hint) per event type; the last match gives the hint."""
-    args = F.lower(F.coalesce("command_line_args", F.lit("")))
-    key = or_unknown("registry_key")
+    """(condition, added sentence, hint) per event type; the last match gives the hint.
+
+    The added sentence uses the same placeholders as the main ones.
+    """
     return {
         "PROCESS_CREATION": [
-            (F.length("command_line_args") > 0,
-             F.concat(F.lit(" Command line arguments indicate "), F.col("command_line_args"),
-                      F.lit(".")), None),
-            (args.contains("vssadmin") & args.contains("delete"),
+            ("length(command_line_args) > 0",
+             " Command line arguments indicate {command_line_args}.", None),
+            (f"contains({ARGS}, 'vssadmin') AND contains({ARGS}, 'delete')",
              " Shadow copies deleted — ransomware preparation or anti-forensics.", "T1490"),
-            (args.contains("wevtutil") & args.contains("cl"),
+            (f"contains({ARGS}, 'wevtutil') AND contains({ARGS}, 'cl')",
              " Event log cleared via wevtutil.", "T1070.001"),
-            (args.contains("bcdedit") & args.contains("recoveryenabled no"),
+            (f"contains({ARGS}, 'bcdedit') AND contains({ARGS}, 'recoveryenabled no')",
              " Boot recovery disabled.", "T1490"),
-            (detect.is_web_server(or_unknown("parent_process_name"), web_servers),
+            (detect.web_server_sql("coalesce(parent_process_name, 'unknown')", web_servers),
              " Parent process is a web server — possible web shell execution.", "T1505.003"),
         ],
         "NETWORK_CONNECTION": [
-            (F.col("dest_port") == 443, " Connection is HTTPS-encrypted.", None),
-            (detect.is_private_ip("dest_ip"),
+            ("dest_port = 443", " Connection is HTTPS-encrypted.", None),
+            (detect.private_ip_sql("dest_ip"),
              " Destination is an internal host — possible lateral movement.", "T1021"),
         ],
         "DNS_QUERY": [
-            (detect.looks_tunnelled("dns_query", entropy_threshold),
+            (detect.tunnelled_sql("dns_query", entropy_threshold),
              " Domain has high entropy — possible DNS tunneling or DGA activity.", "T1071.004"),
         ],
         "HTTP_REQUEST": [
-            (detect.has_sql_token("http_url"),
+            (detect.sql_token_sql("http_url"),
              " URL contains SQL syntax — possible injection attempt.", None),
         ],
         "FILE_WRITE": [
-            (detect.in_system_dir("file_path"),
+            (detect.system_dir_sql("file_path"),
              " Target is a protected system directory — possible persistence mechanism.",
              "T1543"),
         ],
-        "PRIVILEGE_ESCALATION": [
-            (F.lit(True), "", "T1055"),
-            (F.lower(F.col("process_name")).contains("lsass"), "", "T1003.001"),
-        ],
+        "PRIVILEGE_ESCALATION": [("true", "", "T1055"), (LSASS, "", "T1003.001")],
         "REGISTRY_WRITE": [
-            (key.contains("Run"), " Registry run key persistence detected.", "T1547.001"),
-            (key.contains("DisableAntiSpyware") | key.contains("DisableRealtimeMonitoring"),
+            (f"contains({KEY}, 'Run')", " Registry run key persistence detected.", "T1547.001"),
+            (f"contains({KEY}, 'DisableAntiSpyware') OR contains({KEY}, 'DisableRealtimeMonitoring')",
              " Antivirus disabled via registry.", "T1562.001"),
         ],
-        "EXFILTRATION_HINT": [(F.lit(True), "", "T1070.001")],
-        "LATERAL_MOVEMENT_HINT": [(F.lit(True), "", "T1021")],
+        "EXFILTRATION_HINT": [("true", "", "T1070.001")],
+        "LATERAL_MOVEMENT_HINT": [("true", "", "T1021")],
     }
 
 
@@ -125,28 +128,28 @@ def enrich(rows: DataFrame, entropy_threshold: float = dims.DNS_ENTROPY_THRESHOL
 
     ``opt_in`` adds the declared sentences for service installs and scheduled tasks.
     """
-    kind = F.col("event_type")
     sentences = {**SENTENCES, **(OPT_IN_SENTENCES if opt_in else {})}
     rules = _rules(entropy_threshold, web_servers or dims.INTENT_WEB_SERVERS)
     if opt_in:
-        rules.update({t: [(F.lit(True), "", hint)] for t, hint in OPT_IN_HINTS.items()})
+        rules.update({t: [("true", "", hint)] for t, hint in OPT_IN_HINTS.items()})
 
-    text, hint = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
+    texts, hints = [], []
     for name, sentence in sentences.items():
         base = fill(sentence, time_column)
         if name == "PRIVILEGE_ESCALATION":
-            lsass = F.coalesce(F.lower(F.col("process_name")).contains("lsass"), F.lit(False))
-            base = F.when(lsass, fill(CREDENTIAL_DUMP)).otherwise(base)
-        added = [F.when(cond, extra if isinstance(extra, Column) else F.lit(extra)).otherwise("")
-                 for cond, extra, _ in rules.get(name, []) if not isinstance(extra, str) or extra]
-        text = text.when(kind == name, F.concat(base, *added) if added else base)
-        hints = [F.when(cond, F.lit(technique))
+            base = f"CASE WHEN {LSASS} THEN {fill(CREDENTIAL_DUMP)} ELSE {base} END"
+        added = [f"CASE WHEN {cond} THEN {fill(extra)} ELSE '' END"
+                 for cond, extra, _ in rules.get(name, []) if extra]
+        texts.append(f"WHEN '{name}' THEN concat({', '.join([base, *added])})")
+        found = [f"WHEN {cond} THEN '{technique}'"
                  for cond, _, technique in reversed(rules.get(name, [])) if technique]
-        if hints:
-            hint = hint.when(kind == name, F.coalesce(*hints))
+        if found:
+            hints.append(f"WHEN '{name}' THEN CASE {' '.join(found)} END")
     return rows.withColumns({
-        "synthetic_intent": text.otherwise(fill(FALLBACK, time_column)),
-        "mitre_technique_hint": F.coalesce(hint, F.col("mitre_technique_hint")),
+        "synthetic_intent": F.expr(
+            f"CASE event_type {' '.join(texts)} ELSE {fill(FALLBACK, time_column)} END"),
+        "mitre_technique_hint": F.expr(
+            f"coalesce(CASE event_type {' '.join(hints)} END, mitre_technique_hint)"),
     })
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark import dims
+from vigilark.functions.fields import map_lit
 
 NO_HOST = "unknown_host"
 NO_VALUE = "unknown"
@@ -133,7 +134,7 @@ def risk_level(score: Column) -> Column:
 
 
 def _map(table: dict[str, str], key: Column, default: str) -> Column:
-    literal = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    literal = map_lit(table)
     return F.coalesce(literal[key], F.lit(default))
 
 

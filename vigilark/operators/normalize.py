@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark import dims
-from vigilark.functions.fields import (array_lit, iso_from_epoch, once, present_key, safe_int,
-                                       safe_str, to_time)
+from vigilark.functions.fields import (iso_from_epoch, map_lit, once, safe_str, sql_text,
+                                       to_time)
 
 ZEEK = ["zeek_conn", "zeek_dns", "zeek_http", "zeek_ssl"]
 
@@ -105,14 +105,18 @@ FIXED_TYPES = {"zeek_conn": "NETWORK_CONNECTION", "zeek_dns": "DNS_QUERY",
 LOG_CLEARED_CODES = ["1102", "104"]
 
 
-def _lookup(table: dict[str, object], column: Column) -> Column:
-    """Literal map lookup, null on a miss."""
-    literal = {k: array_lit(v) if isinstance(v, list) else F.lit(v) for k, v in table.items()}
-    return F.create_map(*[x for k, v in literal.items() for x in (F.lit(k), v)])[column]
+def _keys(table: dict[str, list[str]]) -> str:
+    """SQL text of the candidate keys of a row's branch, null when it has none."""
+    return f"{sql_text(table)}[_branch]"
 
 
-def _value(keys: Column) -> Column:
-    return F.col("fields")[present_key(F.col("fields"), keys)]
+def _present(table: dict[str, list[str]]) -> str:
+    """SQL text of the first candidate key that the map holds, even when its value is null."""
+    return f"get(filter({_keys(table)}, k -> map_contains_key(fields, k)), 0)"
+
+
+def _value(table: dict[str, list[str]]) -> str:
+    return f"fields[{_present(table)}]"
 
 
 def event_types(parsed: DataFrame, extra_windows: bool = False) -> DataFrame:
@@ -141,15 +145,13 @@ def normalize(identified: DataFrame, line: str = "line", extra_windows: bool = F
         F.col("log_source"))
     kept = kept.withColumn("_branch", branch)
 
-    picked = {name: safe_str(_value(_lookup(table, F.col("_branch"))))
-              for name, table in TEXT_KEYS.items()}
-    picked["hostname"] = _value(_lookup(TEXT_KEYS["hostname"], F.col("_branch")))
+    picked = {name: F.expr(f"nullif({_value(table)}, '')") for name, table in TEXT_KEYS.items()}
+    picked["hostname"] = F.expr(_value(TEXT_KEYS["hostname"]))
     picked.update({
-        name: safe_int(_value(_lookup(table, F.col("_branch"))), NUMBER_TYPES.get(name, "int"))
+        name: F.expr(f"try_cast(trim({_value(table)}) AS {NUMBER_TYPES.get(name, 'int')})")
         for name, table in NUMBER_KEYS.items()
     })
-    time_key = F.get(F.filter(_lookup(TIME_KEYS, F.col("_branch")),
-                              lambda k: fields[k].isNotNull()), 0)
+    time_key = F.expr(f"get(filter({_keys(TIME_KEYS)}, k -> fields[k] IS NOT NULL), 0)")
     kept = kept.withColumns({**picked, "_time_key": time_key})
     kept = event_types(kept, extra_windows)
 
@@ -170,13 +172,13 @@ def normalize(identified: DataFrame, line: str = "line", extra_windows: bool = F
     failed = unknown & (given.isNull() | F.array_contains("numeric_keys", "event_type"))
     kind = (
         F.when(unknown, F.when(given.isin(*dims.EVENT_TYPES), given).otherwise("UNKNOWN"))
-        .otherwise(F.coalesce(_lookup(FIXED_TYPES, F.col("_branch")), F.col("mapped_type")))
+        .otherwise(F.coalesce(map_lit(FIXED_TYPES)[F.col("_branch")], F.col("mapped_type")))
     )
     source_image = field_or("SourceImage", "")
     opener = F.when(F.length(source_image) > 0,
                     F.element_at(F.split(source_image, r"\\"), -1)).otherwise("unknown")
-    has_process_key = present_key(fields, _lookup(TEXT_KEYS["process_name"], F.col("_branch")))
-    process = F.when(has_process_key.isNull(), _lookup(PROCESS_DEFAULTS, F.col("_branch"))
+    has_process_key = F.expr(_present(TEXT_KEYS["process_name"]))
+    process = F.when(has_process_key.isNull(), map_lit(PROCESS_DEFAULTS)[F.col("_branch")]
                      ).otherwise(F.col("process_name"))
     process = (
         F.when(cleared, "wevtutil.exe")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark import dims
-from vigilark.functions.fields import once
+from vigilark.functions.fields import map_lit, once
 from vigilark.functions.text import chunk_message
 from vigilark.operators.parse import strip
 from vigilark.schema import REPORT
@@ -166,12 +166,12 @@ def _block(title: str | None, lines: Column, close: bool = True) -> Column:
 
 
 def _names(table: dict[str, str]):
-    literal = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    literal = map_lit(table)
     return lambda key: F.coalesce(literal[key], key)
 
 
 def _header(table: dict[str, str]) -> Column:
-    literal = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    literal = map_lit(table)
     return F.coalesce(literal[F.col("severity")], F.lit(table["P1"]))
 
 

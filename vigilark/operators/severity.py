@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vigilark import dims
 from vigilark.dims import ThreatConfig
 from vigilark.functions.detect import contains_any
-from vigilark.functions.fields import array_lit
+from vigilark.functions.fields import map_lit
 
 
 def _true(condition: Column) -> Column:
@@ -32,7 +32,7 @@ def queue_severity(rows: DataFrame) -> DataFrame:
         .when((kind == "FILE_WRITE") & intent.contains("system directory"), "P2")
         .otherwise(F.coalesce("severity_hint", F.lit("BENIGN")))
     )
-    priority = F.create_map(*[F.lit(x) for pair in dims.QUEUE_PRIORITY.items() for x in pair])
+    priority = map_lit(dims.QUEUE_PRIORITY)
     return rows.withColumn("severity", severity).withColumn("priority", priority[F.col("severity")])
 
 

@@ -124,8 +124,7 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
     time = F.col("event_timestamp_raw")
 
     def line(*parts) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(_text(p), F.lit(""))
-                          for p in parts])
+        return F.concat_ws("", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
     seconds = k * 37 + 1704067200
     text = (
