@@ -105,18 +105,35 @@ FIXED_TYPES = {"zeek_conn": "NETWORK_CONNECTION", "zeek_dns": "DNS_QUERY",
 LOG_CLEARED_CODES = ["1102", "104"]
 
 
-def _keys(table: dict[str, list[str]]) -> str:
-    """SQL text of the candidate keys of a row's branch, null when it has none."""
-    return f"{sql_text(table)}[_branch]"
+def _by_branch(table: dict[str, list[str]], chain) -> str:
+    """SQL text that handles each branch's candidate keys with ``chain``; null for other branches."""
+    branches: dict[str, list[str]] = {}
+    for source, keys in table.items():
+        branches.setdefault(chain(keys), []).append(source)
+    cases = [f"WHEN _branch IN ({', '.join(sql_text(s) for s in sources)}) THEN {text}"
+             for text, sources in branches.items()]
+    return f"CASE {' '.join(cases)} END"
 
 
-def _present(table: dict[str, list[str]]) -> str:
-    """SQL text of the first candidate key that the map holds, even when its value is null."""
-    return f"get(filter({_keys(table)}, k -> map_contains_key(fields, k)), 0)"
+def _first_present(keys: list[str]) -> str:
+    """Value of the first key the map holds, even when that value is null."""
+    return "CASE " + " ".join(
+        f"WHEN map_contains_key(fields, {sql_text(k)}) THEN fields[{sql_text(k)}]" for k in keys
+    ) + " END"
+
+
+def _any_present(keys: list[str]) -> str:
+    return "(" + " OR ".join(f"map_contains_key(fields, {sql_text(k)})" for k in keys) + ")"
+
+
+def _first_non_null(keys: list[str]) -> str:
+    """Name of the first key with a value."""
+    return "CASE " + " ".join(
+        f"WHEN fields[{sql_text(k)}] IS NOT NULL THEN {sql_text(k)}" for k in keys) + " END"
 
 
 def _value(table: dict[str, list[str]]) -> str:
-    return f"fields[{_present(table)}]"
+    return _by_branch(table, _first_present)
 
 
 def event_types(parsed: DataFrame, extra_windows: bool = False) -> DataFrame:
@@ -151,7 +168,7 @@ def normalize(identified: DataFrame, line: str = "line", extra_windows: bool = F
         name: F.expr(f"try_cast(trim({_value(table)}) AS {NUMBER_TYPES.get(name, 'int')})")
         for name, table in NUMBER_KEYS.items()
     })
-    time_key = F.expr(f"get(filter({_keys(TIME_KEYS)}, k -> fields[k] IS NOT NULL), 0)")
+    time_key = F.expr(_by_branch(TIME_KEYS, _first_non_null))
     kept = kept.withColumns({**picked, "_time_key": time_key})
     kept = event_types(kept, extra_windows)
 
@@ -177,8 +194,8 @@ def normalize(identified: DataFrame, line: str = "line", extra_windows: bool = F
     source_image = field_or("SourceImage", "")
     opener = F.when(F.length(source_image) > 0,
                     F.element_at(F.split(source_image, r"\\"), -1)).otherwise("unknown")
-    has_process_key = F.expr(_present(TEXT_KEYS["process_name"]))
-    process = F.when(has_process_key.isNull(), map_lit(PROCESS_DEFAULTS)[F.col("_branch")]
+    has_process_key = F.expr(_by_branch(TEXT_KEYS["process_name"], _any_present))
+    process = F.when(~has_process_key, map_lit(PROCESS_DEFAULTS)[F.col("_branch")]
                      ).otherwise(F.col("process_name"))
     process = (
         F.when(cleared, "wevtutil.exe")

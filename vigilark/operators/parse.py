@@ -39,6 +39,7 @@ FIELD_SOURCES = [
 # Keys whose JSON type matters later: times may be numbers, an event type must be text.
 TYPED_KEYS = ["UtcTime", "TimeCreated", "ts", "timestamp", "@timestamp", "date", "time",
               "event_timestamp", "event_type"]
+NUMERIC_KEY = r'"(?:' + "|".join(TYPED_KEYS) + r')"\s*:\s*[-0-9]'
 
 
 def strip(text: str | Column) -> Column:
@@ -92,10 +93,12 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
                .rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(key))
         for key in TYPED_KEYS
     ]
+    # The JSON types are only looked up in lines where a typed key is followed by a digit.
+    maybe_numeric = text.rlike(NUMERIC_KEY)
     named = (
         parsed.withColumn("format", kind)
         .withColumn("fields", fields)
-        .withColumn("numeric_keys", F.when(F.col("format") == "json",
+        .withColumn("numeric_keys", F.when((F.col("format") == "json") & maybe_numeric,
                                            F.array_compact(F.array(*numeric)))
                     .otherwise(F.array().cast("array<string>")))
         .drop("_text", "_box", "_json", "_map", "_keys")
