@@ -12,10 +12,13 @@ from vigilark.streaming import jobs
 
 @pytest.fixture(scope="module")
 def feed(spark, folder, tmp_path_factory):
-    """Rows in time order, a few files, replayed as a stream."""
+    """Rows in time order, a few files written one after the other, replayed as a stream."""
     path = str(tmp_path_factory.mktemp("feed") / "rows")
     rows = derive.sec_log(spark, folder).withColumn("severity", F.lit("P2"))
-    rows.repartitionByRange(4, "event_timestamp").sortWithinPartitions("event_timestamp").write.parquet(path)
+    size = rows.count() / 4
+    # The file source takes files by age, so each file must be older than the next.
+    for part in range(4):
+        rows.filter(F.floor(F.col("event_id") / size) == part).coalesce(1).write.mode("append").parquet(path)
     stored = spark.read.parquet(path)
     stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return stored, stream
