@@ -11,6 +11,8 @@ from vigilark.functions.fields import as_column, once
 KEY_VALUE = r'(?U)(\w+)=(?:"([^"]*?)"|(\S+))'
 SYSLOG = r"(?U)^<\d+>\d?\s*\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2}|^<\d+>1\s+"
 MIN_PAIRS = 3
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+               "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 PATH_SOURCES = [
     (r"(?i)sysmon|Microsoft-Windows-Sysmon", "sysmon"),
     (r"(?i)zeek.*dns|bro.*dns", "zeek_dns"),
@@ -44,7 +46,7 @@ NUMERIC_KEY = r'"(?:' + "|".join(TYPED_KEYS) + r')"\s*:\s*[-0-9]'
 
 def strip(text: str | Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(as_column(text), r"(?U)^\s+|\s+$", "")
+    return F.btrim(as_column(text), F.lit(WHITE_SPACE))
 
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vigilark import dims
 from vigilark.functions.text import truncate_at_sentence, with_bigrams, words
+from vigilark.session import checkpoint
 
 # Query weights are broadcast up to this many rows; beyond it the join shuffles.
 BROADCAST_WEIGHTS = 200_000
@@ -57,7 +58,8 @@ def tfidf_search(corpus: DataFrame, queries: DataFrame, k: int = 10,
     """
     n = corpus.count()
     counts = term_counts(corpus, doc_id, stop_words=stop_words)
-    terms = vocabulary(counts, F.lit(n), vocabulary_size)
+    # Bounded by its size; written once so that its two uses do not count the corpus twice.
+    terms = checkpoint(vocabulary(counts, F.lit(n), vocabulary_size))
     documents = weights(counts, terms, doc_id)
     asked = weights(term_counts(queries, query_id, stop_words=stop_words), terms, query_id)
     asked = asked.withColumnRenamed("weight", "query_weight")

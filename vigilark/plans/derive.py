@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilark.functions.fields import array_lit
+from vigilark.session import spread
 
 def _ids() -> tuple[Column, Column]:
     return F.col("event_id"), F.col("user_id")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    # Parsing and text work are bound by the processor, so idle cores would be a waste.
+    return spread(rows) if name in ("events", "documents") else rows
 
 
 def _choice(values: list, index: Column) -> Column:

@@ -37,6 +37,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input that comes in fewer pieces than there are cores.
+
+    A table of many row groups is left alone, so large inputs never pay for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if pieces < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one is made only on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
