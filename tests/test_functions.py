@@ -54,37 +54,27 @@ def test_sql_functions_agree(spark, folder):
 
 
 def chunks_in_python(message, limit):
-    """Greedy packing of sections, then lines, then slices; written from the rule, for checking."""
+    """One packing rule, used for sections, then for the lines of a section too long to fit."""
+    done = []
+
+    def pack(pieces, joiner, break_up):
+        chunk = ""
+        for piece in pieces:
+            longer = f"{chunk}{joiner}{piece}".strip() if chunk else piece
+            if len(longer) > limit:
+                done.extend([chunk] * bool(chunk))
+                longer = piece if len(piece) <= limit else break_up(piece)
+            chunk = longer
+        return chunk
+
+    def slices(line):
+        done.extend(re.findall(f"(?s).{{1,{limit}}}", line))
+        return ""
+
     if len(message) <= limit:
         return [message]
-    done, open_chunk = [], ""
-
-    def close():
-        nonlocal open_chunk
-        if open_chunk:
-            done.append(open_chunk)
-        open_chunk = ""
-
-    for section in message.split("\n\n"):
-        joined = f"{open_chunk}\n\n{section}".strip() if open_chunk else section
-        if len(joined) <= limit:
-            open_chunk = joined
-            continue
-        close()
-        if len(section) <= limit:
-            open_chunk = section
-            continue
-        for line in section.split("\n"):
-            joined = f"{open_chunk}\n{line}".strip() if open_chunk else line
-            if len(joined) <= limit:
-                open_chunk = joined
-                continue
-            close()
-            if len(line) > limit:
-                done.extend(line[i:i + limit] for i in range(0, len(line), limit))
-            else:
-                open_chunk = line
-    close()
+    last = pack(message.split("\n\n"), "\n\n", lambda s: pack(s.split("\n"), "\n", slices))
+    done.extend([last] * bool(last))
     return [f"({i}/{len(done)})\n{c}" for i, c in enumerate(done, 1)] if len(done) > 1 else done
 
 
@@ -107,13 +97,10 @@ def test_truncation(spark):
     texts = ["One. Two. Three", "no boundary here at all", "x" * 40, "A! b? c. ddddddddd", "ok"]
 
     def plain(s, limit=12):
-        if len(s) <= limit:
-            return s
-        ends = [m.end() for m in re.finditer(r"[.!?]\s+", s[:limit])]
-        if ends:
-            return s[:ends[-1]].strip()
-        space = s[:limit].rfind(" ")
-        return (s[:space] if space > 0 else s[:limit]).strip()
+        head = s[:limit]
+        cut = (max((m.end() for m in re.finditer(r"[.!?]\s+", head)), default=0)
+               or max(head.rfind(" "), 0) or limit)
+        return s if len(s) <= limit else s[:cut].strip()
 
     assert values(one_column(spark, texts), text.truncate_at_sentence("x", 12)) == [plain(t) for t in texts]
 
