@@ -53,6 +53,15 @@ def test_queue_severity_order_of_rules(spark):
         ("P0", 0), ("P1", 1), ("P1", 1), ("P2", 2), ("P0", 0), ("BENIGN", 3)]
 
 
+def test_full_paths_match_only_when_asked(spark):
+    given = rows(spark, {"event_type": "PROCESS_CREATION", "process_name": "C:\\Windows\\CMD.exe",
+                         "parent_process_name": "/usr/sbin/nginx"})
+    assert severity.queue_severity(given).first().severity == "BENIGN"
+    assert severity.queue_severity(given, basename=True).first().severity == "P1"
+    assert severity.triage_score(given).first().score == 0
+    assert severity.triage_score(given, basename=True).first().score == 35
+
+
 def test_shedding_equals_the_loop(spark, folder):
     import random
     rng = random.Random(42)

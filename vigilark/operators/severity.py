@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilark import dims
 from vigilark.dims import ThreatConfig
-from vigilark.functions.detect import contains_any
+from vigilark.functions.detect import base_name, contains_any
 from vigilark.functions.fields import map_lit
 
 
@@ -15,11 +15,20 @@ def _true(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def queue_severity(rows: DataFrame) -> DataFrame:
-    """Add ``severity`` and ``priority``; the row's own hint is looked at last."""
+def _process(column: str, basename: bool) -> Column:
+    """Lower-case process name, as logged or without its folders; missing reads as empty."""
+    name = base_name(column) if basename else F.col(column)
+    return F.lower(F.coalesce(name, F.lit("")))
+
+
+def queue_severity(rows: DataFrame, basename: bool = False) -> DataFrame:
+    """Add ``severity`` and ``priority``; the row's own hint is looked at last.
+
+    The shell rule compares names as logged; ``basename`` lets it match full paths.
+    """
     kind, intent = F.col("event_type"), F.col("synthetic_intent")
-    shell = (F.lower("parent_process_name").isin(*dims.WEB_SERVERS)
-             & F.lower("process_name").isin(*dims.SHELLS))
+    shell = (_process("parent_process_name", basename).isin(*dims.WEB_SERVERS)
+             & _process("process_name", basename).isin(*dims.SHELLS))
     severity = (
         F.when(kind.isin(*dims.QUEUE_P0_TYPES), "P0")
         .when(kind.isin(*dims.QUEUE_P1_TYPES), "P1")
@@ -36,10 +45,11 @@ def queue_severity(rows: DataFrame) -> DataFrame:
     return rows.withColumn("severity", severity).withColumn("priority", priority[F.col("severity")])
 
 
-def _conditions(config: ThreatConfig, scan_threshold: int) -> list[tuple[str, Column, Column]]:
+def _conditions(config: ThreatConfig, scan_threshold: int,
+                basename: bool) -> list[tuple[str, Column, Column]]:
     """(weight name, condition, flag) for the thirteen conditions, in flag order."""
-    process = F.lower(F.coalesce("process_name", F.lit("")))
-    parent = F.lower(F.coalesce("parent_process_name", F.lit("")))
+    process = _process("process_name", basename)
+    parent = _process("parent_process_name", basename)
     args = F.lower(F.coalesce("command_line_args", F.lit("")))
     kind = F.col("event_type")
     # A literal list test is folded into the scan; long hash lists go through bad_hash_matches.
@@ -83,12 +93,14 @@ BASIC_CONDITIONS = ["dangerous_process", "webserver_parent_cmd_child", "c2_port"
 
 
 def triage_score(rows: DataFrame, config: ThreatConfig | None = None, profile: str = "full",
-                 scan_threshold: int = dims.PORT_SCAN_THRESHOLD) -> DataFrame:
+                 scan_threshold: int = dims.PORT_SCAN_THRESHOLD,
+                 basename: bool = False) -> DataFrame:
     """Add ``score``, ``heuristic_flags``, ``triage_severity`` and what follows from them.
 
     Expects ``ip_seen`` (boolean) and ``scan_count`` (int) from the activity
     operators; missing columns read as "not seen" and zero. ``profile="basic"``
-    scores the first five conditions with the built-in weights and thresholds.
+    scores the first five conditions with the built-in weights and thresholds;
+    ``basename`` strips folders from process names first.
     """
     config = config or ThreatConfig()
     weights, limits = config.scoring_weights, config.severity_thresholds
@@ -96,7 +108,7 @@ def triage_score(rows: DataFrame, config: ThreatConfig | None = None, profile: s
         rows = rows.withColumn("ip_seen", F.lit(False))
     if "scan_count" not in rows.columns:
         rows = rows.withColumn("scan_count", F.lit(0))
-    conditions = _conditions(config, scan_threshold)
+    conditions = _conditions(config, scan_threshold, basename)
     if profile == "basic":
         weights, limits = dims.WEIGHTS, dims.THRESHOLDS
         conditions = [c for c in conditions if c[0] in BASIC_CONDITIONS]
