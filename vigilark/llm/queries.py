@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import byte_bpe, packing
+from vigilark.llm import byte_bpe, packing, quality, secrets
 from vigilark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,22 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = byte_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), ranks, pattern)
     return byte_bpe.decode(coded.drop("text"), ranks, pattern).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rules = quality.learn(*quality.labelled(docs, table(spark, folder, "labels")))
+    found = quality.judged(docs, rules)
+    return found.select("doc_id", *(F.col(f"{quality.COLUMN}.{n}") for n in quality.STATISTICS[:5]),
+                        "base_failed", "kept")
+
+
+@query
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{kind}')")).cast("long").alias(f"n_{kind}")
+              for kind, *_ in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(secrets.written_spans(F.col("base")), 256).alias("base_sha256"),
+                        secrets.written_spans(F.col("spans")).alias("spans"))
