@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import byte_bpe, chat, packing, quality, secrets
+from vigilark.llm import byte_bpe, chat, nearest, packing, quality, secrets
 from vigilark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,9 @@ def op7_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     return back.join(sizes.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id"))).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query
+def op8_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest.search(vectors, F.col("vec_id") % 20 == 0, k=20)
