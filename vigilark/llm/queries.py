@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import byte_bpe, chat, nearest, packing, quality, secrets
+from vigilark.llm import byte_bpe, chat, nearest, neardup, packing, quality, secrets
 from vigilark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op7_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
 def op8_nearest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return nearest.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(table(spark, folder, "documents"))
