@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import byte_bpe, chat, nearest, neardup, packing, quality, secrets
+from vigilark.llm import byte_bpe, chat, language, nearest, neardup, packing, quality, secrets
 from vigilark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,11 @@ def op8_nearest(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(table(spark, folder, "documents"))
+
+
+@query
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.train(docs)
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", language.is_held_out().alias("held_out"), F.col("language.pred").alias("lang_pred"), "language.score")
