@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import byte_bpe, chat, language, nearest, neardup, packing, quality, secrets
+from vigilark.llm import byte_bpe, chat, language, nearest, neardup, packing, pages, quality, secrets
 from vigilark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     model = language.train(docs)
     return language.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", language.is_held_out().alias("held_out"), F.col("language.pred").alias("lang_pred"), "language.score")
+
+
+@query
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.main_texts(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
