@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import byte_bpe, chat, language, nearest, neardup, packing, pages, quality, secrets
+from vigilark.llm import byte_bpe, chat, language, nearest, neardup, packing, pages, quality, secret_scan
 from vigilark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,11 +46,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = secrets.scan(docs, secrets.train(docs))
+    found = secret_scan.scan(docs, secret_scan.train(docs))
     counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{kind}')")).cast("long").alias(f"n_{kind}")
-              for kind, *_ in secrets.BASE]
-    return found.select("doc_id", *counts, F.sha2(secrets.written_spans(F.col("base")), 256).alias("base_sha256"),
-                        secrets.written_spans(F.col("spans")).alias("spans"))
+              for kind, *_ in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.written_spans(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.written_spans(F.col("spans")).alias("spans"))
 
 
 @query

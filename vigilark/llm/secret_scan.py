@@ -44,30 +44,40 @@ class Models(NamedTuple):
     threshold: float
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def running(values: Column, start: Column) -> Column:
     """start + v1, start + v1 + v2, ... of a short array."""
     total = F.aggregate(values, F.array(start), lambda a, v: F.array_append(a, F.element_at(a, -1) + v))
     return F.slice(total, F.lit(2), F.size(values))
 
 
-def prefix_sums(values: Column, block: int = 256) -> Column:
-    """Running totals of an array<bigint>, block by block, so that no long array is copied for each entry."""
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")),
-        lambda b: F.slice(values, b * block + 1, F.lit(block)))
-    sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v))
-    ends = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(sums) - 1) / block).cast("int")),
-        lambda b: F.slice(sums, b * block + 1, F.lit(block)))
-    # The totals of whole blocks, in two steps in the same way.
-    outer = running(F.transform(ends, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)),
-                    F.lit(0).cast("long"))
-    tops = F.flatten(F.zip_with(ends, F.zip_with(outer, F.transform(
-        ends, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)), lambda o, s: o - s),
-        lambda x, o: running(x, o)))
-    before = F.zip_with(tops, sums, lambda t, s: t - s)
-    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.flatten(F.zip_with(blocks, before, lambda x, b: running(x, b))))
+def summed(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+
+
+def in_blocks(values: Column, block: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / block).cast("int")),
+                       lambda b: F.slice(values, b * block + 1, F.lit(block)))
+
+
+def prefix_sums(values: Column, block: int = 256, levels: int = 2) -> Column:
+    """Running totals of an array<bigint>, block by block, so that no long array is copied for each entry.
+
+    What stands before each block is itself a running total of the blocks' sums, taken in the same way.
+    """
+    if not levels:
+        return running(values, F.lit(0).cast("long"))
+
+    def blocked(blocks: Column) -> Column:
+        return let(F.transform(blocks, lambda x: summed(x)), lambda sums: F.flatten(F.zip_with(
+            blocks, F.zip_with(prefix_sums(sums, block, levels - 1), sums, lambda t, s: t - s), running)))
+
+    return F.when(F.size(values) <= block, running(values, F.lit(0).cast("long"))).otherwise(
+        let(in_blocks(values, block), blocked))
 
 
 SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
@@ -75,16 +85,22 @@ SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>
 
 def matches(text: Column, pattern: str, group: int, kind: str, rank: int, keep) -> Column:
     """The spans of a pattern's matches whose group passes ``keep``, in the order of the text."""
+    lengths = lambda x: F.transform(x, lambda y: F.length(y).cast("long"))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    size = F.transform(found, lambda x: F.length(x).cast("long"))
-    gaps = F.transform(F.split(text, pattern), lambda x: F.length(x).cast("long"))
-    ends = prefix_sums(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), size, lambda g, s: g + s))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    spans = F.zip_with(F.arrays_zip(ends.alias("end"), size.alias("size")), value, lambda p, v: F.struct(
-        (p["end"] - p["size"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
-        p["end"].alias("end"), v.alias("value")))
-    return F.when(text.rlike(pattern), F.filter(spans, lambda s: keep(s["value"]))).otherwise(
-        F.array().cast(SPAN))
+    gaps = F.split(text, pattern)
+
+    def placed(a: Column) -> Column:
+        """a: the lengths of matches and gaps, and the values."""
+        steps = F.zip_with(F.slice(a["gaps"], F.lit(1), F.size(a["sizes"])), a["sizes"], lambda g, s: g + s)
+        ends = let(steps, lambda x: prefix_sums(x))
+        spans = F.zip_with(F.arrays_zip(ends.alias("end"), a["sizes"].alias("size")), a["values"], lambda p, v: F.struct(
+            (p["end"] - p["size"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
+            p["end"].alias("end"), v.alias("value")))
+        return F.filter(spans, lambda s: keep(s["value"]))
+
+    parts = F.struct(lengths(found).alias("sizes"), lengths(gaps).alias("gaps"), value.alias("values"))
+    return F.when(text.rlike(pattern), let(parts, placed)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -97,8 +113,8 @@ def base_spans(text: Column) -> Column:
 def cells(value: Column) -> Column:
     """The model's cell for each pair of neighbouring characters of a string, its start included."""
     codes = F.transform(F.split(value, ""), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(ALPHABET), c)))
-    return F.zip_with(F.concat(F.array(F.lit(0)), F.slice(codes, F.lit(1), F.length(value) - 1)),
-                      F.slice(codes, F.lit(1), F.length(value)), lambda a, b: a * STATES + b)
+    return let(F.slice(codes, F.lit(1), F.length(value)), lambda x: F.zip_with(
+        F.concat(F.array(F.lit(0)), F.slice(x, F.lit(1), F.size(x) - 1)), x, lambda a, b: a * STATES + b))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000,
@@ -166,11 +182,14 @@ def redacted(text: Column, models: Models) -> Column:
     """``text`` with every secret replaced, one kind after another; null stays null."""
 
     def without(value: Column, pattern: str, group: int, keep) -> Column:
-        found = F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
-        measured = F.regexp_extract_all(value, F.lit(pattern), F.lit(group))
-        new = F.zip_with(found, measured, lambda f, m: F.when(keep(m), F.lit(REDACTED)).otherwise(f))
-        parts = F.zip_with(F.split(value, pattern), new, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))))
-        return F.when(value.rlike(pattern), F.array_join(parts, "")).otherwise(value)
+        def replaced(v: Column) -> Column:
+            found = F.regexp_extract_all(v, F.lit(pattern), F.lit(0))
+            measured = F.regexp_extract_all(v, F.lit(pattern), F.lit(group))
+            new = F.zip_with(found, measured, lambda f, m: F.when(keep(m), F.lit(REDACTED)).otherwise(f))
+            parts = F.zip_with(F.split(v, pattern), new, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))))
+            return F.when(v.rlike(pattern), F.array_join(parts, "")).otherwise(v)
+
+        return let(value, replaced)
 
     for _, pattern, group, least in BASE:
         text = without(text, pattern, group, lambda v, least=least: F.length(v) >= least)
