@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import byte_bpe, chat, language, nearest, neardup, packing, pages, quality, secret_scan
+from vigilark.llm import byte_bpe, chat, language, lm, nearest, neardup, packing, pages, quality, secret_scan
 from vigilark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return pages.main_texts(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"), lm.Settings(public_tokenizers.path("word_bpe_49k.json")))
