@@ -1,9 +1,4 @@
-"""Every query against its SQL twin in DuckDB.
-
-By default a sample that covers each area runs; set VIGILARK_ALL_QUERIES=1 for all.
-"""
-
-import os
+"""Every query against its SQL twin in DuckDB."""
 
 import duckdb
 import pytest
@@ -12,11 +7,7 @@ from vigilark.plans.oracles import ORACLES
 from vigilark.plans.queries import QUERIES
 
 TABLES = ["events", "documents", "embeddings", "pages", "benchmark", "conversations"]
-SAMPLE = ["normalize", "intent_text", "triage_score", "port_scan", "auth_burst", "bruteforce_win",
-          "host_sessions", "shed_p2", "correlate", "attack_clusters", "tfidf_search", "graph_full",
-          "graph_delta", "evidence_bundle", "fallback_report", "report_markdown", "sanitize_strict",
-          "dlq_retry"]
-NAMES = sorted(ORACLES) if os.environ.get("VIGILARK_ALL_QUERIES") else SAMPLE
+NAMES = sorted(ORACLES)
 
 
 @pytest.fixture(scope="module")

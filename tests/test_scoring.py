@@ -100,6 +100,8 @@ def test_retry_and_escalation(spark):
         ("x", "DNS_QUERY", "P1"), ("c", "UNKNOWN", "P1")}
     assert {r.dlq_uuid: r.retry_count for r in after.collect()} == {
         "a": 1, "b": 1, "c": 3, "d": 3, "e": 0, "f": 0}
+    twice = letters.filter("dlq_uuid = 'a'").unionByName(letters.filter("dlq_uuid = 'a'"))
+    assert [r.retry_count for r in deadletters.retry_pass(twice, now)[1].collect()] == [1, 1]
     assert [(r.dlq_uuid, r.log_uuid) for r in deadletters.escalations(letters).collect()] == [("d", "unknown")]
 
 
@@ -124,3 +126,12 @@ def test_violations_and_quarantine_agree(spark, folder):
     total = validate.violations(frame).agg(F.sum("n_violations")).first()[0]
     good, bad = validate.quarantine(frame)
     assert total == bad.count() == 20 and good.count() + 20 == frame.count()
+
+
+def test_hash_inside_a_longer_run(spark):
+    digest = "AB" * 32
+    rows = spark.createDataFrame([("a", f"x {digest.lower()} y"), ("b", f"00{digest}ff"), ("c", digest[:-1])],
+                                 "log_uuid string, raw_payload string")
+    hashes = spark.createDataFrame([(digest.lower(),)], "hash string")
+    from vigilark.operators import severity as rules
+    assert {r.log_uuid for r in rules.bad_hash_matches(rows, hashes).collect()} == {"a", "b"}

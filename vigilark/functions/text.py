@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,20 +48,26 @@ STRICT_PATTERNS = [
     r"(?iU)pretend\s+(you\s+are|to\s+be)",
 ]
 UNICODE_CONTROL = r"[\p{C}&&[^\n\r\t]]"
-SANITIZED_MAX_CHARS = 2000
 SANITIZED = "[SANITIZED]"
 
 
-def sanitize_basic(text: str | Column) -> Column:
-    """Replace injected instructions and markup, drop ASCII control characters, bound the length."""
+def wide(pattern: str) -> str:
+    """White space and dots as the patterns mean them: U+001C to U+001F are white space, a dot stops at \\n only."""
+    pattern = pattern.replace(r"[\s\S]", "(?s:.)").replace(r"[\s", r"[\s\x1c-\x1f")
+    pattern = re.sub(r"(?<!\[)\\s", lambda _: r"[\s\x1c-\x1f]", pattern)
+    return pattern.replace("(?iU", "(?idU")
+
+
+def sanitize_basic(text: str | Column, max_chars: int | None = None) -> Column:
+    """Replace injected instructions and markup, drop ASCII control characters; cut only if ``max_chars`` is given."""
     clean = as_column(text)
     for pattern in BASIC_PATTERNS:
-        clean = F.regexp_replace(clean, pattern, SANITIZED)
+        clean = F.regexp_replace(clean, wide(pattern), SANITIZED)
     clean = F.regexp_replace(clean, ASCII_CONTROL, "")
-    return F.when(
-        F.length(clean) > SANITIZED_MAX_CHARS,
-        F.concat(F.substring(clean, 1, SANITIZED_MAX_CHARS), F.lit("...[TRUNCATED]")),
-    ).otherwise(clean)
+    if max_chars is None:
+        return clean
+    return F.when(F.length(clean) > max_chars,
+                  F.concat(F.substring(clean, 1, max_chars), F.lit("...[TRUNCATED]"))).otherwise(clean)
 
 
 def sanitize_strict(text: str | Column) -> Column:
@@ -67,7 +75,7 @@ def sanitize_strict(text: str | Column) -> Column:
     clean = F.regexp_replace(F.coalesce(as_column(text), F.lit("")), CODE_BLOCK,
                              "[CODE_BLOCK_REMOVED]")
     for pattern in STRICT_PATTERNS:
-        clean = F.regexp_replace(clean, pattern, SANITIZED)
+        clean = F.regexp_replace(clean, wide(pattern), SANITIZED)
     clean = F.regexp_replace(clean, UNICODE_CONTROL, "")
     clean = F.regexp_replace(clean, r"\n{3,}", "\n\n")
     return strip(F.regexp_replace(clean, r"[ \t]{4,}", "   "))
@@ -78,11 +86,11 @@ def has_injection(text: str | Column) -> Column:
     text = as_column(text)
     found = text.rlike(CODE_BLOCK)
     for pattern in STRICT_PATTERNS:
-        found = text.rlike(pattern) | found
+        found = text.rlike(wide(pattern)) | found
     return F.coalesce(found, F.lit(False))
 
 
-def truncate_at_sentence(text: str | Column, max_chars: int = dims.EMBED_MAX_CHARS) -> Column:
+def truncate_at_sentence(text: str | Column, max_chars: int) -> Column:
     """Text cut at the last sentence end, else the last space, else hard, within ``max_chars``."""
     text = as_column(text)
     head = F.substring(text, 1, max_chars)

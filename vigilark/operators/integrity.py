@@ -27,10 +27,10 @@ def tamper_audit(archive: DataFrame) -> DataFrame:
         F.count("*").alias("n_checked"), F.count_if(bad).alias("n_tampered"))
 
 
-def sanitize_columns(rows: DataFrame) -> DataFrame:
-    """Every text column through the basic sanitiser, hash and uuid left alone."""
+def sanitize_columns(rows: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Every text column, whole, through the basic sanitiser; hash and uuid left alone."""
     return rows.select(*[
-        sanitize_basic(f.name).alias(f.name)
+        sanitize_basic(f.name, max_chars).alias(f.name)
         if isinstance(f.dataType, T.StringType) and f.name not in NEVER_SANITIZED
         else F.col(f.name) for f in rows.schema.fields])
 

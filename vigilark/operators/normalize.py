@@ -301,19 +301,22 @@ def assign_uuids(lines: DataFrame, path: str = "source_path", line: str = "line"
     )
 
 
-def split_ingest(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, dead letters) of a normalised frame; the raw line is cut to 500 characters."""
-    good = normalized.filter(~F.col("normalize_failed"))
+def split_ingest(normalized: DataFrame, row_id: str = "log_uuid") -> tuple[DataFrame, DataFrame]:
+    """(rows to store, dead letters) of a normalised frame.
+
+    A line whose normaliser failed is stored as its minimal row, which keeps its custody whole, and gets
+    a letter with the whole line as well. ``row_id`` tells equal lines apart, so every letter has an id of its own.
+    """
     bad = normalized.filter("normalize_failed")
-    payload = F.to_json(F.struct(F.col("source_path").alias("file_path"),
-                               F.substring("raw_payload", 1, 500).alias("raw_line")))
+    payload = F.to_json(F.struct(F.col("source_path").alias("file_path"), F.col("raw_payload").alias("raw_line")))
     letters = bad.select(
-        F.sha2(F.concat(F.lit("INGESTION"), F.col("sha256_hash")), 256).alias("dlq_uuid"),
+        F.sha2(F.concat_ws("|", F.lit("INGESTION"), "source_path", F.col(row_id).cast("string"), "sha256_hash"), 256)
+        .alias("dlq_uuid"),
         F.lit("INGESTION").alias("work_type"), payload.alias("payload"),
         F.lit("event_type is not text").alias("failure_reason"),
         F.date_format("ingestion_timestamp", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("failed_at"),
         F.lit(0).alias("retry_count"), F.lit(False).alias("resolved"))
-    return good, letters
+    return normalized, letters
 
 
 def inject_rows(requests: DataFrame) -> DataFrame:

@@ -12,9 +12,6 @@ from vigilark import dims
 from vigilark.functions.text import truncate_at_sentence, with_bigrams, words
 from vigilark.session import checkpoint
 
-# Query weights are broadcast up to this many rows; beyond it the join shuffles.
-BROADCAST_WEIGHTS = 200_000
-
 
 def term_counts(texts: DataFrame, id_column: str, text_column: str = "text",
                 stop_words: list[str] | None = None) -> DataFrame:
@@ -30,27 +27,28 @@ def term_counts(texts: DataFrame, id_column: str, text_column: str = "text",
     return terms.groupBy(id_column, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, n_documents: Column, size: int = dims.VOCABULARY_SIZE) -> DataFrame:
-    """The ``size`` most frequent terms with ``idf = ln((1 + n) / (1 + df)) + 1``."""
+def vocabulary(counts: DataFrame, n_documents: Column, size: int | None = None) -> DataFrame:
+    """All terms, or the ``size`` most frequent ones, with ``idf = ln((1 + n) / (1 + df)) + 1``."""
+    terms = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    if size is not None:
+        terms = terms.orderBy(F.desc("cf"), "term").limit(size)
     return (
-        counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
-        .orderBy(F.desc("cf"), "term").limit(size)
-        .withColumn("idf", F.log((1 + n_documents) / (1 + F.col("df"))) + 1)
+        terms.withColumn("idf", F.log((1 + n_documents) / (1 + F.col("df"))) + 1)
         .select("term", "idf")
     )
 
 
 def weights(counts: DataFrame, terms: DataFrame, id_column: str) -> DataFrame:
-    """(id, term, weight) of unit length per id; the vocabulary is bounded by its size."""
+    """(id, term, weight) of unit length per id."""
     by_id = Window.partitionBy(id_column)
-    raw = counts.join(F.broadcast(terms), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    raw = counts.join(terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
     return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_id))
                           ).select(id_column, "term", "weight")
 
 
 def tfidf_search(corpus: DataFrame, queries: DataFrame, k: int = 10,
                  doc_id: str = "doc_id", query_id: str = "query_id",
-                 vocabulary_size: int = dims.VOCABULARY_SIZE,
+                 vocabulary_size: int | None = None,
                  stop_words: list[str] | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``k`` most similar documents by cosine.
 
@@ -58,13 +56,11 @@ def tfidf_search(corpus: DataFrame, queries: DataFrame, k: int = 10,
     """
     n = corpus.count()
     counts = term_counts(corpus, doc_id, stop_words=stop_words)
-    # Bounded by its size; written once so that its two uses do not count the corpus twice.
+    # Written once so that its two uses do not count the corpus twice.
     terms = checkpoint(vocabulary(counts, F.lit(n), vocabulary_size))
     documents = weights(counts, terms, doc_id)
     asked = weights(term_counts(queries, query_id, stop_words=stop_words), terms, query_id)
     asked = asked.withColumnRenamed("weight", "query_weight")
-    if asked.count() <= BROADCAST_WEIGHTS:
-        asked = F.broadcast(asked)
     scores = (
         documents.join(asked, "term").groupBy(doc_id, query_id)
         .agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
@@ -113,12 +109,14 @@ def mean_metrics(per_query: DataFrame, *group: str) -> DataFrame:
 
 
 def prepare_text(texts: DataFrame, text_column: str = "text",
-                 max_chars: int = dims.EMBED_MAX_CHARS) -> DataFrame:
-    """Non-empty texts, trimmed and cut for embedding, with ``truncated``."""
+                 max_chars: int | None = None) -> DataFrame:
+    """Non-empty texts, trimmed for embedding, with ``truncated``; cut only if ``max_chars`` is given."""
     trimmed = F.trim(text_column)
+    rows = texts.filter(F.length(trimmed) > 0).withColumn("_text", trimmed)
+    if max_chars is None:
+        return rows.withColumns({"prepared": F.col("_text"), "truncated": F.lit(False)}).drop("_text")
     return (
-        texts.filter(F.length(trimmed) > 0).withColumn("_text", trimmed)
-        .withColumn("prepared", truncate_at_sentence("_text", max_chars))
+        rows.withColumn("prepared", truncate_at_sentence("_text", max_chars))
         .withColumn("truncated", F.length("_text") > max_chars).drop("_text")
     )
 

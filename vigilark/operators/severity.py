@@ -143,10 +143,13 @@ def triage_routes(triaged: DataFrame) -> dict[str, DataFrame]:
 
 
 def bad_hash_matches(rows: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Rows whose payload holds a listed 64-digit hash: token join, so the list may be long."""
+    """Rows whose payload holds a listed 64-digit hash: token join, so the list may be long.
+
+    A hash may stand inside a longer run of digits, so every place of a run is a token.
+    """
     tokens = rows.select(
         "log_uuid", F.explode(F.array_distinct(F.regexp_extract_all(
-            F.upper("raw_payload"), F.lit("[0-9A-F]{64}"), F.lit(0)))).alias("hash"))
+            F.upper("raw_payload"), F.lit("(?=([0-9A-F]{64}))"), F.lit(1)))).alias("hash"))
     return tokens.join(hashes.select(F.upper("hash").alias("hash")).distinct(), "hash", "inner")
 
 

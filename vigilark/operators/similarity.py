@@ -99,6 +99,12 @@ def _best_in_chunk(k: int, floor: float, metric: str):
                 late = np.abs(seconds[None, :] - centre[part][:, None]) > width[part][:, None]
                 scores[late] = -np.inf
                 # Rows are in id order, so a stable sort breaks ties by id.
+                if k is None:
+                    rows, cols = np.nonzero(scores >= floor)
+                    out["trigger_id"].append(names[part][rows])
+                    out["id"].append(ids[cols])
+                    out["similarity"].append(scores[rows, cols])
+                    continue
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 kept = np.take_along_axis(scores, best, axis=1)
                 rows, cols = np.nonzero(kept >= floor)
@@ -115,7 +121,7 @@ def _best_in_chunk(k: int, floor: float, metric: str):
     return search
 
 
-def _chunked_best(left: DataFrame, right: DataFrame, keys: list[str], k: int, floor: float,
+def _chunked_best(left: DataFrame, right: DataFrame, keys: list[str], k: int | None, floor: float,
                   metric: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Best rows per trigger among candidates with the same ``keys``, chunk pair by chunk pair."""
     def chunks(side: DataFrame, name: str) -> DataFrame:
@@ -219,6 +225,10 @@ def correlation_summary(triggers: DataFrame, hits: DataFrame, candidates: DataFr
     )
 
 
-def similar_pairs(vectors: DataFrame, serious: Column, **options) -> DataFrame:
-    """Neighbours of every serious row; the batch form of one search per alert."""
-    return correlate(vectors.filter(serious), vectors, **options)
+def similar_pairs(vectors: DataFrame, serious: Column, threshold: float = dims.SIMILARITY_THRESHOLD,
+                  metric: str = "cosine", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(trigger_id, id, similarity): every row in the window of a serious row above a threshold, however many."""
+    left, right = _bucketed(with_window(vectors.filter(serious)), vectors)
+    pairs = _chunked_best(left, right, ["bucket"], None, threshold, metric, chunk_rows)
+    # The row itself is a pair unless its window meets it in another bucket; a pair meets in one bucket only.
+    return pairs.filter(F.col("trigger_id") != F.col("id")).withColumn("similarity", F.round("similarity", 4))

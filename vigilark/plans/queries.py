@@ -126,7 +126,7 @@ def dead_letter_append(spark, folder):
     bad = _normalized(spark, folder).filter("normalize_failed")
     letters = deadletters.dead_letters(
         bad, "INGESTION", F.lit("event_type is not text"), ["source_path", "raw_payload"],
-        shown("ingestion_timestamp"))
+        shown("ingestion_timestamp"), row_id="event_id")
     path = scratch_path(spark, "letters")
     deadletters.append_dead_letters(letters, path)
     return spark.read.parquet(path).select("work_type", "payload", "failure_reason", "failed_at",
@@ -241,9 +241,13 @@ def normalized(spark, folder):
 
 @query("ingest_split")
 def ingest_split(spark, folder):
-    good, bad = normalize.split_ingest(_normalized(spark, folder))
-    return good.groupBy(F.lit("stored").alias("outcome")).agg(F.count("*").alias("n")).unionByName(
-        bad.groupBy(F.col("failure_reason").alias("outcome")).agg(F.count("*").alias("n")))
+    stored, bad = normalize.split_ingest(_normalized(spark, folder), "event_id")
+    letters = bad.groupBy(F.col("failure_reason").alias("outcome")).agg(
+        F.count("*").alias("n"), F.countDistinct("dlq_uuid").alias("n_ids"),
+        F.sum(F.length("payload")).alias("n_chars"))
+    return stored.groupBy(F.lit("stored").alias("outcome")).agg(
+        F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"),
+        F.sum(F.length("raw_payload")).alias("n_chars")).unionByName(letters)
 
 
 @query("validate_rows")
@@ -505,7 +509,8 @@ def prepare_text(spark, folder):
 @query("prepare_text_counts")
 def prepare_text_counts(spark, folder):
     return retrieval.prepare_text(derive.table(spark, folder, "documents")).groupBy("lang").agg(
-        F.count("*").alias("n_texts"), F.count_if("truncated").alias("n_truncated"))
+        F.count("*").alias("n_texts"), F.count_if("truncated").alias("n_truncated"),
+        F.sum(F.length("prepared")).alias("n_chars"))
 
 
 @query("embed_text")

@@ -30,14 +30,14 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
 
 def ingest(spark: SparkSession, folder: str, archive: str, letters: str, checkpoint: str,
            max_files: int = 1000, once: bool = True) -> StreamingQuery:
-    """Lines to the archive (scored rows) and to the dead-letter table."""
+    """Lines to the archive (scored rows with their flags) and, where a normaliser failed, to the dead letters as well."""
     def store(batch: DataFrame, batch_id: int) -> None:
         numbered = normalize.assign_uuids(batch)
         rows = severity.triage_score(severity.queue_severity(canonical_rows(numbered)))
-        rows = rows.drop("heuristic_flags").withColumn("event_date", F.to_date("event_timestamp"))
+        rows = rows.withColumn("event_date", F.to_date("event_timestamp"))
         rows.persist()
-        good, bad = normalize.split_ingest(rows)
-        (good.write.mode("overwrite").partitionBy("event_date")
+        stored, bad = normalize.split_ingest(rows)
+        (stored.write.mode("overwrite").partitionBy("event_date")
          .parquet(f"{archive}/batch_id={batch_id}"))
         bad.write.mode("overwrite").parquet(f"{letters}/batch_id={batch_id}")
         rows.unpersist()
