@@ -32,6 +32,8 @@ def main() -> None:
         builder = builder.config(key, value)
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
+    # The trial tables are single files of one row group; large tables come in pieces by themselves.
+    spark.conf.set("vigilark.input.pieces", cpus)
     names = sys.argv[1:] or HEADLINE
     QUERIES["large_transfer"](spark, folder).write.format("noop").mode("overwrite").save()
 

@@ -158,10 +158,12 @@ def chunk_message(message: str | Column, max_chars: int = dims.MESSAGE_MAX_CHARS
         F.array(packed),
         lambda s: F.when(F.length(s["open"]) > 0, F.array_append(s["done"], s["open"]))
         .otherwise(s["done"]))[0]
-    numbered = F.transform(chunks, lambda c, i: F.concat(
-        F.lit("("), (i + 1).cast("string"), F.lit("/"), F.size(chunks).cast("string"),
-        F.lit(")\n"), c))
-    return (
-        F.when(F.length(message) <= max_chars, F.array(message))
-        .when(F.size(chunks) > 1, numbered).otherwise(chunks)
-    )
+
+    def numbered(found: Column) -> Column:
+        marked = F.transform(found, lambda c, i: F.concat(
+            F.lit("("), (i + 1).cast("string"), F.lit("/"), F.size(found).cast("string"), F.lit(")\n"), c))
+        return F.when(F.size(found) > 1, marked).otherwise(found)
+
+    # The one-element transform binds the chunks, so they are packed once.
+    return F.when(F.length(message) <= max_chars, F.array(message)).otherwise(
+        F.transform(F.array(chunks), lambda found: numbered(found))[0])

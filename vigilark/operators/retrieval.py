@@ -124,33 +124,32 @@ def prepare_text(texts: DataFrame, text_column: str = "text",
 Encoder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
 
-def embed_text(texts: DataFrame, text_column: str, dim: int = 256,
-               encoder: Encoder | None = None, output: str = "embedding") -> DataFrame:
-    """Add a unit-length vector column.
+def embed_text(texts: DataFrame, id_column: str, text_column: str = "text", dim: int = 256,
+               output: str = "embedding") -> DataFrame:
+    """(id, vector): hashed TF-IDF of unit length; a text without words has no row.
 
-    The default is hashed TF-IDF by Spark ML. ``encoder`` plugs in a model: an
-    iterator over batches of texts that yields batches of vectors.
+    A term's place is the number in the first seven digits of its md5, modulo ``dim``;
+    ``idf = ln((1 + n) / (1 + df)) + 1`` by place, over the texts that have words.
     """
-    if encoder is not None:
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            yield from encoder(batches)
-
-        encode = F.pandas_udf(run, "array<float>")
-        return texts.withColumn(output, encode(text_column))
-
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    stages = [
-        RegexTokenizer(inputCol=text_column, outputCol="_tokens", pattern=r"\w\w+", gaps=False),
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_unit"),
-    ]
-    model = Pipeline(stages=stages).fit(texts)
-    return (
-        model.transform(texts)
-        .withColumn(output, vector_to_array("_unit", "float32"))
-        .drop("_tokens", "_tf", "_tfidf", "_unit")
-    )
+    place = F.conv(F.substring(F.md5("term"), 1, 7), 16, 10).cast("bigint") % dim
+    counts = texts.select(id_column, F.explode(words(text_column, [])).alias("term")).groupBy(
+        id_column, place.alias("place")).agg(F.count("*").alias("tf"))
+    n = counts.select(id_column).distinct().count()
+    # At most ``dim`` rows.
+    idf = counts.groupBy("place").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf"))
+    by_id = Window.partitionBy(id_column)
+    weighed = counts.join(F.broadcast(idf), "place").withColumn("w", F.col("tf") * F.col("idf")).withColumn(
+        "w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_id)))
+    held = weighed.groupBy(id_column).agg(F.map_from_entries(
+        F.collect_list(F.struct("place", "w"))).alias("held"))
+    return held.select(id_column, F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")),
+        lambda i: F.coalesce(F.col("held")[i], F.lit(0.0))).alias(output))
+
+
+def encode_text(texts: DataFrame, text_column: str, encoder: Encoder, output: str = "embedding") -> DataFrame:
+    """Add a vector column by a model: ``encoder`` maps an iterator over batches of texts to batches of vectors."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from encoder(batches)
+
+    return texts.withColumn(output, F.pandas_udf(run, "array<float>")(text_column))

@@ -739,11 +739,13 @@ PLAIN_VECTORS = "SELECT id, document, event_epoch, event_type, label FROM vector
 
 ORACLES.update({
     "vector_upsert": vec("""
-        SELECT id, document, event_epoch, event_type, label FROM vectors WHERE label >= 5
-        UNION ALL SELECT id, 'new ' || document, event_epoch + 20, event_type, label FROM vectors WHERE label < 5"""),
+        SELECT id, document, event_epoch, event_type, label, len(vec)::INT AS dims, round(list_sum(vec), 4) AS vector_sum
+        FROM vectors WHERE label >= 5
+        UNION ALL SELECT id, 'new ' || document, event_epoch + 20, event_type, label, len(vec)::INT,
+         round(list_sum(list_transform(vec, lambda x: (x::FLOAT * 20::FLOAT)::DOUBLE)), 4) FROM vectors WHERE label < 5"""),
     "vector_insert": vec("""
-        SELECT id, CASE WHEN label >= 4 THEN document ELSE 'late ' || document END AS document, event_epoch, event_type, label
-        FROM vectors"""),
+        SELECT id, CASE WHEN label >= 4 THEN document ELSE 'late ' || document END AS document, event_epoch, event_type, label,
+         len(vec)::INT AS dims, round(list_sum(vec), 4) AS vector_sum FROM vectors"""),
     "vector_records": sec("""
         SELECT log_uuid AS id, synthetic_intent AS document, epoch_us(event_timestamp) / 1e6 AS event_epoch, event_type, hostname,
          source_ip, dest_ip FROM enriched WHERE event_type <> 'FILE_WRITE'""", enriched()),
@@ -768,7 +770,7 @@ links AS (SELECT trigger_id AS a, id AS b FROM hits UNION SELECT id, trigger_id
 reach AS (SELECT DISTINCT a AS id, a AS other FROM links
   UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a)"""),
     "tier_split": vec("SELECT id, CASE WHEN event_epoch < (SELECT max(event_epoch) FROM vectors) - 7200 THEN 'archive' "
-                      "ELSE 'active' END AS tier FROM vectors"),
+                      "ELSE 'active' END AS tier, len(vec)::INT AS dims, round(list_sum(vec), 4) AS vector_sum FROM vectors"),
     "tier_stats": vec("""
         SELECT 'active' AS tier, count(*) AS n_rows FROM vectors WHERE event_epoch >= (SELECT max(event_epoch) FROM vectors) - 7200
         UNION ALL SELECT 'archive', count(DISTINCT id) FROM vectors
@@ -822,6 +824,27 @@ top10 AS (SELECT * FROM placed WHERE rank <= 10)
 """
 
 
+EMBEDDED = r"""
+turns AS (SELECT conv_id || '-' || lpad(turn::VARCHAR, 6, '0') AS doc_id, conv_id, turn, role, text FROM conversations),
+counts AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 7))::BIGINT % 64 AS place, count(*) AS tf FROM (
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}')) AS term FROM turns) GROUP BY ALL),
+weighed AS (SELECT doc_id, place, tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM counts)) / (1 + df)::DOUBLE) + 1) AS w
+  FROM counts JOIN (SELECT place, count(*) AS df FROM counts GROUP BY 1) USING (place)),
+unit AS (SELECT doc_id, place, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM weighed)
+"""
+ORACLES.update({
+    "embed_text": f"WITH {EMBEDDED} SELECT doc_id, place::INT AS place, round(w, 6) AS weight FROM unit",
+    "embed_and_correlate": f"""WITH {EMBEDDED},
+rows AS (SELECT DISTINCT doc_id AS id, (conv_id * 360 + turn)::DOUBLE AS at, role = 'assistant' AS asks,
+  CASE WHEN role = 'assistant' THEN 3600 ELSE 21600 END AS window_s FROM turns JOIN unit USING (doc_id)),
+near AS (SELECT t.id AS trigger_id, c.id FROM rows t JOIN rows c ON t.asks AND abs(c.at - t.at) <= t.window_s),
+compared AS (SELECT trigger_id, near.id, round(coalesce(sum(a.w * b.w), 0), 9) AS sim FROM near JOIN unit a ON a.doc_id = trigger_id
+  LEFT JOIN unit b ON b.doc_id = near.id AND b.place = a.place GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY trigger_id ORDER BY sim DESC, id)::INT AS rank FROM compared)
+SELECT trigger_id, id, round(sim, 4) AS similarity, rank FROM ranked WHERE rank <= 5 AND sim >= 0.5 AND trigger_id <> id""",
+})
+
+
 TURNS = ("SELECT conv_id || '-' || lpad(turn::VARCHAR, 6, '0') AS doc_id, conv_id, turn, role, text FROM conversations")
 METRICS = f"""
 turns AS ({TURNS}),

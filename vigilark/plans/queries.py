@@ -133,22 +133,29 @@ def dead_letter_append(spark, folder):
                                            "retry_count", "resolved")
 
 
+def _shown_vector(rows):
+    """The vector as its length and sum."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return rows.withColumns({"dims": F.size("embedding"), "vector_sum": F.round(total, 4)}).drop("embedding")
+
+
 @query("vector_upsert")
 def vector_upsert(spark, folder):
-    rows = derive.vectors(spark, folder).drop("embedding")
+    rows = derive.vectors(spark, folder)
     rewritten = rows.filter(F.col("label") < 5).withColumn(
         "more", F.explode(F.array(F.lit(10), F.lit(20)))).select(
         "id", F.concat(F.lit("new "), F.col("document")).alias("document"),
-        (F.col("event_epoch") + F.col("more")).alias("event_epoch"), "event_type", "label")
+        (F.col("event_epoch") + F.col("more")).alias("event_epoch"), "event_type",
+        F.transform("embedding", lambda x: x * F.col("more").cast("float")).alias("embedding"), "label")
     target = rows.filter(F.col("label") >= 2)
-    return vector_store.upsert(target, rewritten, ["event_epoch"])
+    return _shown_vector(vector_store.upsert(target, rewritten, ["event_epoch"]))
 
 
 @query("vector_insert")
 def vector_insert(spark, folder):
-    rows = derive.vectors(spark, folder).drop("embedding")
+    rows = derive.vectors(spark, folder)
     batch = rows.withColumn("document", F.concat(F.lit("late "), F.col("document")))
-    return vector_store.insert_absent(rows.filter(F.col("label") >= 4), batch, ["event_epoch"])
+    return _shown_vector(vector_store.insert_absent(rows.filter(F.col("label") >= 4), batch, ["event_epoch"]))
 
 
 @query("vector_records")
@@ -515,11 +522,21 @@ def prepare_text_counts(spark, folder):
 
 @query("embed_text")
 def embed_text(spark, folder):
-    items = derive.table(spark, folder, "conversations").select(
-        "conv_id", "turn", "text").filter(F.length(F.trim("text")) > 0)
-    vectors = retrieval.embed_text(items, "text", dim=64)
-    return vectors.select("conv_id", "turn", F.size("embedding").alias("dim"), F.round(F.aggregate(
-        "embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("squared_length"))
+    vectors = retrieval.embed_text(_turns(spark, folder), "doc_id", dim=64)
+    return vectors.select("doc_id", F.posexplode("embedding").alias("place", "weight")).filter(
+        "weight > 0").withColumn("weight", F.round("weight", 6))
+
+
+@query("embed_and_correlate")
+def embed_and_correlate(spark, folder):
+    """Texts to vectors to neighbours: the turns of ten conversations in a row are an hour."""
+    turns = _turns(spark, folder)
+    vectors = retrieval.embed_text(turns, "doc_id", dim=64)
+    rows = turns.join(vectors, "doc_id").select(
+        F.col("doc_id").alias("id"), "embedding", (F.col("conv_id") * 360 + F.col("turn")).cast("double").alias("event_epoch"),
+        F.when(F.col("role") == "assistant", "FILE_WRITE").otherwise("DNS_QUERY").alias("event_type"))
+    asking = rows.filter(F.col("event_type") == "FILE_WRITE")
+    return similarity.correlate(asking, rows, k=5, threshold=0.5).select("trigger_id", "id", "similarity", "rank")
 
 
 @query("temporal_candidates")
@@ -579,11 +596,11 @@ def attack_clusters(spark, folder):
 
 @query("tier_split")
 def tier_split(spark, folder):
-    rows = derive.vectors(spark, folder).drop("embedding")
+    rows = derive.vectors(spark, folder)
     now = rows.agg(F.max("event_epoch").alias("m")).first().m
     stay, move = vector_store.split_tiers(rows, now, hot_s=2 * 3600)
-    return stay.select("id", F.lit("active").alias("tier")).unionByName(
-        move.select("id", F.lit("archive").alias("tier")))
+    return _shown_vector(stay.select("id", "embedding", F.lit("active").alias("tier")).unionByName(
+        move.select("id", "embedding", F.lit("archive").alias("tier"))))
 
 
 @query("tier_stats")

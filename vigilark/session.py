@@ -38,13 +38,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input that comes in fewer pieces than there are cores.
+    """``df`` in as many pieces as the setting ``vigilark.input.pieces`` says; as it is without one.
 
-    A table of many row groups is left alone, so large inputs never pay for it.
+    Only for trial runs on tables of a single row group, which one core would read alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if pieces < cores else df
+    pieces = df.sparkSession.conf.get("vigilark.input.pieces", None)
+    return df if pieces is None else df.repartition(int(pieces))
 
 
 def shared_dir(spark: SparkSession) -> str:
