@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from vigilark.operators import graph
+from vigilark.operators import activity, graph
 from vigilark.plans import derive
 from vigilark.streaming import jobs
 
@@ -48,6 +48,10 @@ def test_sliding_scans_and_sessions(spark, feed, tmp_path):
     got = {tuple(r) for r in collect_stream(spark, run(stream), tmp_path / "a").collect()}
     assert got and got <= {tuple(r) for r in run(stored).collect()}
     run = lambda rows: jobs.host_sessions(rows, "3 hours")
+    batch = activity.host_sessions(stored, gap_s=3 * 3600)
+    spans = {(r.hostname, r.session_start): (r.session_end, r.span_minutes, r.n_events) for r in batch.collect()}
+    streamed = {(r.hostname, r.session_start): (r.session_end, r.span_minutes, r.n_events) for r in run(stored).collect()}
+    assert len(streamed) >= len(spans) and sum(spans.get(k) == v for k, v in streamed.items()) >= 0.9 * len(streamed)
     got = {tuple(r) for r in collect_stream(spark, run(stream), tmp_path / "b").collect()}
     assert got and got <= {tuple(r) for r in run(stored).collect()}
 
@@ -110,6 +114,43 @@ def test_ingest_from_files(spark, tmp_path):
     (source / "two.log").write_text('{"event_type": 5}\nplain\n')
     run()
     stored = spark.read.parquet(str(tmp_path / "arch"))
-    assert stored.count() == 3 and stored.select("log_uuid").distinct().count() == 3
+    # The failed line is stored as its minimal row as well.
+    assert stored.count() == 4 and stored.select("log_uuid").distinct().count() == 4
+    assert "heuristic_flags" in stored.columns
     assert {r.triage_severity for r in stored.collect()} == {"P1", "BENIGN"}
-    assert spark.read.parquet(str(tmp_path / "dlq")).count() == 1
+    letters = spark.read.parquet(str(tmp_path / "dlq"))
+    assert letters.count() == 1 and "event_type" in letters.first().payload
+
+
+def test_sliding_bursts(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("u", "1.1.1.1", "h", "AUTHENTICATION_FAILURE", f"2024-01-01 00:00:{s:02d}") for s in range(0, 30, 5)]
+        + [("v", "1.1.1.1", "h", "AUTHENTICATION_FAILURE", "2024-01-01 00:00:00"), ("u", "1.1.1.1", "h", "DNS_QUERY", "2024-01-01 09:00:00")],
+        "user_account string, source_ip string, hostname string, event_type string, t string").withColumn(
+        "event_timestamp", F.col("t").cast("timestamp"))
+    found = jobs.sliding_bursts(rows, threshold=5).collect()
+    assert {r.user_account for r in found} == {"u"} and max(r.n for r in found) == 6
+
+
+def test_scheduled_passes(spark, tmp_path):
+    letters = spark.createDataFrame(
+        [("a", "W", '{"event_type":"DNS_QUERY"}', "r", "2024-01-01T00:00:00Z", 0, False),
+         ("a", "W", '{"event_type":"DNS_QUERY"}', "r", "2024-01-01T00:00:00Z", 0, False)],
+        "dlq_uuid string, work_type string, payload string, failure_reason string, failed_at string, retry_count int, resolved boolean")
+    letters.write.parquet(f"{tmp_path}/letters")
+    jobs.retry_letters(spark, f"{tmp_path}/letters", f"{tmp_path}/after", f"{tmp_path}/queue", "2024-01-01 10:00:00")
+    assert [r.retry_count for r in spark.read.parquet(f"{tmp_path}/after").collect()] == [1, 1]
+    assert spark.read.parquet(f"{tmp_path}/queue").count() == 2
+    rows = spark.createDataFrame([("old", 0.0, [1.0]), ("new", 9e5, [2.0])], "id string, event_epoch double, embedding array<double>")
+    rows.write.parquet(f"{tmp_path}/active")
+    rows.limit(0).write.parquet(f"{tmp_path}/cold")
+    jobs.move_tiers(spark, f"{tmp_path}/active", f"{tmp_path}/cold", f"{tmp_path}/next", hot_s=3600)
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/next/archive").collect()] == [("old", 0.0, [1.0])]
+    assert [r.id for r in spark.read.parquet(f"{tmp_path}/next/active").collect()] == ["new"]
+
+
+def test_a_quiet_day_is_one_file(spark, folder, tmp_path):
+    from vigilark.sources import archive
+    archive.append_archive(derive.sec_log(spark, folder), str(tmp_path / "arch"))
+    files = list((tmp_path / "arch").glob("event_date=*/*.parquet"))
+    assert len(files) == len(list((tmp_path / "arch").glob("event_date=*")))

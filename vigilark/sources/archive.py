@@ -9,16 +9,13 @@ from pyspark.sql import functions as F
 def append_archive(rows: DataFrame, path: str) -> None:
     """Append canonical rows below ``event_date=...``.
 
-    Rows are spread over date and a hash of the uuid, so a busy day is
-    written by many tasks; inside a file they are sorted by address and
-    process so that min/max statistics can skip row groups.
+    The rebalance hint keeps a quiet day in one task, so in one file, and splits a busy
+    day over many by size; inside a file rows are sorted by address and process so
+    that min/max statistics can skip row groups.
     """
-    spark = rows.sparkSession
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dated = rows.withColumn("event_date", F.to_date("event_timestamp"))
     (
-        dated.withColumn("_spread", F.pmod(F.xxhash64("log_uuid"), F.lit(spread)))
-        .repartition("event_date", "_spread").drop("_spread")
+        rows.withColumn("event_date", F.to_date("event_timestamp"))
+        .hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", "source_ip", "process_name")
         .write.mode("append").partitionBy("event_date").parquet(path)
     )

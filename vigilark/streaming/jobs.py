@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vigilark import dims
 from vigilark.operators import deadletters, graph, normalize, severity
 from vigilark.plans.stages import canonical_rows
+from vigilark.sources import vector_store
 from vigilark.sources.lines import stream_lines
 
 LATE_AFTER = "4 hours"
@@ -76,14 +77,15 @@ def sliding_bursts(rows: DataFrame, window: str = "60 seconds", slide: str = "10
 
 
 def host_sessions(rows: DataFrame, gap: str = "30 minutes", delay: str = LATE_AFTER) -> DataFrame:
-    """Sessions per host with their size and severity mix."""
+    """Sessions per host with their first and last row, span, size and severity mix."""
     counts = [F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in dims.SEVERITIES]
     return (
         rows.withWatermark("event_timestamp", delay)
         .groupBy(F.session_window("event_timestamp", gap).alias("s"), "hostname")
-        .agg(F.count("*").alias("n_events"), *counts)
-        .select("hostname", F.col("s.start").alias("session_start"), "n_events",
-                *[f"n_{s.lower()}" for s in dims.SEVERITIES])
+        .agg(F.count("*").alias("n_events"), F.max("event_timestamp").alias("session_end"), *counts)
+        .select("hostname", F.col("s.start").alias("session_start"), "session_end",
+                F.round((F.unix_micros("session_end") - F.unix_micros("s.start")) / 60e6, 2).alias("span_minutes"),
+                "n_events", *[f"n_{s.lower()}" for s in dims.SEVERITIES])
     )
 
 
@@ -156,22 +158,16 @@ def graph_updates(folder: str) -> Callable[[DataFrame, int], None]:
 def late_rows(folder: str, delay_s: int) -> Callable[[DataFrame, int], None]:
     """Batch handler that stores rows older than the newest earlier event time minus a delay.
 
-    The newest event time of each batch is kept as a one-row table.
+    Each batch writes the newest event time up to itself as a one-row table, so only the last one is read.
     """
     def split(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.agg(F.max("event_timestamp").alias("newest")).write.mode("overwrite").parquet(
-            f"{folder}/newest/v{batch_id}")
         before = [v for v in _versions(spark, f"{folder}/newest") if v < batch_id]
-        if not before:
-            late = batch.limit(0)
-        else:
-            newest = spark.read.parquet(*[f"{folder}/newest/v{v}" for v in before]).agg(
-                F.max("newest").alias("m")).first().m
-            late = batch if newest is None else batch.filter(
-                F.unix_micros("event_timestamp")
-                < F.unix_micros(F.lit(newest)) - delay_s * 1_000_000)
-            late = late.limit(0) if newest is None else late
+        newest = spark.read.parquet(f"{folder}/newest/v{before[-1]}").first().newest if before else None
+        batch.agg(F.greatest(F.max("event_timestamp"), F.lit(newest).cast("timestamp")).alias("newest")).write.mode(
+            "overwrite").parquet(f"{folder}/newest/v{batch_id}")
+        late = batch.limit(0) if newest is None else batch.filter(
+            F.unix_micros("event_timestamp") < F.unix_micros(F.lit(newest)) - delay_s * 1_000_000)
         late.write.mode("overwrite").parquet(f"{folder}/late/v{batch_id}")
 
     return split
@@ -183,3 +179,18 @@ def retry_letters(spark: SparkSession, source: str, target: str, queue: str, now
     again, after = deadletters.retry_pass(letters, F.lit(now).cast("timestamp"))
     again.write.mode("append").parquet(queue)
     after.write.mode("overwrite").parquet(target)
+
+
+def move_tiers(spark: SparkSession, active: str, archive: str, target: str, hot_s: int = dims.HOT_WINDOW_S,
+               per_pass: int | None = None) -> None:
+    """One scheduled tiering pass: rows older than ``hot_s`` before the newest move to the archive tier.
+
+    The new tables are written below ``target`` (``active`` and ``archive``), so a pass that fails changes nothing.
+    """
+    rows = spark.read.parquet(active)
+    newest = rows.agg(F.max("event_epoch").alias("m")).first().m
+    if newest is None:
+        newest = 0.0
+    stay, cold = vector_store.migrate(rows, spark.read.parquet(archive), newest, hot_s, per_pass)
+    stay.write.mode("overwrite").parquet(f"{target}/active")
+    cold.write.mode("overwrite").parquet(f"{target}/archive")
