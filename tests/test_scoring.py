@@ -135,3 +135,15 @@ def test_hash_inside_a_longer_run(spark):
     hashes = spark.createDataFrame([(digest.lower(),)], "hash string")
     from vigilark.operators import severity as rules
     assert {r.log_uuid for r in rules.bad_hash_matches(rows, hashes).collect()} == {"a", "b"}
+
+
+def test_routes_and_handoff(spark):
+    from vigilark.operators import severity as rules
+    triaged = spark.createDataFrame([("a", "P0"), ("b", "P1"), ("c", "P2"), ("d", "BENIGN")], "log_uuid string, triage_severity string")
+    routes = {name: {r.log_uuid for r in rows.collect()} for name, rows in rules.triage_routes(triaged).items()}
+    assert routes == {"stop": {"d"}, "report_only": {"c"}, "correlate": {"a", "b"}}
+    stage = spark.createDataFrame([("a", "triage", "1"), ("b", "triage", "0"), ("c", None, "1")],
+                                  "log_uuid string, from_skill string, schema_version string")
+    accepted, letters = rules.handoff_gate(stage, "triage", version="1")
+    assert [r.log_uuid for r in accepted.collect()] == ["a"]
+    assert {r.failure_reason for r in letters.collect()} == {"schema_version_mismatch", "invalid_manifest"}

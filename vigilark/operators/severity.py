@@ -132,14 +132,17 @@ def triage_score(rows: DataFrame, config: ThreatConfig | None = None, profile: s
     )
 
 
-def triage_routes(triaged: DataFrame) -> dict[str, DataFrame]:
-    """The three ways on: stop, report without correlation, correlate."""
+def with_route(triaged: DataFrame) -> DataFrame:
+    """Add ``route``: stop, report_only (no correlation) or correlate."""
     severity = F.col("triage_severity")
-    return {
-        "stop": triaged.filter(severity == "BENIGN"),
-        "report_only": triaged.filter(severity == "P2"),
-        "correlate": triaged.filter(severity.isin("P0", "P1")),
-    }
+    return triaged.withColumn("route", F.when(severity == "BENIGN", "stop").when(severity == "P2", "report_only")
+                              .otherwise("correlate"))
+
+
+def triage_routes(triaged: DataFrame) -> dict[str, DataFrame]:
+    """One frame per route. Each is a plan of its own: write the frame of ``with_route`` where all are needed."""
+    routed = with_route(triaged)
+    return {name: routed.filter(F.col("route") == name).drop("route") for name in ("stop", "report_only", "correlate")}
 
 
 def bad_hash_matches(rows: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -184,14 +187,20 @@ def firewall_rules(rows: DataFrame) -> DataFrame:
     }).filter(F.col("rule").isNotNull())
 
 
-def handoff_gate(stage_rows: DataFrame, expected_stage: str,
-                 version: str = dims.SCHEMA_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, dead letters) by schema version and sending stage."""
+def with_handoff_failure(stage_rows: DataFrame, expected_stage: str,
+                         version: str = dims.SCHEMA_VERSION) -> DataFrame:
+    """Add ``failure_reason``, null for rows that may pass."""
     bad_version = ~F.col("schema_version").eqNullSafe(version)
     bad_stage = ~F.col("from_skill").eqNullSafe(expected_stage)
-    checked = stage_rows.withColumn(
+    return stage_rows.withColumn(
         "failure_reason", F.when(bad_version, "schema_version_mismatch")
         .when(bad_stage, "invalid_manifest"))
+
+
+def handoff_gate(stage_rows: DataFrame, expected_stage: str,
+                 version: str = dims.SCHEMA_VERSION) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, dead letters) by schema version and sending stage."""
+    checked = with_handoff_failure(stage_rows, expected_stage, version)
     accepted = checked.filter(F.col("failure_reason").isNull()).drop("failure_reason")
     letters = checked.filter(F.col("failure_reason").isNotNull()).select(
         F.sha2(F.concat(F.lit("HANDOFF"), F.col("log_uuid")), 256).alias("dlq_uuid"),

@@ -373,10 +373,7 @@ def triage_score_weighted(spark, folder):
 
 @query("triage_route")
 def triage_route(spark, folder):
-    routes = triaged_rows(_enriched(spark, folder), with_activity=False)
-    parts = [rows.select(F.lit(name).alias("route"), "log_uuid")
-             for name, rows in severity.triage_routes(routes).items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return severity.with_route(triaged_rows(_enriched(spark, folder), with_activity=False)).select("route", "log_uuid")
 
 
 @query("handoff_gate")
@@ -384,10 +381,8 @@ def handoff_gate(spark, folder):
     stage = derive.sec_log(spark, folder).select(
         "log_uuid", F.when(F.col("event_id") % 29 == 0, "timeline").otherwise("triage").alias("from_skill"),
         F.when(F.col("event_id") % 23 == 0, "0.9.0").otherwise(dims.SCHEMA_VERSION).alias("schema_version"))
-    accepted, letters = severity.handoff_gate(stage, "triage")
-    return accepted.select("log_uuid", F.lit("accepted").alias("outcome")).unionByName(
-        letters.select(F.get_json_object("payload", "$.log_uuid").alias("log_uuid"),
-                       F.col("failure_reason").alias("outcome")))
+    return severity.with_handoff_failure(stage, "triage").select(
+        "log_uuid", F.coalesce("failure_reason", F.lit("accepted")).alias("outcome"))
 
 
 @query("bad_hash_match")
