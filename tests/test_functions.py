@@ -122,3 +122,17 @@ def test_sanitizers(spark):
 def test_words_and_pairs(spark):
     got = values(one_column(spark, ["The fox, the Été fox a"]), text.with_bigrams(text.words("x", ["the"])))
     assert got == [["fox", "été", "fox", "fox été", "été fox"]]
+
+
+def test_vectors_by_a_model(spark):
+    import pandas as pd
+
+    from vigilark.operators import retrieval
+    texts = spark.createDataFrame([("abc",), ("",), ("a",)], "text string")
+
+    def lengths(batches):
+        for batch in batches:
+            yield pd.Series([[float(len(x)), 1.0] for x in batch])
+
+    got = retrieval.encode_text(texts, "text", lengths).collect()
+    assert [(r.text, r.embedding) for r in got] == [("abc", [3.0, 1.0]), ("", [0.0, 1.0]), ("a", [1.0, 1.0])]

@@ -8,6 +8,8 @@ place. A task hands on only the ``k`` best rows per trigger, never its pairs.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -166,9 +168,16 @@ def correlate(triggers: DataFrame, candidates: DataFrame, k: int = dims.K_NEIGHB
     )
 
 
-def _signature(dim: int, tables: int, bits: int, seed: int):
-    """One integer per hash table: the signs of fixed random projections."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
+def _signature(dim: int, tables: int, bits: int):
+    """One integer per hash table: the signs of projections on vectors of plus and minus one.
+
+    A component is plus one if the md5 of ``table:bit:dimension`` begins with a digit below 8, so any
+    engine can draw the same planes.
+    """
+    def plane(t: int, b: int) -> list[int]:
+        return [1 if hashlib.md5(f"{t}:{b}:{d}".encode()).hexdigest()[0] < "8" else -1 for d in range(dim)]
+
+    planes = np.array([[plane(t, b) for b in range(bits)] for t in range(tables)], np.float64)
     powers = 1 << np.arange(bits)
 
     def sign(batches):
@@ -185,14 +194,14 @@ def _signature(dim: int, tables: int, bits: int, seed: int):
 
 
 def correlate_lsh(triggers: DataFrame, candidates: DataFrame, dim: int, tables: int = 8,
-                  bits: int = 4, seed: int = 7, k: int = dims.K_NEIGHBORS,
+                  bits: int = 4, k: int = dims.K_NEIGHBORS,
                   threshold: float = dims.SIMILARITY_THRESHOLD) -> DataFrame:
     """Approximate :func:`correlate`: only rows sharing a hash code of some table are compared."""
     def coded(side: DataFrame) -> DataFrame:
         from pyspark.sql import types as T
         schema = T.StructType([*side.schema.fields,
                                T.StructField("codes", T.ArrayType(T.LongType()))])
-        hashed = side.mapInArrow(_signature(dim, tables, bits, seed), schema)
+        hashed = side.mapInArrow(_signature(dim, tables, bits), schema)
         return hashed.select(*side.columns, F.posexplode("codes").alias("hash_table", "code"))
 
     left, right = _bucketed(with_window(triggers), candidates)
