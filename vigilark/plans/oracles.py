@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vigilark.dims import STOP_WORDS
+from vigilark.operators.parse import WHITE_SPACE
 
 ORACLES: dict[str, str] = {}
 
@@ -1139,6 +1140,31 @@ ORACLES.update({
         FROM enriched WHERE mitre_technique_hint IS NOT NULL GROUP BY ALL""", enriched()),
 })
 
+# ---- message chunks ----------------------------------------------------------------------
+def packed(pieces: str, start: str, joiner: str, acc: str, x: str, long: str) -> str:
+    """A fold over pieces: (finished chunks, open chunk); a piece is itself in the shape of a state."""
+    joined = f"CASE WHEN {acc}.open <> '' THEN trim({acc}.open || {joiner} || {x}.open, {BLANK_CHARS}) ELSE {x}.open END"
+    return f"""list_reduce(list_prepend({start}, list_transform({pieces}, lambda p: {{'done': []::VARCHAR[], 'open': p}})),
+ lambda {acc}, {x}: CASE WHEN length({joined}) <= 4096 THEN {{'done': {acc}.done, 'open': {joined}}}
+  WHEN length({x}.open) > 4096 THEN {long} ELSE {{'done': {finished(acc)}, 'open': {x}.open}} END)"""
+
+
+def finished(state: str) -> str:
+    return f"CASE WHEN {state}.open <> '' THEN list_append({state}.done, {state}.open) ELSE {state}.done END"
+
+
+BLANK_CHARS = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
+BY_LINE = packed("string_split(x.open, chr(10))", f"{{'done': {finished('a')}, 'open': ''}}", "chr(10)", "b", "y",
+                 f"{{'done': list_concat({finished('b')}, list_transform(range(0, length(y.open), 4096), "
+                 "lambda i: substr(y.open, i + 1, 4096))), 'open': ''}")
+ORACLES["chunk_messages"] = f"""
+WITH messages AS (SELECT doc_id, replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) AS text FROM documents),
+folded AS (SELECT doc_id, text, CASE WHEN length(text) > 4096 THEN {packed("string_split(text, chr(10) || chr(10))",
+  "{'done': []::VARCHAR[], 'open': ''}", "chr(10) || chr(10)", "a", "x", BY_LINE)} END AS s FROM messages),
+chunked AS (SELECT doc_id, CASE WHEN s IS NULL THEN [text] ELSE {finished('s')} END AS c FROM folded)
+SELECT doc_id, i::INT AS chunk_no, CASE WHEN len(c) > 1 THEN '(' || i || '/' || len(c) || ')' || chr(10) || c[i] ELSE c[i] END AS chunk
+FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM chunked)"""
+
 # ---- dead letters ------------------------------------------------------------------------
 LETTERS = """
 letters AS (SELECT k, 'dlq-' || k AS dlq_uuid, ['INGESTION', 'CORRELATION', 'EMBEDDING'][k % 3 + 1] AS work_type,
