@@ -10,7 +10,7 @@
    sketch's concentration, are compared as sets. So no bucket is ever expanded into all its pairs.
 
 A link is missed only if no band agrees, which at similarity 0.75 has a probability of
-(1 - 0.75^4)^32 = 5e-6, or if a sketch of 256 bins falls four deviations short.
+(1 - 0.75^4)^32 = 5e-6, or if a sketch of 512 bins falls four deviations short.
 
 Defined cases: texts that are null or without words are linked with nothing; fewer words than a shingle
 make one shingle; rows without id have no component and are kept; rows with one id are one document in
@@ -30,7 +30,7 @@ from vigilark.operators.clusters import connected_components
 
 SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
 #: Members that one task compares with a hub's set, and members of a tile's side.
-CHUNK, SIDE = 500, 1000
+CHUNK, SIDE = 500, 500
 
 
 def sketches(docs: DataFrame, width: int, bins: int, band_rows: int, banded: int) -> DataFrame:
@@ -96,39 +96,46 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 def close_in_tiles(members: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of different components within a bucket whose sketches agree in ``least`` of their bins.
 
-    ``members``: band, id, component, sketch. A bucket of more than ``SIDE`` members is compared tile by tile.
+    ``members``: band, id, component, sketch, bands. A bucket of more than ``SIDE`` members is compared tile by
+    tile. Members that share several buckets are a pair in the first of them only.
     """
     sides = members.groupBy("band").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
     dealt = members.join(sides, "band").withColumn("side", F.pmod(F.xxhash64("id"), "sides").cast("int"))
     first = dealt.withColumn("other", F.explode(F.sequence(F.col("side"), F.col("sides") - 1)))
     second = dealt.withColumn("other", F.col("side")).withColumn(
         "side", F.explode(F.filter(F.sequence(F.lit(0), F.col("sides") - 1), lambda s: s < F.col("other"))))
-    left = first.select("band", "side", "other", F.lit(True).alias("left"), "id", "component", "sketch")
-    right = second.select("band", "side", "other", F.lit(False).alias("left"), "id", "component", "sketch")
+    left = first.select("band", "side", "other", F.lit(True).alias("left"), "id", "component", "sketch", "bands")
+    right = second.select("band", "side", "other", F.lit(False).alias("left"), "id", "component", "sketch", "bands")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         ids, components = rows.column("id").to_numpy(), rows.column("component").to_numpy()
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
         left = np.flatnonzero(rows.column("left").to_numpy(zero_copy_only=False))
         right = np.flatnonzero(~rows.column("left").to_numpy(zero_copy_only=False))
-        same = key[1].as_py() == key[2].as_py()
+        bands_ = np.array(rows.column("bands").to_pylist(), np.int64)
+        same, here = key[1].as_py() == key[2].as_py(), key[0].as_py()
         a, b = [], []
         for k, i in enumerate(left.tolist()):
             to = left[k + 1:] if same else right
             to = to[components[to] != components[i]]
             if len(to):
                 near = to[(sketch[to] == sketch[i]).mean(axis=1) >= least]
+                shared = bands_[near] == bands_[i]
+                first = bands_[i][shared.argmax(axis=1)]
+                near = near[(first == here) | ~(shared & (bands_[near] == here)).any(axis=1)]
                 a.append(np.minimum(ids[near], ids[i]))
                 b.append(np.maximum(ids[near], ids[i]))
         none = [np.zeros(0, np.int64)]
         return pa.table({"a": pa.array(np.concatenate(a or none), pa.int64()),
                          "b": pa.array(np.concatenate(b or none), pa.int64())})
 
-    return left.unionByName(right).groupBy("band", "side", "other").applyInArrow(run, "a long, b long").distinct()
+    # Dealt by tile, not by bucket as the joins above are, so that a large bucket's tiles are many tasks.
+    tiles = left.unionByName(right).repartition("band", "side", "other")
+    return tiles.groupBy("band", "side", "other").applyInArrow(run, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75,
-           bins: int = 256, band_rows: int = 4, banded: int = 128) -> DataFrame:
+           bins: int = 512, band_rows: int = 4, banded: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable), kept (it is the smallest)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = written(sketches(texts, width, bins, band_rows, banded), "sketches")
@@ -159,9 +166,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         "band", "id", F.coalesce("component", "id").alias("component"))
     mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     open_ = members.join(mixed.select("band"), "band").join(
-        distinct.groupBy("id").agg(F.min("sketch").alias("sketch")), "id")
+        distinct.dropDuplicates(["id"]), "id")
     least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / bins) ** 0.5
-    close = close_in_tiles(open_.select("band", "id", "component", "sketch"), least)
+    close = close_in_tiles(open_.select("band", "id", "component", "sketch", "bands"), least)
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = written(verified(written(close.join(tested, ["a", "b"], "left_anti"), "close"), texts, width, percent), "late")
     if not late.isEmpty():
