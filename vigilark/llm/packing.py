@@ -25,7 +25,7 @@ from vigilark.llm.subwords import WordEncoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length that are ranked in one group.
-RANKED = 2000
+RANKED = 500
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1,
