@@ -2,11 +2,10 @@ import random
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import test_neardup, test_packing
-from vigilark.llm import language, quality, secret_scan
+from vigilark.llm import language, quality
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, nth int"
 

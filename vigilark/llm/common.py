@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -53,9 +53,3 @@ def sliced(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         held += size
     if start < len(sizes):
         yield batch.slice(start)
-
-
-def by_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch], batches: Batches, column: str) -> Batches:
-    for batch in batches:
-        for part in sliced(batch, column):
-            yield work(part)

@@ -20,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilark.llm.common import Batches
-
 
 def usable(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str) -> DataFrame:
     """id, vector (doubles), is_query and dims of the rows that take part."""
