@@ -27,7 +27,7 @@ class WordEncoder:
     them; each distinct part is encoded once and kept in a store of at most ``most`` parts.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,42 +55,41 @@ class WordEncoder:
     def _places(self, parts: list[str], plain: list[bool]) -> np.ndarray:
         """The store's number of each part; new parts are encoded and added."""
         known = self.known
+        found = list(map(known.get, parts))
         sizes, fresh = [], []
-        for part, easy in zip(parts, plain):
-            if part not in known:
-                known[part] = len(known)
-                ids = self._encoded(part, easy)
-                sizes.append(len(ids))
-                fresh += ids
+        for i in [i for i, place in enumerate(found) if place is None]:
+            found[i] = known[parts[i]] = len(known)
+            ids = self._encoded(parts[i], plain[i])
+            sizes.append(len(ids))
+            fresh += ids
         if sizes:
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
             self.ids = np.concatenate([self.ids, np.array(fresh, np.uint32)])
-        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        return np.array(found, np.int64)
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's ids start (with the end)."""
         words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-        offsets = words.offsets.to_numpy().astype(np.int64)
-        coded = words.flatten().dictionary_encode()
+        return self.words(words.flatten().dictionary_encode(), words.offsets.to_numpy().astype(np.int64))
+
+    def words(self, coded: pa.DictionaryArray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that are cut at white space already: their words, and where each text's words start."""
         stems = pc.ascii_rtrim(coded.dictionary, characters=SIGNS)
         plain = pc.match_substring_regex(stems, PLAIN)
-        stems = pc.if_else(plain, stems, coded.dictionary)
-        # What stands behind a stem; only a plain stem is shorter than its word.
-        tails = pc.if_else(plain, pc.replace_substring_regex(coded.dictionary, PLAIN[:-1], ""), "")
-        spots = []
-        for parts in (stems, tails):
-            each = parts.dictionary_encode()
-            easy = pc.match_substring_regex(each.dictionary, PLAIN).to_pylist()
-            spots.append((each, easy))
-        if len(self.known) + sum(len(easy) for _, easy in spots) > self.most:
+        # What stands behind a stem; only a plain stem is cut from its word.
+        cut = pc.and_(plain, pc.less(pc.binary_length(stems), pc.binary_length(coded.dictionary)))
+        tails = pc.replace_substring_regex(coded.dictionary.filter(cut), PLAIN[:-1], "").dictionary_encode()
+        stems = pc.if_else(plain, stems, coded.dictionary).dictionary_encode()
+        plain, cut = plain.to_numpy(zero_copy_only=False), cut.to_numpy(zero_copy_only=False)
+        easy = np.zeros(len(stems.dictionary), bool)
+        easy[stems.indices.to_numpy()[plain]] = True
+        if len(self.known) + len(stems.dictionary) + len(tails.dictionary) > self.most:
             self._empty()
-        # Two parts for each word, in the order of the text.
-        which = coded.indices.to_numpy()
-        parts = np.empty((len(which), 2), np.int64)
-        for k, (each, easy) in enumerate(spots):
-            places = self._places(each.dictionary.to_pylist(), easy)
-            parts[:, k] = places[each.indices.to_numpy()][which]
-        parts = parts.ravel()
+        # Two parts for each word, in the order of the text; the second may be the empty one, at place 0.
+        places = np.zeros((len(plain), 2), np.int64)
+        places[:, 0] = self._places(stems.dictionary.to_pylist(), easy.tolist())[stems.indices.to_numpy()]
+        places[cut, 1] = self._places(tails.dictionary.to_pylist(), [False] * len(tails.dictionary))[tails.indices.to_numpy()]
+        parts = places[coded.indices.to_numpy()].ravel()
         sizes = (self.starts[1:] - self.starts[:-1])[parts]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         # Position k of the output belongs to part p and is the (k - ends[p])-th id of that part.
