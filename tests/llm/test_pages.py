@@ -72,3 +72,28 @@ def test_importance_equals_plain_entropies(site):
         content = 1 - sum(n * math.log(n, m) for n in said.values()) / sum(said.values())
         weight = 0.9 ** len(layouts)
         assert abs(got[key] - ((1 - weight) * presentation + weight * content)) < 1e-9
+
+
+def test_copies_and_repeats_leave_a_marked_article_whole(spark):
+    part = "<article><h1>Title</h1><p>{}</p><ul><li>one</li></ul></article>"
+    long = "The story that all of these pages tell at some length."
+    rows = [(i, "http://copies.example/", "<body><div class=x><p>Foot</p></div>" + part.format(long) + "</body>") for i in range(40)]
+    # Without a mark: 38 copies beside two other pages.
+    rows += [(100 + i, "http://plain.example/", f"<body><div class=t><p>Head</p></div><div class=y><p>{long}</p></div>"
+              f"<div class=z><p>Tail {max(i, 37)}</p></div></body>") for i in range(40)]
+    # Different pages whose articles share a heading.
+    rows += [(200 + i, "http://heads.example/", "<body>" + part.format(f"{long} {i}") + "</body>") for i in range(40)]
+    got = {r.page_id: r.text for r in pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(40)} == {f"Title\n{long}\none"}
+    assert all(got[100 + i] == f"Head\n{long}\nTail {max(i, 37)}" for i in range(40))
+    assert all(got[200 + i] == f"Title\n{long} {i}\none" for i in range(40))
+
+
+def test_few_pages_cut_less(spark):
+    def kept(n):
+        rows = [(i, "http://s.example/", f"<body><div class=x><p>Foot</p></div><div class=y><p>A story of its own, number {i}</p></div></body>")
+                for i in range(n)]
+        found = pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        return all(r.text.startswith("Foot") for r in found)
+
+    assert kept(19) and not kept(21)

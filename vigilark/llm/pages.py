@@ -7,8 +7,9 @@ has a low importance, and its branch is cut from each page.
 
 Menus and adverts may say something else on every page, so entropy alone would keep them: elements that
 are named for what they are (navigation, footer, form, advert ...) have no importance from the start, and
-where a page marks its article, only the article is read. A branch that holds most of a page's
-remaining text is never cut, nor is one that too few pages of the host have.
+where a page marks its article, only the article is read, and the style tree cuts nothing inside it. A branch that
+holds most of a page's remaining text is never cut. Pages of a host that say the same count once, so copies make
+nothing look repeated, and a node that few of them have keeps an importance near 1.
 
 Defined cases: null or empty pages have an empty text; a missing or odd address makes a host of its own text;
 repeated rows and null ids give a row each; an empty table gives an empty result; other columns are not read.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -56,12 +58,14 @@ class Node(NamedTuple):
     main: bool  # inside an article
     noise: bool
     above: tuple[int, ...]  # keys from the top, its own included
+    outer: tuple[int, ...]  # those of them outside of an article
 
 
 class Block(NamedTuple):
     text: str
     path: tuple[int, ...]
     main: bool
+    outer: tuple[int, ...]  # the part of the path outside of a marked article
 
 
 class Page(NamedTuple):
@@ -90,7 +94,7 @@ def named(attributes: str) -> tuple[str, set[str], bool, bool]:
 
 def parse(source: str) -> Page:
     """The page's blocks of text outside of branches that are noise by name, and each node's children."""
-    top = Node("", 0, False, False, ())
+    top = Node("", 0, False, False, (), ())
     stack, blocks, children = [top], [], defaultdict(list)
     held: list[str] = []
     held_at = top
@@ -100,7 +104,7 @@ def parse(source: str) -> Page:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                blocks.append(Block(text, held_at.above, held_at.main))
+                blocks.append(Block(text, held_at.above, held_at.main, held_at.outer))
             held = []
 
     def say(text: str) -> None:
@@ -169,7 +173,8 @@ def parse(source: str) -> Page:
             end = RAW[tag].search(source, at)
             at = end.end() if end else len(source)
             continue
-        stack.append(Node(tag, key, main, noise, (*up.above, key)))
+        above = (*up.above, key)
+        stack.append(Node(tag, key, main, noise, above, up.outer if main else above))
     flush()
     if any(b.main for b in blocks):
         blocks = [b for b in blocks if b.main]
@@ -188,7 +193,7 @@ def features(page: Page) -> set[tuple[int, bool, int]]:
 
 
 def cut(page: Page, low: set[int], most: float = 0.5) -> list[str]:
-    """The texts that stay when the branches in ``low`` go, outermost first."""
+    """The texts that stay when the branches in ``low`` go, outermost first; marked articles stay whole."""
     blocks = page.blocks
     total = sum(len(b.text) for b in blocks)
     size: dict[int, int] = defaultdict(int)
@@ -196,33 +201,40 @@ def cut(page: Page, low: set[int], most: float = 0.5) -> list[str]:
         for key in b.path:
             size[key] += len(b.text)
     gone = {key for key in low if size.get(key, 0) <= most * total}
-    return [b.text for b in blocks if gone.isdisjoint(b.path)] if gone else [b.text for b in blocks]
+    return [b.text for b in blocks if gone.isdisjoint(b.outer)] if gone else [b.text for b in blocks]
 
 
 def host_of(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def importance(pages: DataFrame, decay: float = 0.9) -> DataFrame:
+def importance(pages: DataFrame, decay: float = 0.9, copies: bool = True) -> DataFrame:
     """host, node, pages, importance of the style tree of each host, from all of its pages (host, html).
 
     (1 - decay^l) * presentation + decay^l * content, where l is the number of layouts of the node, both entropies
     are to the base of its number of pages, and a text that c of m pages have adds 1 - log c / log m.
+    Without ``copies``, pages of a host with the same features count as one.
     Counts are combined before the shuffle, and keys hold node and feature, so a hot host is many keys.
     """
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for part in sliced(batch, "html"):
-                rows = [(host, *f) for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist())
-                        for f in features(parse(source or ""))]
-                kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64()]
-                columns = zip(*rows) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds)],
-                                                 names=["host", "node", "is_style", "feature"])
-
+                found = [features(parse(source or "")) for source in part.column("html").to_pylist()]
+                columns = list(zip(*(f for fs in found for f in fs))) or [()] * 3
+                kinds = {"node": pa.int64(), "is_style": pa.bool_(), "feature": pa.int64()}
+                rows = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds.values())], names=list(kinds))
+                ends = pa.array(list(accumulate(map(len, found), initial=0)), pa.int32())
+                digests = [xxhash.xxh3_128_digest(repr(sorted(fs))) for fs in found]
+                yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, rows)],
+                                                 names=["host", "page", "features"])
+
+    found = pages.mapInArrow(run, "host string, page binary, features array<struct<node: long, is_style: boolean, feature: long>>")
+    if not copies:
+        found = found.groupBy("host", "page").agg(F.first("features").alias("features"))
+    said = found.select("host", F.inline("features"))
     n = F.col("n").cast("double")
-    counted = (pages.mapInArrow(run, "host string, node long, is_style boolean, feature long")
+    counted = (said
                .groupBy("host", "node", "is_style", "feature").agg(F.count("*").alias("n"))
                .groupBy("host", "node").agg(
                    F.sum(F.when(F.col("is_style"), n)).alias("pages"),
@@ -242,13 +254,18 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                threshold: float = 0.2, least_pages: int = 20) -> DataFrame:
     """page_id, url, text: the main blocks in page order, joined by line breaks.
 
+    A node's importance is drawn towards 1 as if some more pages had it, each all different, beside the m that do: so many
+    that a node without any importance is cut from ``least_pages`` different pages on. The fewer, the less is cut.
+
     The low nodes of a host are one row beside its pages; that table is written, so the optimizer knows its size
     and sends it to all tasks or joins by host, splitting a host with very many pages.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"),
                         F.col(html_col).alias("html"))
-    low = written(importance(rows.select("host", "html"))
-                  .filter((F.col("importance") < threshold) & (F.col("pages") >= least_pages))
+    more = least_pages * threshold / (1 - threshold)
+    drawn = (F.col("pages") * F.greatest("importance", F.lit(0.0)) + more) / (F.col("pages") + more)
+    low = written(importance(rows.select("host", "html"), copies=False)
+                  .filter(drawn <= threshold + 1e-9)
                   .groupBy("host").agg(F.collect_list("node").alias("low")), "style-tree")
 
     def run(batches: Batches) -> Batches:
