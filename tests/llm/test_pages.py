@@ -97,3 +97,17 @@ def test_few_pages_cut_less(spark):
         return all(r.text.startswith("Foot") for r in found)
 
     assert kept(19) and not kept(21)
+
+
+def test_names_do_not_drop_the_story():
+    story = "<h1>Title</h1><p>A story that is long enough to be most of what this page has to say.</p>"
+    want = ["Title", "A story that is long enough to be most of what this page has to say."]
+    for page in ('<div class="layout has-sidebar"><article>{}</article></div>', '<div class="elementor-widget-container">{}</div>',
+                 '<article class="post category-menu">{}</article>', '<div id="search-results-page">{}</div>',
+                 '<div class="widget"><article>{}</article></div>', '<div class="widget">{}</div><p>Small</p><div class="ad">Buy</div>',
+                 '<article><div class="widget">{}</div><div class="share-buttons">Share</div></article>'):
+        got = texts(f"<body>{page.format(story)}</body>")
+        assert [t for t in got if t != "Small"] == want, page
+    assert texts(f"<body><div class=x>{story}</div><article><p>Teaser</p></article><div class=z>Other</div></body>") == [*want, "Teaser"]
+    assert texts(f'<body><article>{story}</article><div class="related-posts"><article>Next</article></div>'
+                 '<div class="main-nav">Menu</div><div class="cookie-banner">Cookies</div></body>') == want

@@ -6,8 +6,10 @@ node of the tree two entropies are taken over the host's pages: of the ways its
 has a low importance, and its branch is cut from each page.
 
 Menus and adverts may say something else on every page, so entropy alone would keep them: elements that
-are named for what they are (navigation, footer, form, advert ...) have no importance from the start, and
-where a page marks its article, only the article is read, and the style tree cuts nothing inside it. A branch that
+are named for what they are (navigation, footer, form, advert ...) have no importance from the start. A class or id is
+such a name as a whole, or with words that only say where it stands; a branch that only a class or id names
+stays if it holds most of the page's text. An article ends what a name around it says, unless the page
+has another article outside of such branches. Where a page marks its article, only the article is read, and the style tree cuts nothing inside it. A branch that
 holds most of a page's remaining text is never cut. Pages of a host that say the same count once, so copies make
 nothing look repeated, and a node that few of them have keeps an importance near 1.
 
@@ -48,6 +50,9 @@ NOISE_NAMES = set("""ad ads advert advertisement advertising sponsor sponsored p
 gdpr notice notices alert sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead
 comment comments reply replies disqus share sharing social related recommended newsletter subscribe signup popup modal
 widget pagination pager search""".split())
+#: Words that may stand beside those in a class or id and only say where a branch is or what it is made of.
+PLACES = set("""site page main global top bottom left right side primary secondary bar box list links items item buttons button
+slot unit wrapper wrap container block section area content inner posts post articles stories media form text""".split())
 #: Not noise inside an article, where they hold its title.
 HEADERS = {"header", "masthead"}
 
@@ -59,6 +64,8 @@ class Node(NamedTuple):
     noise: bool
     above: tuple[int, ...]  # keys from the top, its own included
     outer: tuple[int, ...]  # those of them outside of an article
+    named: tuple[int, ...]  # those of them that a class or id names as noise
+    inherited: bool  # in an article inside a branch that is noise by name
 
 
 class Block(NamedTuple):
@@ -66,6 +73,8 @@ class Block(NamedTuple):
     path: tuple[int, ...]
     main: bool
     outer: tuple[int, ...]  # the part of the path outside of a marked article
+    named: tuple[int, ...]  # the part of the path that a class or id names as noise
+    inherited: bool  # in an article inside a branch that is noise by name
 
 
 class Page(NamedTuple):
@@ -74,7 +83,7 @@ class Page(NamedTuple):
 
 
 def named(attributes: str) -> tuple[str, set[str], bool, bool]:
-    """A style name, the words of class, id and role, whether it marks an article, whether it is hidden."""
+    """A style name, the names in class and id, whether it marks an article, whether it is hidden."""
     style, words, main, hidden = [], set(), False, False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -88,13 +97,41 @@ def named(attributes: str) -> tuple[str, set[str], bool, bool]:
         else:
             # Numbers differ from page to page; the name without them is the style.
             style.append(re.sub(r"\d+", "", value))
-            words.update(re.split(r"[^a-z]+", value))
+            words.update(value.split())
     return " ".join(style), words, main, hidden
 
 
+def noise_names(words: set[str]) -> set[str]:
+    """The names of noise in classes and ids of which every word is one, or a place."""
+    out = set()
+    for word in words:
+        parts = {x for x in re.split(r"[^a-z]+", word) if x}
+        if parts <= NOISE_NAMES | PLACES:
+            out |= parts & NOISE_NAMES
+    return out
+
+
+def kept(blocks: list[Block], most: float = 0.5) -> list[Block]:
+    """The blocks outside of branches that are noise by name or, in pages with a marked article, not marked.
+
+    A branch that holds more than ``most`` of the page's text stays in any case.
+    """
+    size: dict[int | tuple[int, ...], int] = defaultdict(int)
+    for b in blocks:
+        for key in {*b.path, b.path}:  # branches, and the text that stands in an element itself
+            size[key] += len(b.text)
+    total = sum(len(b.text) for b in blocks)
+    large = {key for key, n in size.items() if n > most * total}
+    stays = [b for b in blocks if large.issuperset(b.named)]
+    clean = any(b.main and not b.inherited for b in stays)
+    read = [b.main and not (clean and b.inherited) for b in stays]
+    marked = {key for b, r in zip(stays, read) if r for key in b.path}
+    return [b for b, r in zip(stays, read) if r or not marked or not large.isdisjoint({*b.path, b.path} - marked)]
+
+
 def parse(source: str) -> Page:
     """The page's blocks of text outside of branches that are noise by name, and each node's children."""
-    top = Node("", 0, False, False, (), ())
+    top = Node("", 0, False, False, (), (), (), False)
     stack, blocks, children = [top], [], defaultdict(list)
     held: list[str] = []
     held_at = top
@@ -104,7 +141,7 @@ def parse(source: str) -> Page:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                blocks.append(Block(text, held_at.above, held_at.main, held_at.outer))
+                blocks.append(Block(text, held_at.above, held_at.main, held_at.outer, held_at.named, held_at.inherited))
             held = []
 
     def say(text: str) -> None:
@@ -157,11 +194,12 @@ def parse(source: str) -> Page:
         style, words, main, hidden = named(m[3]) if m[3] else ("", set(), False, False)
         up = stack[-1]
         main = up.main or main or tag in ("article", "main")
-        bad = (words & NOISE_NAMES) - (HEADERS if up.main else set())
-        noise = up.noise or hidden or tag in NOISE_TAGS or bool(bad) or (tag == "header" and not up.main)
+        begins = main and not up.main
+        bad = not begins and tag not in ("html", "body") and bool(noise_names(words) - (HEADERS if up.main else set()))
+        noise = up.noise or hidden or tag in NOISE_TAGS or (tag == "header" and not up.main)
         if tag in ("html", "body") and not hidden:
             noise = False
-        if not up.noise and not noise:
+        if not up.noise and not noise and not bad:
             kids = children[up.key]
             if not kids or kids[-1] != tag:
                 kids.append(tag)
@@ -174,11 +212,10 @@ def parse(source: str) -> Page:
             at = end.end() if end else len(source)
             continue
         above = (*up.above, key)
-        stack.append(Node(tag, key, main, noise, above, up.outer if main else above))
+        named_ = () if begins else (*up.named, key) if bad else up.named
+        stack.append(Node(tag, key, main, noise, above, up.outer if main else above, named_, up.inherited or (begins and bool(up.named))))
     flush()
-    if any(b.main for b in blocks):
-        blocks = [b for b in blocks if b.main]
-    return Page(blocks, children)
+    return Page(kept(blocks), children)
 
 
 def features(page: Page) -> set[tuple[int, bool, int]]:
