@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import byte_bpe, chat, language, lm, nearest, neardup, packing, pages, quality, secret_scan
+from vigilark.llm import byte_bpe, chat, language, lm, nearest, neardup, packing, pages, quality, secret_scan, whitening
 from vigilark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,11 @@ def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(table(spark, folder, "documents"), lm.Settings(public_tokenizers.path("word_bpe_49k.json")))
 
 
+@query
+def op11_whiten(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"), components=16)
+
+
 ORACLES["op6_near_duplicates"] = r"""
 WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
