@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import byte_bpe, chat, collocations, language, lm, nearest, neardup, packing, pages, quality, secret_scan, whitening
+from vigilark.llm import (byte_bpe, chat, collocations, language, licenses, lm, nearest, neardup, packing, pages, quality,
+                          secret_scan, whitening)
 from vigilark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +111,11 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents").select("text", "lang"))
 
 
+@query
+def op13_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.labelled(licenses.scan(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 ORACLES["op6_near_duplicates"] = r"""
 WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -164,3 +170,38 @@ SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DES
    a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
 WHERE most IS NULL OR 100 * most < 100 * a QUALIFY rank <= 2000"""
+
+
+def _license_twin() -> str:
+    """Every block against every template, by their words."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    templates = ", ".join(f"({i}, {quoted(label)}, {quoted(text)})" for i, (label, text) in enumerate(licenses.TEMPLATES))
+    phrases = ", ".join(f"({quoted(label)}, {quoted(phrase)})" for label, phrase in licenses.PHRASES)
+    low = lambda t: f"translate({t}, '{licenses.UPPER}', '{licenses.LOWER}')"
+    words = lambda t: rf"list_filter(regexp_split_to_array({t}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    return rf"""
+WITH texts AS (SELECT row_number() OVER () AS row_id, doc_id, {low("coalesce(text, '')")} AS low FROM documents),
+docs AS (SELECT *, {words("low")} AS w FROM texts),
+templates AS (SELECT template, label, list_distinct({words(low("t"))}) AS w FROM (VALUES {templates}) v(template, label, t)),
+blocks AS (SELECT row_id, unnest(b) AS block_text, unnest(range(len(b))) AS block
+  FROM (SELECT row_id, regexp_split_to_array(low, '[.!?][\x09-\x0D\x20]+|\n[\x09\x20]*\n') AS b FROM texts)),
+tokens AS (SELECT row_id, block, unnest(list_distinct({words("block_text")})) AS word FROM blocks),
+shared AS (SELECT row_id, block, template, label, len(any_value(w)) AS size, count(*) AS overlap
+  FROM tokens JOIN (SELECT *, unnest(w) AS word FROM templates) USING (word) GROUP BY ALL
+  HAVING 100 * count(*) >= {licenses.PERCENT} * len(any_value(w))),
+best AS (SELECT row_id, label, overlap / size AS containment FROM shared
+  QUALIFY rank() OVER (PARTITION BY row_id, block ORDER BY overlap / size DESC, overlap DESC) = 1),
+base AS (SELECT row_id, label, unnest(list_filter(range(len(w)), lambda i: list_slice(w, i + 1, i + len(p)) = p)) AS place
+  FROM docs, (SELECT label, string_split(t, ' ') AS p FROM (VALUES {phrases}) v(label, t))),
+labels AS (SELECT row_id, label, true AS is_base FROM base UNION SELECT row_id, label, false FROM best),
+named AS (SELECT row_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM labels GROUP BY row_id),
+counts AS (SELECT row_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM base GROUP BY row_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0)::DOUBLE END AS score
+FROM docs LEFT JOIN counts USING (row_id) LEFT JOIN named USING (row_id)
+LEFT JOIN (SELECT row_id, max(containment) AS c FROM best GROUP BY row_id) USING (row_id)"""
+
+
+ORACLES["op13_licenses"] = _license_twin()
