@@ -7,12 +7,15 @@ only for fingerprints that are frequent:
 
 1. Words and pairs are counted by fingerprint.
 2. Longer phrases are counted where each pair of words inside is frequent.
-3. Every occurrence of a frequent fingerprint is verified against the text: inside a batch by the word codes
-   at the pointer of its group, over batches by the phrase's own text, which is what the last counts sum by.
+3. Frequent fingerprints are materialised: the text that holds the pointer's occurrence gives the phrase.
+4. Every occurrence of a frequent fingerprint is verified, word by word, against that phrase. Occurrences of
+   another phrase (a collision) are taken off the count and counted by their own text.
 
-A colliding fingerprint can only be counted too high before step 3, so nothing is lost and the counts are
-exact. What is frequent travels as a Bloom filter of ``filter_bits`` bits, whatever the size of the corpus. Too
-many phrases for it let infrequent ones through to the shuffle, and step 3 drops them.
+A colliding fingerprint can only be counted too high before step 4, so nothing is lost and the counts are
+exact. Frequent pairs travel to step 2 as a Bloom filter of ``filter_bits`` bits, whatever the size of the corpus;
+too many pairs for it only let more phrases through to the shuffle. Steps 3 and 4 broadcast the frequent
+fingerprints if they are at most ``most``. With more, every task sends the phrases of what passes a Bloom filter, each
+verified inside its batch, and the shuffle sums them by their text.
 
 Defined cases: a null text is an empty one, a null language is ``und``; repeated rows and null ids count as rows;
 an empty table gives an empty result; other columns are not read.
@@ -35,6 +38,8 @@ from vigilark.llm.shingles import FACTOR, mix
 
 #: Longest phrase in words.
 WORDS = 5
+#: Longest phrase that is counted without looking at its pairs.
+SHORT = 2
 #: 1 for what stands between words, 2 for what ends a piece, by byte. Fixed values.
 BETWEEN, ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Odd, so that it has an inverse modulo 2**64.
@@ -106,6 +111,7 @@ class Grams:
 
     def __init__(self, part: pa.RecordBatch):
         self.words = tokens(part.column("text"))
+        self.good: np.ndarray | None = None
         langs = part.column("lang").dictionary_encode()
         self.lang = langs.indices.to_numpy().astype(np.int64)[self.words.row]
         self.langs = langs.dictionary
@@ -118,10 +124,26 @@ class Grams:
                          | (self.words.place.astype(np.uint64) & np.uint64(2 ** 24 - 1))).view(np.int64)
 
     def fingerprints(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The fingerprint of the n-gram at each word, and whether it stays inside a piece."""
+        """The fingerprint of the n-gram at each word, and whether it stays inside a piece.
+
+        The lowest bit tells short from long ones, which are counted apart.
+        """
         found = self.polynomials(k)
         n, piece = len(found), self.words.piece
-        return mix(found * FACTOR + self.kind[:n] + np.uint64(k)), piece[:n] == piece[k - 1:k - 1 + n]
+        prints = mix(found * FACTOR + self.kind[:n] + np.uint64(k)) << np.uint64(1) | np.uint64(k > SHORT)
+        return prints, piece[:n] == piece[k - 1:k - 1 + n]
+
+    def counted(self, k: int, pairs: Bloom | None) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and fingerprints of the n-grams that count: long ones only where ``pairs`` holds every pair of words."""
+        prints, inside = self.fingerprints(k)
+        if k > SHORT:
+            if self.good is None:
+                two, within = self.fingerprints(2)
+                self.good = pairs.holds(two) & within
+            for j in range(k - 1):
+                inside = inside & self.good[j:j + len(inside)]
+        at = np.flatnonzero(inside)
+        return at, prints[at]
 
 
 class Bloom:
@@ -149,28 +171,15 @@ class Bloom:
         return out
 
 
-def _frequent(texts: DataFrame, lengths: tuple[int, ...], least: int, pairs: Bloom | None) -> DataFrame:
-    """fingerprint, n, pointer of the n-grams of these lengths that may be frequent.
-
-    With ``pairs``, only n-grams count whose every pair of words is held by it.
-    """
+def _frequent(texts: DataFrame, lengths: range, least: int, pairs: Bloom | None) -> DataFrame:
+    """fingerprint, n, pointer of the n-grams of these lengths that may be frequent."""
     shared = texts.sparkSession.sparkContext.broadcast(pairs)
 
     def count(batches: Batches) -> Batches:
         for batch in batches:
             for part in sliced(batch, "text"):
                 grams = Grams(part)
-                found, places = [], []
-                if shared.value is not None:
-                    prints, inside = grams.fingerprints(2)
-                    good = shared.value.holds(prints) & inside
-                for k in lengths:
-                    prints, inside = grams.fingerprints(k)
-                    if shared.value is not None:
-                        for j in range(k - 1):
-                            inside = inside & good[j:j + len(inside)]
-                    places.append(np.flatnonzero(inside))
-                    found.append(prints[places[-1]])
+                places, found = zip(*(grams.counted(k, shared.value) for k in lengths))
                 prints, first, n = np.unique(np.concatenate(found), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_pydict({
                     "fingerprint": pa.array(prints.view(np.int64)), "n": pa.array(n.astype(np.int64)),
@@ -197,45 +206,166 @@ def grouped(codes: list[np.ndarray], prints: np.ndarray) -> tuple[np.ndarray, np
     return first, sizes
 
 
-def _phrases(texts: DataFrame, frequent: Bloom, least: int) -> DataFrame:
-    """lang, phrase, n, pointer: exact counts of the phrases that are frequent; n of the empty phrase counts all words."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+class Known(NamedTuple):
+    """Frequent fingerprints in order, and a value for each."""
+
+    prints: np.ndarray
+    values: np.ndarray
+
+    def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``prints`` are known, and their places here."""
+        place = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
+        hit = np.flatnonzero(self.prints[place] == prints)
+        return hit, place[hit]
+
+
+def _phrase_texts(grams: Grams, starts: np.ndarray, k: int) -> tuple[pa.Array, pa.Array]:
+    """Language and phrase of the n-grams at ``starts``."""
+    words = [grams.words.dictionary.take(pa.array(grams.words.codes[starts + j])) for j in range(k)]
+    phrase = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())) if k > 1 else words[0]
+    return grams.langs.take(pa.array(grams.lang[starts])), phrase.cast(pa.large_string()).cast(pa.string())
+
+
+def _materialised(texts: DataFrame, frequent: DataFrame, pairs: Bloom) -> DataFrame:
+    """``frequent`` with the language and phrase at each pointer; a task sends a phrase once, however many copies it has."""
+    held = frequent.select("fingerprint", "pointer").toArrow()
+    prints, pointers = (held.column(c).to_numpy() for c in ("fingerprint", "pointer"))
+    order = np.argsort(prints.view(np.uint64))
+    shared = texts.sparkSession.sparkContext.broadcast((Known(prints.view(np.uint64)[order], pointers[order]), pairs))
+
+    def read(batches: Batches) -> Batches:
+        known, pairs = shared.value
+        sent = np.zeros(len(known.prints), bool)
+        for batch in batches:
+            for part in sliced(batch, "text"):
+                grams = Grams(part)
+                for k in range(1, WORDS + 1):
+                    at, prints = grams.counted(k, pairs)
+                    hit, place = known.find(prints)
+                    at = at[hit]
+                    here = np.flatnonzero((grams.pointers[at] == known.values[place]) & ~sent[place])
+                    if len(here):
+                        place, first = np.unique(place[here], return_index=True)
+                        sent[place] = True
+                        lang, phrase = _phrase_texts(grams, at[here[first]], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(known.prints[place].view(np.int64)), lang, phrase],
+                                                         names=["fingerprint", "lang", "phrase"])
+
+    found = texts.mapInArrow(read, "fingerprint long, lang string, phrase string")
+    one = found.groupBy("fingerprint").agg(F.min(F.struct("lang", "phrase")).alias("one"))
+    return frequent.join(one, "fingerprint").select("fingerprint", "n", "pointer", "one.lang", "one.phrase")
+
+
+class Spelt(NamedTuple):
+    """Phrases as numbers: their words' places in a dictionary, -1 behind the last one."""
+
+    known: Known
+    words: pa.Array
+    langs: pa.Array
+    lang: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.Table) -> Spelt:
+        prints = rows.column("fingerprint").to_numpy().view(np.uint64)
+        order = np.argsort(prints)
+        rows = rows.take(pa.array(order))
+        split = pc.split_pattern(rows.column("phrase").combine_chunks().cast(pa.large_string()), " ")
+        split = pa.concat_arrays(split.chunks) if isinstance(split, pa.ChunkedArray) else split
+        words = split.flatten().dictionary_encode()
+        sizes = np.diff(split.offsets.to_numpy())
+        codes = np.full((len(order), WORDS), -1, np.int32)
+        codes[np.arange(WORDS)[None, :] < sizes[:, None]] = words.indices.to_numpy()
+        langs = rows.column("lang").combine_chunks()
+        langs = (pa.concat_arrays(langs.chunks) if isinstance(langs, pa.ChunkedArray) else langs).dictionary_encode()
+        return Spelt(Known(prints[order], codes), words.dictionary.cast(pa.large_binary()), langs.dictionary, langs.indices.to_numpy())
+
+
+def _deviations(texts: DataFrame, spelt: Spelt, pairs: Bloom) -> DataFrame:
+    """fingerprint, lang, phrase, n of occurrences that are not what their fingerprint stands for.
+
+    A row without fingerprint and phrase has the number of all words of a language.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((spelt, pairs))
+    schema = "fingerprint long, lang string, phrase string, n long"
+
+    def verify(batches: Batches) -> Batches:
+        (spelt, pairs), totals = shared.value, {}
+        for batch in batches:
+            for part in sliced(batch, "text"):
+                grams = Grams(part)
+                for lang, n in zip(grams.langs.to_pylist(), np.bincount(grams.lang, minlength=len(grams.langs)).tolist()):
+                    totals[lang] = totals.get(lang, 0) + n
+                numbers = lambda own, all_: pc.index_in(own, all_).fill_null(-2).to_numpy()
+                word = numbers(grams.words.dictionary, spelt.words)[grams.words.codes]
+                lang = numbers(grams.langs, spelt.langs)[grams.lang]
+                for k in range(1, WORDS + 1):
+                    at, prints = grams.counted(k, pairs)
+                    hit, place = spelt.known.find(prints)
+                    at, prints = at[hit], prints[hit]
+                    same = lang[at] == spelt.lang[place]
+                    for j in range(WORDS):
+                        same &= spelt.known.values[place, j] == (word[at + j] if j < k else -1)
+                    if not same.all():
+                        at, prints = at[~same], prints[~same]
+                        first, sizes = grouped([grams.lang[at], *(grams.words.codes[at + j] for j in range(k))], prints)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(prints[first].view(np.int64)), *_phrase_texts(grams, at[first], k),
+                            pa.array(sizes.astype(np.int64))], names=["fingerprint", "lang", "phrase", "n"])
+        yield pa.RecordBatch.from_arrays([
+            pa.nulls(len(totals), pa.int64()), pa.array(list(totals), pa.string()), pa.array([""] * len(totals), pa.string()),
+            pa.array(list(totals.values()), pa.int64())], names=["fingerprint", "lang", "phrase", "n"])
+
+    return texts.mapInArrow(verify, schema).groupBy("fingerprint", "lang", "phrase").agg(F.sum("n").alias("n"))
+
+
+def _by_fingerprint(texts: DataFrame, frequent: DataFrame, pairs: Bloom) -> DataFrame:
+    """lang, phrase, n, pointer: the frequent fingerprints' phrases, collisions taken apart; the empty phrase has all words."""
+    named = written(_materialised(texts, frequent, pairs), "collocations-named")
+    apart = written(_deviations(texts, Spelt.of(named.select("fingerprint", "lang", "phrase").toArrow()), pairs), "collocations-apart")
+    off = apart.filter("fingerprint is not null").groupBy("fingerprint").agg(F.sum("n").alias("off"))
+    kept = named.join(off, "fingerprint", "left").select("lang", "phrase", (F.col("n") - F.coalesce("off", F.lit(0))).alias("n"), "pointer")
+    return kept.unionByName(apart.select("lang", "phrase", "n", F.lit(None).cast("long").alias("pointer")))
+
+
+def _by_text(texts: DataFrame, frequent: Bloom, pairs: Bloom) -> DataFrame:
+    """The same for any number of phrases: counts are summed by the phrases' text."""
+    shared = texts.sparkSession.sparkContext.broadcast((frequent, pairs))
 
     def verify(batches: Batches) -> Batches:
+        frequent, pairs = shared.value
+        names = ["lang", "phrase", "n", "pointer"]
         for batch in batches:
             for part in sliced(batch, "text"):
                 grams = Grams(part)
                 counts = np.bincount(grams.lang, minlength=len(grams.langs))
                 yield pa.RecordBatch.from_arrays([
                     grams.langs, pa.array([""] * len(counts), pa.string()), pa.array(counts.astype(np.int64)),
-                    pa.nulls(len(counts), pa.int64())], names=["lang", "phrase", "n", "pointer"])
+                    pa.nulls(len(counts), pa.int64())], names=names)
                 for k in range(1, WORDS + 1):
-                    prints, inside = grams.fingerprints(k)
-                    at = np.flatnonzero(inside)
-                    at = at[shared.value.holds(prints[at])]
+                    at, prints = grams.counted(k, pairs)
+                    held = frequent.holds(prints)
+                    at, prints = at[held], prints[held]
                     if len(at):
-                        columns = [grams.words.codes[at + j] for j in range(k)]
-                        first, sizes = grouped([grams.lang[at], *columns], prints[at])
-                        words = [grams.words.dictionary.take(pa.array(c[first])) for c in columns]
-                        phrase = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())) if k > 1 else words[0]
+                        first, sizes = grouped([grams.lang[at], *(grams.words.codes[at + j] for j in range(k))], prints)
                         yield pa.RecordBatch.from_arrays([
-                            grams.langs.take(pa.array(grams.lang[at[first]])), phrase.cast(pa.large_string()).cast(pa.string()),
-                            pa.array(sizes.astype(np.int64)), pa.array(grams.pointers[at[first]])],
-                            names=["lang", "phrase", "n", "pointer"])
+                            *_phrase_texts(grams, at[first], k), pa.array(sizes.astype(np.int64)), pa.array(grams.pointers[at[first]])],
+                            names=names)
 
     counted = texts.mapInArrow(verify, "lang string, phrase string, n long, pointer long")
-    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer")).filter(
-        (F.col("n") >= least) | (F.col("phrase") == ""))
+    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"))
 
 
 def phrases(docs: DataFrame, least: int = 100, text_col: str = "text", lang_col: str = "lang",
-            filter_bits: int = 1 << 26) -> DataFrame:
+            filter_bits: int = 1 << 26, most: int = 1 << 20) -> DataFrame:
     """lang, phrase, n, pointer of all phrases of 1 to ``WORDS`` words with n >= least, and the empty phrase with all words."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
-    short = written(_frequent(texts, (1, 2), least, None), "collocations-short")
+    short = written(_frequent(texts, range(1, SHORT + 1), least, None), "collocations-short")
     pairs = Bloom.of(short, filter_bits)
-    long = written(_frequent(texts, tuple(range(3, WORDS + 1)), least, pairs), "collocations-long")
-    return written(_phrases(texts, Bloom.of(short.unionByName(long), filter_bits), least), "collocations-phrases")
+    long = written(_frequent(texts, range(SHORT + 1, WORDS + 1), least, pairs), "collocations-long")
+    frequent = short.unionByName(long)
+    few = 0 < frequent.count() <= most
+    found = _by_fingerprint(texts, frequent, pairs) if few else _by_text(texts, Bloom.of(frequent, filter_bits), pairs)
+    return written(found.filter((F.col("n") >= least) | (F.col("phrase") == "")), "collocations-phrases")
 
 
 def _joined(words, start, length):
