@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vigilark.functions.timeblocks import latest_before, running_sum, sliding_count
-from vigilark.operators import activity, clusters, similarity
+from vigilark.operators import activity, clusters, similarity, vector_index
+from vigilark.plans import derive
 
 
 def skewed(n, seed=5, span=400_000):
@@ -116,13 +117,54 @@ def test_squared_distance_is_twice_cosine_minus_one(spark):
     assert all(abs(2 * cosine[k] - 1 - squared[k]) < 3e-4 for k in cosine)
 
 
-def test_hashed_search_recall(spark):
-    rows, frame = vector_frame(spark)
-    want = {w[:2] for w in brute_force(rows)}
-    got = {(r.trigger_id, r.id) for r in
-           similarity.correlate_lsh(frame, frame, dim=8, tables=16, bits=3).collect()}
-    # Places freed by candidates the hashing missed may go to rows beyond the exact 20.
-    assert len(got & want) / len(want) > 0.9
+def pairs_of(frame):
+    return {(r.trigger_id, r.id, r.similarity) for r in frame.collect()}
+
+
+def test_index_finds_what_comparing_all_finds(spark, tmp_path):
+    _, frame = vector_frame(spark)
+    index = vector_index.build(frame, str(tmp_path / "index"), cells=6, sample=40)
+    for chunk_rows in (7, 2000):
+        assert pairs_of(vector_index.correlate_indexed(frame, frame, index, chunk_rows=chunk_rows)) == pairs_of(similarity.correlate(frame, frame))
+
+
+def test_index_grows_by_cells(spark, tmp_path):
+    """Rows that come later touch the folders of their cells only, and are found, however far from the first ones."""
+    _, frame = vector_frame(spark)
+    first, later = frame.filter("id < 'v0130'"), frame.filter("id >= 'v0130'")
+    path = str(tmp_path / "index")
+    vector_index.build(first, path, cells=4, sample=50)
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "index").rglob("*.parquet")}
+    vector_index.insert(later, path)
+    assert all(f.stat().st_mtime_ns == at for f, at in files.items())
+    index = vector_index.read(spark, path)
+    assert pairs_of(vector_index.correlate_indexed(frame, frame, index)) == pairs_of(similarity.correlate(frame, frame))
+
+
+def test_registered_index_compares_a_tenth(spark, tmp_path):
+    """The query's own vectors and settings: every neighbour is found, and few pairs are compared in full."""
+    rows = similarity.with_window(derive.vectors(spark, "/root/testdata/sf0.1"))
+    index = vector_index.build(rows, str(tmp_path / "index"), cells=8)
+    compared = vector_index.candidates(rows, index, 20, 0.3).count()
+    near = similarity.temporal_candidates(rows, rows).agg(F.sum("n_candidates")).first()[0]
+    assert compared < near / 10
+    assert pairs_of(vector_index.correlate_indexed(rows, rows, index, threshold=0.3)) == pairs_of(similarity.correlate(rows, rows, threshold=0.3))
+
+
+def test_far_cells_are_not_probed(spark, tmp_path):
+    """Three tight groups: a trigger meets the rows of its own group only."""
+    rng = np.random.default_rng(2)
+    groups = np.eye(8)[rng.integers(0, 3, 600)] + rng.normal(size=(600, 8)) * 0.02
+    frame = spark.createDataFrame([(f"v{i:03d}", float(i), "DNS_QUERY", v.tolist()) for i, v in enumerate(groups)],
+                                  "id string, event_epoch double, event_type string, embedding array<double>")
+    timed = similarity.with_window(frame)
+    index = vector_index.build(frame, str(tmp_path / "index"), cells=12)
+    cells = vector_index.probes(timed, index, 0.72).groupBy("trigger_id").count().agg(F.max("count")).first()[0]
+    assert cells <= 10 and index.rows.select("cell").distinct().count() == 12
+    compared = vector_index.candidates(timed, index, 20, 0.72).count()
+    assert compared < 600 * 600 / 5
+    empty = frame.limit(0)
+    assert vector_index.correlate_indexed(empty, frame, index).collect() == []
 
 
 def test_components_of_a_chain_and_a_star(spark):

@@ -8,8 +8,6 @@ place. A task hands on only the ``k`` best rows per trigger, never its pairs.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -123,9 +121,8 @@ def _best_in_chunk(k: int, floor: float, metric: str):
     return search
 
 
-def _chunked_best(left: DataFrame, right: DataFrame, keys: list[str], k: int | None, floor: float,
-                  metric: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Best rows per trigger among candidates with the same ``keys``, chunk pair by chunk pair."""
+def by_chunks(left: DataFrame, right: DataFrame, keys: list[str], search, schema: str, chunk_rows: int) -> DataFrame:
+    """``search`` over every pair of a chunk of ``left`` and a chunk of ``right`` with the same ``keys``."""
     def chunks(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy(*keys).agg(
             F.ceil(F.count("*") / chunk_rows).cast("int").alias(name))
@@ -142,15 +139,26 @@ def _chunked_best(left: DataFrame, right: DataFrame, keys: list[str], k: int | N
     return (
         spread(left, "trigger_id", "left", "right").groupBy(*group)
         .cogroup(spread(right, "id", "right", "left").groupBy(*group))
-        .applyInArrow(_best_in_chunk(k, floor, metric), PAIR_SCHEMA)
+        .applyInArrow(search, schema)
     )
 
 
+def _chunked_best(left: DataFrame, right: DataFrame, keys: list[str], k: int | None, floor: float,
+                  metric: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Best rows per trigger among candidates with the same ``keys``."""
+    return by_chunks(left, right, keys, _best_in_chunk(k, floor, metric), PAIR_SCHEMA, chunk_rows)
+
+
 def _rank(pairs: DataFrame, k: int) -> DataFrame:
     by_trigger = Window.partitionBy("trigger_id").orderBy(F.desc("similarity"), "id")
     return pairs.withColumn("rank", F.row_number().over(by_trigger)).filter(F.col("rank") <= k)
 
 
+def ranked(pairs: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each trigger, without the trigger itself, similarity as shown."""
+    return _rank(pairs, k).filter(F.col("trigger_id") != F.col("id")).withColumn("similarity", F.round("similarity", 4))
+
+
 def correlate(triggers: DataFrame, candidates: DataFrame, k: int = dims.K_NEIGHBORS,
               threshold: float = dims.SIMILARITY_THRESHOLD, metric: str = "cosine",
               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -162,54 +170,7 @@ def correlate(triggers: DataFrame, candidates: DataFrame, k: int = dims.K_NEIGHB
     left, right = _bucketed(with_window(triggers) if "window_s" not in triggers.columns
                             else triggers, candidates)
     pairs = _chunked_best(left, right, ["bucket"], k, threshold, metric, chunk_rows)
-    return (
-        _rank(pairs, k).filter(F.col("trigger_id") != F.col("id"))
-        .withColumn("similarity", F.round("similarity", 4))
-    )
-
-
-def _signature(dim: int, tables: int, bits: int):
-    """One integer per hash table: the signs of projections on vectors of plus and minus one.
-
-    A component is plus one if the md5 of ``table:bit:dimension`` begins with a digit below 8, so any
-    engine can draw the same planes.
-    """
-    def plane(t: int, b: int) -> list[int]:
-        return [1 if hashlib.md5(f"{t}:{b}:{d}".encode()).hexdigest()[0] < "8" else -1 for d in range(dim)]
-
-    planes = np.array([[plane(t, b) for b in range(bits)] for t in range(tables)], np.float64)
-    powers = 1 << np.arange(bits)
-
-    def sign(batches):
-        for batch in batches:
-            column = batch.column("embedding")
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            vectors = flat.reshape(batch.num_rows, dim)
-            codes = np.stack([((vectors @ p.T) > 0) @ powers for p in planes], axis=1)
-            lists = pa.array(list(codes.astype(np.int64)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists],
-                                             [*batch.schema.names, "codes"])
-
-    return sign
-
-
-def correlate_lsh(triggers: DataFrame, candidates: DataFrame, dim: int, tables: int = 8,
-                  bits: int = 4, k: int = dims.K_NEIGHBORS,
-                  threshold: float = dims.SIMILARITY_THRESHOLD) -> DataFrame:
-    """Approximate :func:`correlate`: only rows sharing a hash code of some table are compared."""
-    def coded(side: DataFrame) -> DataFrame:
-        from pyspark.sql import types as T
-        schema = T.StructType([*side.schema.fields,
-                               T.StructField("codes", T.ArrayType(T.LongType()))])
-        hashed = side.mapInArrow(_signature(dim, tables, bits), schema)
-        return hashed.select(*side.columns, F.posexplode("codes").alias("hash_table", "code"))
-
-    left, right = _bucketed(with_window(triggers), candidates)
-    pairs = _chunked_best(coded(left), coded(right), ["bucket", "hash_table", "code"], k,
-                          threshold, "cosine")
-    once = pairs.groupBy("trigger_id", "id").agg(F.max("similarity").alias("similarity"))
-    return _rank(once, k).filter(F.col("trigger_id") != F.col("id")).withColumn(
-        "similarity", F.round("similarity", 4))
+    return ranked(pairs, k)
 
 
 def correlation_summary(triggers: DataFrame, hits: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -757,16 +757,7 @@ ORACLES.update({
          ON c.event_epoch BETWEEN t.event_epoch - t.window_s AND t.event_epoch + t.window_s GROUP BY 1"""),
     "correlate": vec("SELECT trigger_id, id, similarity, rank FROM hits", neighbours(0.3)),
     "correlate_l2sq": vec("SELECT trigger_id, id, similarity FROM hits", neighbours(-0.4, L2)),
-    "correlate_lsh": vec("SELECT trigger_id, id, round(sim, 4) AS similarity FROM placed WHERE rank <= 20 AND trigger_id <> id", """
-signs AS (SELECT t.range AS t, b.range AS b, d.range AS d,
-  CASE WHEN substr(md5(t.range || ':' || b.range || ':' || d.range), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s
-  FROM range(8) t, range(4) b, range(64) d),
-bits AS (SELECT id, t, b, sum(vec[d + 1] * s) > 0 AS up FROM vectors, signs GROUP BY id, t, b),
-codes AS (SELECT id, t, sum(CASE WHEN up THEN 1 << b ELSE 0 END) AS code FROM bits GROUP BY id, t),
-met AS (SELECT DISTINCT x.id AS trigger_id, y.id FROM codes x JOIN codes y ON x.t = y.t AND x.code = y.code),
-close AS (SELECT trigger_id, met.id, round(list_cosine_similarity(a.vec, c.vec), 9) AS sim FROM met JOIN timed a ON a.id = trigger_id
-  JOIN vectors c ON c.id = met.id WHERE abs(c.event_epoch - a.event_epoch) <= a.window_s),
-placed AS (SELECT *, row_number() OVER (PARTITION BY trigger_id ORDER BY sim DESC, id) AS rank FROM close WHERE sim >= 0.3)"""),
+    "correlate_lsh": vec("SELECT trigger_id, id, similarity FROM hits", neighbours(0.3)),
     "correlation_summary": vec("""
         SELECT t.id AS trigger_id, count(h.id) AS cluster_size, h.id IS NULL AS cold_start,
          CASE WHEN count(h.id) >= 2 THEN round((max(c.event_epoch) - min(c.event_epoch)) / 60, 2) ELSE 0.0::DOUBLE END AS temporal_span_minutes,

@@ -11,7 +11,7 @@ from vigilark import dims
 from vigilark.functions import detect, fields, text
 from vigilark.operators import (activity, clusters, deadletters, enrich, graph, integrity,
                                 normalize, parse, queueing, reports, retrieval, severity,
-                                similarity, validate)
+                                similarity, validate, vector_index)
 from vigilark.plans import derive
 from vigilark.plans.stages import canonical_rows, triaged_rows
 from vigilark.session import configure, scratch_path
@@ -567,9 +567,10 @@ def correlation_summary(spark, folder):
 
 @query("correlate_lsh")
 def correlate_lsh(spark, folder):
+    """Through the index table. It replaces hash tables, which lost links; the key stays."""
     rows = derive.vectors(spark, folder)
-    dim = rows.select(F.size("embedding").alias("d")).first().d
-    return similarity.correlate_lsh(rows, rows, dim=dim, threshold=SIMILARITY).select(
+    index = vector_index.build(rows, scratch_path(spark, "vector-index"), cells=8)
+    return vector_index.correlate_indexed(rows, rows, index, threshold=SIMILARITY).select(
         "trigger_id", "id", "similarity")
 
 
