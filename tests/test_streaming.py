@@ -1,12 +1,15 @@
 """Streams against their batch forms, one micro-batch per input file."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from vigilark.operators import activity, graph
+from vigilark.operators import activity, graph, normalize
 from vigilark.plans import derive
+from vigilark.plans.stages import canonical_rows, triaged_rows
+from vigilark.sources.lines import scan_lines
 from vigilark.streaming import jobs
 
 
@@ -122,6 +125,31 @@ def test_ingest_from_files(spark, tmp_path):
     assert letters.count() == 1 and "event_type" in letters.first().payload
 
 
+def test_ingest_scores_know_earlier_batches(spark, tmp_path):
+    """The stored scores are those of all lines at once: sightings and scans reach over files and a restart."""
+    source, rng = tmp_path / "logs", random.Random(6)
+    source.mkdir()
+    for part in range(3):
+        lines = []
+        for i in range(60):
+            at = f"2024-01-01T{3 + part * 2 + i // 30:02d}:{i % 30:02d}:{rng.randint(0, 59):02d}"
+            ip = rng.choice(["9.9.9.9", "9.9.9.9", f"8.8.{part}.{i}", "7.7.7.7"])
+            # The last line of a file and the first ones of the next are one scan.
+            deny = i < 4 or i > 55
+            lines.append(f'date="{at}" action={"DENY" if deny else "ALLOW"} src={"6.6.6.6" if deny else ip} dst=10.0.0.{i} dport=4444'
+                         if i % 3 or deny else json.dumps({"event_type": "network_connection", "timestamp": at + "Z", "source_ip": ip, "dest_ip": ""}))
+        (source / f"firewall{part}.log").write_text("\n".join(lines) + "\n")
+        scan = {"window_s": 2 * 3600, "threshold": 7}
+        jobs.ingest(spark, str(source), str(tmp_path / "arch"), str(tmp_path / "dlq"), str(tmp_path / "cp"),
+                    scan=scan).awaitTermination(240)
+    columns = ["log_uuid", "score", "ip_seen", "scan_count", "triage_severity", F.array_join("heuristic_flags", ",").alias("flags")]
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "arch")).select(columns).collect()}
+    lines = normalize.assign_uuids(scan_lines(spark, str(source)))
+    want = {tuple(r) for r in triaged_rows(canonical_rows(lines, with_action=True), scan=scan).select(columns).collect()}
+    assert got == want and len(want) == 180
+    assert {r[2] for r in want} == {True, False} and max(r[3] for r in want) > 4 and any("port_scan" in r[5] for r in want)
+
+
 def test_sliding_bursts(spark, tmp_path):
     rows = spark.createDataFrame(
         [("u", "1.1.1.1", "h", "AUTHENTICATION_FAILURE", f"2024-01-01 00:00:{s:02d}") for s in range(0, 30, 5)]

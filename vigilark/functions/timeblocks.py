@@ -32,7 +32,11 @@ def with_halo(rows: DataFrame, second: str, reach: int, block: int) -> DataFrame
 
 def sliding_count(rows: DataFrame, keys: list[str], second: str, width: int) -> DataFrame:
     """(keys, second, n, n_in_window): rows in ``[second - width, second]`` per key."""
-    per_second = rows.groupBy(*keys, second).agg(F.count("*").alias("n"))
+    return sliding_sum(rows.groupBy(*keys, second).agg(F.count("*").alias("n")), keys, second, width)
+
+
+def sliding_sum(per_second: DataFrame, keys: list[str], second: str, width: int) -> DataFrame:
+    """:func:`sliding_count` from the counts ``n`` of each key and second."""
     block = max(width, 86_400)
     frame = (Window.partitionBy(*keys, "time_block").orderBy(second).rangeBetween(-width, 0))
     return (

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from vigilark import dims
 from vigilark.functions.detect import parent_domain, shannon_entropy
-from vigilark.functions.timeblocks import epoch, latest_before, running_sum, sliding_count
+from vigilark.functions.timeblocks import epoch, latest_before, running_sum, sliding_count, sliding_sum
 
 ACTIVITY_HOURS = 4
 
 
-def _sightings(rows: DataFrame) -> DataFrame:
+def sightings(rows: DataFrame) -> DataFrame:
     """One row per log row and distinct address, with how often the row names it."""
     pair = F.filter(F.array("source_ip", "dest_ip"), lambda ip: F.length(ip) > 0)
     times = F.when((F.size("_ips") == 2) & (F.get("_ips", 0) == F.get("_ips", 1)), 2).otherwise(1)
@@ -35,7 +35,7 @@ def ip_activity(rows: DataFrame) -> DataFrame:
 
     Order inside an hour is event time, then ``log_uuid``; a row never counts itself.
     """
-    seen = _sightings(rows)
+    seen = sightings(rows)
     hours = _earlier_hours(seen.groupBy("ip", "hour").agg(F.sum("times").alias("n")))
     # A row that names the address twice moves the counter by two.
     summed = running_sum(seen, ["ip", "hour"], ["ts", "log_uuid"], F.col("times"), "upto")
@@ -44,39 +44,61 @@ def ip_activity(rows: DataFrame) -> DataFrame:
         (F.col("upto") - F.col("times") + F.col("in_hours")).alias("prior_count"))
 
 
-def ip_seen(rows: DataFrame) -> DataFrame:
-    """(log_uuid, ip_seen): was the source or destination sighted before, within four hours?
+def hours_of(seen: DataFrame) -> DataFrame:
+    """(ip, hour, n, first): sightings of an address in an hour, and the first of them."""
+    return seen.groupBy("ip", "hour").agg(F.sum("times").alias("n"), F.min(F.struct("ts", "log_uuid")).alias("first"))
+
+
+def merged_hours(hours: DataFrame, more: DataFrame) -> DataFrame:
+    """Both tables of hours as one."""
+    return hours.unionByName(more).groupBy("ip", "hour").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def sightings_seen(rows: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """(log_uuid, ip, seen): was this address of the row sighted before, within four hours?
 
     Only "at all" matters here, so each (address, hour) is reduced to its
-    first sighting and its count before anything is joined back.
+    first sighting and its count before anything is joined back. ``carried``
+    holds the hours of rows that came earlier.
     """
-    seen = _sightings(rows)
-    hours = _earlier_hours(
-        seen.groupBy("ip", "hour").agg(F.sum("times").alias("n"),
-                                       F.min(F.struct("ts", "log_uuid")).alias("first")))
-    flagged = seen.join(hours, ["ip", "hour"]).select(
-        "log_uuid",
+    seen = sightings(rows)
+    hours = hours_of(seen)
+    hours = _earlier_hours(hours if carried is None else merged_hours(hours, carried))
+    return seen.join(hours, ["ip", "hour"]).select(
+        "log_uuid", "ip",
         ((F.col("in_hours") > 0) | (F.struct("ts", "log_uuid") > F.col("first"))).alias("seen"))
-    return flagged.groupBy("log_uuid").agg(F.max("seen").alias("ip_seen"))
 
 
-def port_scan_counts(rows: DataFrame, window_s: int = dims.PORT_SCAN_WINDOW_S) -> DataFrame:
-    """(source_ip, second, n, n_in_window) over denied connections."""
-    denied = rows.filter((F.upper("action") == "DENY") & (F.length("source_ip") > 0)).select(
-        "source_ip", epoch("event_timestamp").alias("second"))
-    return sliding_count(denied, ["source_ip"], "second", window_s)
+def ip_seen(rows: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """(log_uuid, ip_seen): was the source or destination sighted before, within four hours?"""
+    return sightings_seen(rows, carried).groupBy("log_uuid").agg(F.max("seen").alias("ip_seen"))
+
+
+def denied_seconds(rows: DataFrame) -> DataFrame:
+    """(source_ip, second, n): denied connections of an address in a second."""
+    denied = rows.filter((F.upper("action") == "DENY") & (F.length("source_ip") > 0))
+    return denied.groupBy("source_ip", epoch("event_timestamp").alias("second")).agg(F.count("*").alias("n"))
+
+
+def port_scan_counts(rows: DataFrame, window_s: int = dims.PORT_SCAN_WINDOW_S,
+                     carried: DataFrame | None = None) -> DataFrame:
+    """(source_ip, second, n, n_in_window) over denied connections; ``carried`` holds seconds of earlier rows."""
+    seconds = denied_seconds(rows)
+    if carried is not None:
+        seconds = seconds.unionByName(carried).groupBy("source_ip", "second").agg(F.sum("n").alias("n"))
+    return sliding_sum(seconds, ["source_ip"], "second", window_s)
 
 
 def port_scans(rows: DataFrame, window_s: int = dims.PORT_SCAN_WINDOW_S,
-               threshold: int = dims.PORT_SCAN_THRESHOLD) -> DataFrame:
+               threshold: int = dims.PORT_SCAN_THRESHOLD, carried: DataFrame | None = None) -> DataFrame:
     """Seconds at which a source reaches the scan threshold."""
-    return port_scan_counts(rows, window_s).filter(F.col("n_in_window") >= threshold)
+    return port_scan_counts(rows, window_s, carried).filter(F.col("n_in_window") >= threshold)
 
 
 def with_scan_count(rows: DataFrame, window_s: int = dims.PORT_SCAN_WINDOW_S,
-                    threshold: int = dims.PORT_SCAN_THRESHOLD) -> DataFrame:
+                    threshold: int = dims.PORT_SCAN_THRESHOLD, carried: DataFrame | None = None) -> DataFrame:
     """Add ``scan_count``: the source's denied connections in the window at this second."""
-    scans = port_scans(rows, window_s, threshold).select(
+    scans = port_scans(rows, window_s, threshold, carried).select(
         "source_ip", "second", F.col("n_in_window").alias("scan_count"))
     return (
         rows.withColumn("second", epoch("event_timestamp"))

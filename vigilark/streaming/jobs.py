@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilark import dims
-from vigilark.operators import deadletters, graph, normalize, severity
-from vigilark.plans.stages import canonical_rows
+from vigilark.operators import activity, deadletters, graph, normalize, severity
+from vigilark.plans.stages import canonical_rows, triaged_rows
 from vigilark.sources import vector_store
 from vigilark.sources.lines import stream_lines
 
@@ -29,18 +30,81 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def last_version(spark: SparkSession, folder: str, before: int) -> int | None:
+    """The newest complete version of the tables below a folder that is older than ``before``."""
+    try:
+        marks = spark.read.schema("version bigint").parquet(f"{folder}/versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return marks.filter(F.col("version") < before).agg(F.max("version").alias("v")).first().v
+
+
+def mark_version(spark: SparkSession, folder: str, version: int) -> None:
+    """Say that a version is complete: one file, written last."""
+    spark.range(version, version + 1, 1, 1).select(F.col("id").alias("version")).write.mode("overwrite").parquet(
+        f"{folder}/versions/batch={version}")
+
+
+class CarriedActivity:
+    """What earlier batches leave for the scores of later ones: sightings by hour, denied connections by second.
+
+    Both are small tables below ``folder``, a version per batch, and hold only what a row within ``delay_s`` of
+    the newest one can still ask for. They combine on the map side, so a hot address is one row an hour.
+    """
+
+    def __init__(self, folder: str, scan: dict, delay_s: int):
+        self.folder, self.scan, self.delay_s = folder, scan, delay_s
+
+    def read(self, spark: SparkSession, batch_id: int) -> tuple[DataFrame, DataFrame] | None:
+        last = last_version(spark, self.folder, batch_id)
+        return None if last is None else tuple(spark.read.parquet(f"{self.folder}/{name}/v{last}") for name in ("hours", "seconds"))
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        spark, before = rows.sparkSession, self.read(rows.sparkSession, batch_id)
+        hours, seconds = activity.hours_of(activity.sightings(rows)), activity.denied_seconds(rows)
+        if before is not None:
+            hours = activity.merged_hours(hours, before[0])
+            seconds = seconds.unionByName(before[1]).groupBy("source_ip", "second").agg(F.sum("n").alias("n"))
+        hours, seconds = hours.persist(), seconds.persist()
+        newest = hours.agg(F.max(F.unix_micros("first.ts"))).first()[0] or 0
+        oldest = newest // 1_000_000 - self.delay_s
+        keep_hours = F.col("hour") >= oldest // 3600 - activity.ACTIVITY_HOURS
+        newest_scan = seconds.agg(F.max("second")).first()[0] or 0
+        keep_seconds = F.col("second") >= newest_scan - self.delay_s - self.scan["window_s"]
+        hours.filter(keep_hours).write.mode("overwrite").parquet(f"{self.folder}/hours/v{batch_id}")
+        seconds.filter(keep_seconds).write.mode("overwrite").parquet(f"{self.folder}/seconds/v{batch_id}")
+        mark_version(spark, self.folder, batch_id)
+        hours.unpersist()
+        seconds.unpersist()
+
+
 def ingest(spark: SparkSession, folder: str, archive: str, letters: str, checkpoint: str,
-           max_files: int = 1000, once: bool = True) -> StreamingQuery:
-    """Lines to the archive (scored rows with their flags) and, where a normaliser failed, to the dead letters as well."""
+           max_files: int = 1000, once: bool = True, state: str | None = None, scan: dict | None = None,
+           delay_s: int = 4 * 3600) -> StreamingQuery:
+    """Lines to the archive (scored rows with their flags) and, where a normaliser failed, to the dead letters as well.
+
+    Scores know of the rows of this and of earlier batches, as far as they are older in event time: address
+    activity, and port scans with ``scan`` (window_s, threshold). ``state`` is the folder for what is carried
+    over, beside the checkpoint by default. With files in the order of time the scores are those of
+    :func:`triaged_rows` over all rows at once; a row later than ``delay_s`` may miss what is gone by then.
+    """
+    scan = scan or {"window_s": dims.PORT_SCAN_WINDOW_S, "threshold": dims.PORT_SCAN_THRESHOLD}
+    carried = CarriedActivity(state or f"{checkpoint.rstrip('/')}-activity", scan, delay_s)
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        numbered = normalize.assign_uuids(batch)
-        rows = severity.triage_score(severity.queue_severity(canonical_rows(numbered)))
-        rows = rows.withColumn("event_date", F.to_date("event_timestamp"))
-        rows.persist()
-        stored, bad = normalize.split_ingest(rows)
+        # Computed once: a batch's uuids follow from its lines, but reading them is the larger part of the work.
+        rows = canonical_rows(normalize.assign_uuids(batch), with_action=True).persist()
+        before = carried.read(rows.sparkSession, batch_id) or (None, None)
+        scored = triaged_rows(rows, scan=scan, carried_hours=before[0], carried_seconds=before[1])
+        scored = scored.withColumn("event_date", F.to_date("event_timestamp")).persist()
+        stored, bad = normalize.split_ingest(scored)
         (stored.write.mode("overwrite").partitionBy("event_date")
          .parquet(f"{archive}/batch_id={batch_id}"))
         bad.write.mode("overwrite").parquet(f"{letters}/batch_id={batch_id}")
+        carried.write(rows, batch_id)
+        scored.unpersist()
         rows.unpersist()
 
     return run_batches(stream_lines(spark, folder, max_files), store, checkpoint, once)
