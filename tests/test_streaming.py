@@ -10,7 +10,7 @@ from vigilark.operators import activity, graph, normalize
 from vigilark.plans import derive
 from vigilark.plans.stages import canonical_rows, triaged_rows
 from vigilark.sources.lines import scan_lines
-from vigilark.streaming import jobs
+from vigilark.streaming import graph_log, jobs
 
 
 @pytest.fixture(scope="module")
@@ -78,18 +78,49 @@ def test_burst_then_success(spark, feed, tmp_path):
     assert got and got == {tuple(r) for r in run(stored).collect()}
 
 
-def test_graph_updates_equal_one_batch(spark, feed, tmp_path):
+NODE_COLUMNS = ["id", "type", "label", "threat_score", "first_seen", "last_seen", "touches", "risk_level"]
+
+
+def graph_rows(nodes, edges):
+    return {tuple(r) for r in nodes.select(NODE_COLUMNS).collect()}, {tuple(r) for r in edges.select("id", "timestamp", "label").collect()}
+
+
+def test_graph_log_equals_one_batch(spark, feed, tmp_path):
+    """Before, between and after compactions, and when a batch comes again."""
+    stored, _ = feed
+    base = str(tmp_path / "graph")
+    update = graph_log.updates(base, buckets=3)
+    parts = [stored.filter(F.floor(F.col("event_id") / (stored.count() / 4)) == p) for p in range(4)]
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "graph").rglob("*.parquet") if "runs" in f.parts)
+    written = []
+    for number, part in enumerate(parts):
+        update(part, number)
+        written.append(size())
+        want = stored.filter(F.floor(F.col("event_id") / (stored.count() / 4)) <= number)
+        if number == 1:
+            before = graph_rows(graph_log.nodes(spark, base), graph_log.edges(spark, base))
+            assert graph_log.compact(spark, base) == {"nodes": [0, 1, 2], "edges": [0, 1, 2]}
+            assert graph_log.compact(spark, base) == {"nodes": [], "edges": []}
+            assert graph_rows(graph_log.nodes(spark, base), graph_log.edges(spark, base)) == before
+        if number == 2:
+            delta = {tuple(r) for r in spark.read.parquet(f"{base}/delta/v2").collect()}
+            update(part, 2)
+            assert delta == {tuple(r) for r in spark.read.parquet(f"{base}/delta/v2").collect()}
+            assert size() == written[-1]
+        assert graph_rows(graph_log.nodes(spark, base), graph_log.edges(spark, base)) == graph_rows(
+            graph.build_nodes(graph.log_node_parts(want)), graph.build_edges(graph.log_edge_parts(want)))
+    # A run grows with its batch, not with the table.
+    runs = [b - a for a, b in zip([0, *written], written)]
+    assert max(runs) < 1.5 * min(runs)
+    assert graph_rows(graph_log.nodes(spark, base, before=2), graph_log.edges(spark, base, before=2)) == before
+
+
+def test_graph_log_from_a_stream(spark, feed, tmp_path):
     stored, stream = feed
     base = str(tmp_path / "graph")
-    jobs.run_batches(stream, jobs.graph_updates(base), str(tmp_path / "cp")).awaitTermination(240)
-    last = jobs._versions(spark, f"{base}/edges")[-1]
-    columns = ["id", "type", "label", "threat_score", "first_seen", "last_seen", "touches"]
-    got = spark.read.parquet(f"{base}/nodes/v{last}").select(columns)
-    want = graph.build_nodes(graph.log_node_parts(stored)).select(columns)
-    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
-    edges = spark.read.parquet(f"{base}/edges/v{last}").select("id", "timestamp")
-    assert {tuple(r) for r in edges.collect()} == {tuple(r) for r in graph.build_edges(
-        graph.log_edge_parts(stored)).select("id", "timestamp").collect()}
+    jobs.run_batches(stream, graph_log.updates(base), str(tmp_path / "cp")).awaitTermination(240)
+    assert graph_rows(graph_log.nodes(spark, base), graph_log.edges(spark, base)) == graph_rows(
+        graph.build_nodes(graph.log_node_parts(stored)), graph.build_edges(graph.log_edge_parts(stored)))
 
 
 def test_late_rows_are_kept(spark, tmp_path):
@@ -168,6 +199,7 @@ def test_scheduled_passes(spark, tmp_path):
     letters.write.parquet(f"{tmp_path}/letters")
     jobs.retry_letters(spark, f"{tmp_path}/letters", f"{tmp_path}/after", f"{tmp_path}/queue", "2024-01-01 10:00:00")
     assert [r.retry_count for r in spark.read.parquet(f"{tmp_path}/after").collect()] == [1, 1]
+    jobs.retry_letters(spark, f"{tmp_path}/letters", f"{tmp_path}/after", f"{tmp_path}/queue", "2024-01-01 10:00:00")
     assert spark.read.parquet(f"{tmp_path}/queue").count() == 2
     rows = spark.createDataFrame([("old", 0.0, [1.0]), ("new", 9e5, [2.0])], "id string, event_epoch double, embedding array<double>")
     rows.write.parquet(f"{tmp_path}/active")

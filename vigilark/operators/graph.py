@@ -162,7 +162,11 @@ def build_edges(parts: DataFrame) -> DataFrame:
     kept = F.struct("source", "target", "type", "mitre_technique_id",
                     F.col("seen_at").alias("timestamp"))
     edges = parts.groupBy("id").agg(F.min_by(kept, F.struct("seen_at", "origin")).alias("e"))
-    return edges.select("id", "e.*").withColumns({
+    return dress_edges(edges.select("id", "e.*"))
+
+
+def dress_edges(edges: DataFrame) -> DataFrame:
+    return edges.withColumns({
         "cosine_similarity": F.lit(0.0),
         "label": F.when(F.length("mitre_technique_id") > 0, F.col("mitre_technique_id"))
         .otherwise(F.col("type"))})

@@ -9,16 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilark import dims
-from vigilark.operators import activity, deadletters, graph, normalize, severity
+from vigilark.operators import activity, deadletters, normalize, severity
 from vigilark.plans.stages import canonical_rows, triaged_rows
 from vigilark.sources import vector_store
 from vigilark.sources.lines import stream_lines
+from vigilark.streaming.versions import last_version, mark_version
 
 LATE_AFTER = "4 hours"
 
@@ -30,23 +30,6 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def last_version(spark: SparkSession, folder: str, before: int) -> int | None:
-    """The newest complete version of the tables below a folder that is older than ``before``."""
-    try:
-        marks = spark.read.schema("version bigint").parquet(f"{folder}/versions")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return marks.filter(F.col("version") < before).agg(F.max("version").alias("v")).first().v
-
-
-def mark_version(spark: SparkSession, folder: str, version: int) -> None:
-    """Say that a version is complete: one file, written last."""
-    spark.range(version, version + 1, 1, 1).select(F.col("id").alias("version")).write.mode("overwrite").parquet(
-        f"{folder}/versions/batch={version}")
-
-
 class CarriedActivity:
     """What earlier batches leave for the scores of later ones: sightings by hour, denied connections by second.
 
@@ -179,46 +162,6 @@ def alerts(rows: DataFrame) -> DataFrame:
     return severity.p0_alerts(rows)
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the complete table versions below a folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(path)]
-    done = [n for n in names if n.startswith("v") and files.exists(
-        spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
-    return sorted(int(n[1:]) for n in done)
-
-
-def graph_updates(folder: str) -> Callable[[DataFrame, int], None]:
-    """Batch handler that keeps node, edge and delta tables, one version per batch.
-
-    A version is only read once its ``_SUCCESS`` mark is there; the batch
-    always builds on the last version before its own number.
-    """
-    def update(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.persist()
-        node_parts, edge_parts = graph.log_node_parts(rows), graph.log_edge_parts(rows)
-        before = [v for v in _versions(spark, f"{folder}/edges") if v < batch_id]
-        if before:
-            old_nodes = spark.read.parquet(f"{folder}/nodes/v{before[-1]}")
-            old_edges = spark.read.parquet(f"{folder}/edges/v{before[-1]}")
-        else:
-            old_nodes = graph.build_nodes(node_parts.limit(0))
-            old_edges = graph.build_edges(edge_parts.limit(0))
-        changes = graph.delta(old_nodes, old_edges, node_parts, edge_parts)
-        changes.write.mode("overwrite").parquet(f"{folder}/delta/v{batch_id}")
-        graph.merge_nodes(old_nodes, node_parts).write.mode("overwrite").parquet(
-            f"{folder}/nodes/v{batch_id}")
-        graph.merge_edges(old_edges, edge_parts).write.mode("overwrite").parquet(
-            f"{folder}/edges/v{batch_id}")
-        rows.unpersist()
-
-    return update
-
-
 def late_rows(folder: str, delay_s: int) -> Callable[[DataFrame, int], None]:
     """Batch handler that stores rows older than the newest earlier event time minus a delay.
 
@@ -226,22 +169,27 @@ def late_rows(folder: str, delay_s: int) -> Callable[[DataFrame, int], None]:
     """
     def split(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = [v for v in _versions(spark, f"{folder}/newest") if v < batch_id]
-        newest = spark.read.parquet(f"{folder}/newest/v{before[-1]}").first().newest if before else None
+        before = last_version(spark, folder, batch_id)
+        newest = None if before is None else spark.read.parquet(f"{folder}/newest/v{before}").first().newest
         batch.agg(F.greatest(F.max("event_timestamp"), F.lit(newest).cast("timestamp")).alias("newest")).write.mode(
             "overwrite").parquet(f"{folder}/newest/v{batch_id}")
         late = batch.limit(0) if newest is None else batch.filter(
             F.unix_micros("event_timestamp") < F.unix_micros(F.lit(newest)) - delay_s * 1_000_000)
         late.write.mode("overwrite").parquet(f"{folder}/late/v{batch_id}")
+        mark_version(spark, folder, batch_id)
 
     return split
 
 
 def retry_letters(spark: SparkSession, source: str, target: str, queue: str, now: str) -> None:
-    """One scheduled retry pass: resubmitted rows and the rewritten letter table."""
+    """One scheduled retry pass: resubmitted rows and the rewritten letter table.
+
+    The rows go to a folder of the queue named after the pass, so a pass that is run again queues nothing twice.
+    """
     letters = spark.read.parquet(source)
     again, after = deadletters.retry_pass(letters, F.lit(now).cast("timestamp"))
-    again.write.mode("append").parquet(queue)
+    name = "".join(c if c.isalnum() else "-" for c in now)
+    again.write.mode("overwrite").parquet(f"{queue}/pass={name}")
     after.write.mode("overwrite").parquet(target)
 
 
