@@ -45,6 +45,8 @@ BETWEEN, ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x2545F4914F6CDD1D
 UNKNOWN = "und"
+#: Bytes of text that a task works on at once; each takes about 20 bytes of working memory.
+SLICE_BYTES = 4 << 20
 
 
 def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +179,7 @@ def _frequent(texts: DataFrame, lengths: range, least: int, pairs: Bloom | None)
 
     def count(batches: Batches) -> Batches:
         for batch in batches:
-            for part in sliced(batch, "text"):
+            for part in sliced(batch, "text", SLICE_BYTES):
                 grams = Grams(part)
                 places, found = zip(*(grams.counted(k, shared.value) for k in lengths))
                 prints, first, n = np.unique(np.concatenate(found), return_index=True, return_counts=True)
@@ -237,7 +239,7 @@ def _materialised(texts: DataFrame, frequent: DataFrame, pairs: Bloom) -> DataFr
         known, pairs = shared.value
         sent = np.zeros(len(known.prints), bool)
         for batch in batches:
-            for part in sliced(batch, "text"):
+            for part in sliced(batch, "text", SLICE_BYTES):
                 grams = Grams(part)
                 for k in range(1, WORDS + 1):
                     at, prints = grams.counted(k, pairs)
@@ -291,7 +293,7 @@ def _deviations(texts: DataFrame, spelt: Spelt, pairs: Bloom) -> DataFrame:
     def verify(batches: Batches) -> Batches:
         (spelt, pairs), totals = shared.value, {}
         for batch in batches:
-            for part in sliced(batch, "text"):
+            for part in sliced(batch, "text", SLICE_BYTES):
                 grams = Grams(part)
                 for lang, n in zip(grams.langs.to_pylist(), np.bincount(grams.lang, minlength=len(grams.langs)).tolist()):
                     totals[lang] = totals.get(lang, 0) + n
@@ -335,7 +337,7 @@ def _by_text(texts: DataFrame, frequent: Bloom, pairs: Bloom) -> DataFrame:
         frequent, pairs = shared.value
         names = ["lang", "phrase", "n", "pointer"]
         for batch in batches:
-            for part in sliced(batch, "text"):
+            for part in sliced(batch, "text", SLICE_BYTES):
                 grams = Grams(part)
                 counts = np.bincount(grams.lang, minlength=len(grams.langs))
                 yield pa.RecordBatch.from_arrays([
