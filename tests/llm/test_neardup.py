@@ -68,6 +68,16 @@ def test_odd_rows(spark):
     assert neardup.groups(spark.createDataFrame([], COLUMNS)).collect() == []
 
 
+def test_an_id_with_several_texts_is_one_document(spark):
+    rng = random.Random(2)
+    a, b, c, d = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(4))
+    near = a.replace(a.split()[30], "other", 1)
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, near), (9, c), (11, c), (20, d), (21, d), (22, d + " more"), (30, a[::-1]), (30, b[::-1]), (31, b[::-1])]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3, True), *((i, 3, False) for i in (5, 7, 9, 11)), (20, 20, True), (21, 20, False), (22, 20, False),
+                   (30, 30, True), (31, 30, False)}
+
+
 def test_tiles_find_what_hubs_miss(spark):
     # A chain: neighbours are similar, ends are not, so no hub is linked with all members of its bucket.
     words = [f"c{i}" for i in range(400)]

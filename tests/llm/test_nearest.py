@@ -11,7 +11,7 @@ def by_hand(rows, k):
     good = [(i, np.array(v, float)) for i, v, *_ in rows
             if i is not None and v is not None and None not in v and all(map(math.isfinite, v)) and any(v)]
     out = []
-    for q, a in good:
+    for q, a in {(i, tuple(v)): (i, v) for i, v in good}.values():
         if q % 5 == 0:
             hits = [(-float((a * b).sum()), i) for i, b in good if i != q and len(b) == len(a)]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(hits)[:k])]
@@ -25,6 +25,7 @@ def test_equals_brute_force(spark, blocks):
     vectors += [vectors[0]] * 60 + [[x * 1e-3 for x in vectors[1]], [1e30] * 8, [1e-30] * 8, [5e-324] * 8]
     vectors += [None, [0.0] * 8, [float("nan")] + [1.0] * 7, [float("inf")] * 8, [None] + [1.0] * 7, [], [1.0, 2.0], [2.0, 1.0]]
     rows = [(i, v, i % 3, 0) for i, v in enumerate(vectors)] + [(None, vectors[2], 0, 0)]
+    rows += [rows[5], rows[5], (10, vectors[11], 0, 0), rows[7]]  # repeated rows, and one id with two vectors
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score int")
     got = nearest.search(frame, F.col("vec_id") % 5 == 0, k=7, query_rows=blocks[0], candidate_rows=blocks[1])
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect())

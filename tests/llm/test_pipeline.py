@@ -100,6 +100,15 @@ def test_run_is_the_stages_in_order(spark, made):
     assert by_row(corpus_pipeline.run(spark, folder).select(columns)) == by_row(packed.select(columns))
 
 
+def test_repeated_ids_keep_one_text_of_each_group(spark):
+    words = [f"w{i}" for i in range(400)]
+    a, b = " ".join(words[:60]), " ".join(words[100:160])
+    rows = [(3, a, 1), (5, a, 1), (5, b, 1), (7, b, 1), (8, a + " x", 1), (9, " ".join(words[200:260]), 1), (9, " ".join(words[200:260]), 1)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, nth int"), "").collect()
+    # 5 ties both texts to one group, whose smallest id stays; a row that repeats stays once.
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, a), (9, rows[5][1])]
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

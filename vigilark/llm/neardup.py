@@ -159,14 +159,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     hubs = ranked.groupBy("band").agg(F.max_by("id", "worth").alias("hub"))
     stars = written(shared.join(hubs, "band").filter("id <> hub")
                     .select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = written(verified(stars, texts, width, percent), "links")
+    # An id with several texts links them: it is one document.
+    own = some.join(firsts, digests).select("doc_id", "id")
+    several = own.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last")
+    same = own.join(several, "doc_id").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
+    links = written(verified(stars, texts, width, percent).unionByName(same), "links")
     component = connected_components(links).withColumnRenamed("cluster", "component")
 
     members = shared.join(component, "id", "left").select(
         "band", "id", F.coalesce("component", "id").alias("component"))
     mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     open_ = members.join(mixed.select("band"), "band").join(
-        distinct.dropDuplicates(["id"]), "id")
+        distinct, "id")
     least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / bins) ** 0.5
     close = close_in_tiles(open_.select("band", "id", "component", "sketch", "bands"), least)
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

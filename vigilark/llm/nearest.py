@@ -102,31 +102,32 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     dealt = rows.join(F.broadcast(counts), "dims").withColumns({
         "q_block": F.pmod(F.xxhash64("id", F.lit(1)), "q_blocks").cast("int"),
         "c_block": F.pmod(F.xxhash64("id", F.lit(2)), "c_blocks").cast("int")})
-    asked = dealt.filter("is_query").select(
+    asked = dealt.filter("is_query").dropDuplicates(["id", "vector"]).select(
         "dims", "q_block", F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)).alias("c_block"),
-        F.lit(True).alias("asks"), "id", "vector")
+        F.lit(True).alias("asks"), "id", "vector", F.xxhash64("vector").alias("asked"))
     offered = dealt.select(
         "dims", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"), "c_block",
-        F.lit(False).alias("asks"), "id", "vector")
+        F.lit(False).alias("asks"), "id", "vector", F.lit(0).cast("long").alias("asked"))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         asks = rows.column("asks").to_numpy(zero_copy_only=False)
-        ids = rows.column("id").to_numpy()
+        ids, asked = rows.column("id").to_numpy(), rows.column("asked").to_numpy()
         flat = rows.column("vector").combine_chunks()
         flat = flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
         matrix = flat.to_numpy().reshape(len(ids), key[0].as_py())
         order = np.lexsort((ids, ~asks))
-        ids, matrix, n = ids[order], matrix[order], int(asks.sum())
+        ids, asked, matrix, n = ids[order], asked[order], matrix[order], int(asks.sum())
         heaps = [Heap(k) for _ in range(n)]
         if n:
             tile(ids[:n], matrix[:n], ids[n:], matrix[n:], heaps)
         return pa.table({
             "query_id": pa.array(np.repeat(ids[:n], [len(h.id) for h in heaps]), pa.int64()),
+            "asked": pa.array(np.repeat(asked[:n], [len(h.id) for h in heaps]), pa.int64()),
             "vec_id": pa.array(np.concatenate([h.id for h in heaps] or [np.zeros(0, np.int64)]), pa.int64()),
             "score": pa.array(np.concatenate([h.score for h in heaps] or [np.zeros(0)]), pa.float64())})
 
     best = asked.unionByName(offered).groupBy("dims", "q_block", "c_block").applyInArrow(
-        run, "query_id long, vec_id long, score double")
+        run, "query_id long, asked long, vec_id long, score double")
     # Heaps of several blocks meet: each task keeps k rows per query before the shuffle as well.
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
