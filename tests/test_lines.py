@@ -1,5 +1,7 @@
 """Parsing, identification, normalising and the line sources."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from vigilark.operators import enrich, normalize, parse
@@ -107,3 +109,23 @@ def test_sentences(spark):
     assert got[3].mitre_technique_hint == "T1562.001"
     assert got[4].mitre_technique_hint == "T1021" and "HTTPS" in got[4].synthetic_intent
     assert got[5].synthetic_intent.endswith("at unknown. Raw event code: unknown.")
+
+
+def test_lines_of_many_splits_are_numbered(spark, tmp_path):
+    rng = random.Random(1)
+    want = {}
+    for name, n in (("a.log", 900), ("b.log", 3), ("c.log", 0), ("d.log", 400)):
+        held = [rng.choice(["", "# === PHASE x ===", '{"a": 1}', "é" * rng.randint(1, 90), "x\ry", " \r"]) for _ in range(n)]
+        (tmp_path / name).write_bytes(("\n".join(held) + "\n" * (n > 3)).encode())
+        want |= {(name, i): line for i, line in enumerate(held)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10b")
+    try:
+        found = lines.scan_scenarios(spark, str(tmp_path))
+        got = {(r.source_path.rsplit("/", 1)[1], r.line_no): r.line for r in found.collect()}
+        assert got == want
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")

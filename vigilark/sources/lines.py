@@ -38,11 +38,21 @@ def stream_lines(spark: SparkSession, folder: str, max_files: int = 1000) -> Dat
 
 
 def scan_scenarios(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_path, line_no, line) with line numbers, for files that fit in one task each."""
-    whole = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
-    return whole.select(
-        F.col("_metadata.file_path").alias("source_path"),
-        F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """(source_path, line_no, line) with line numbers from 0, for files of any size.
+
+    A file is read in input splits. A line's number is its place in its split and the lines of the splits
+    before it, whose counts are summed up per file: one row for each split.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(folder)
+    # Rows of a split come in their order, one after another, so their ids count up without a gap.
+    placed = lines.select(
+        F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    before = Window.partitionBy("source_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = placed.groupBy("source_path", "split").agg(F.min("row").alias("first"), F.count("*").alias("n")).select(
+        "source_path", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("lift"))
+    return placed.join(splits, ["source_path", "split"]).select(
+        "source_path", (F.col("row") + F.col("lift")).alias("line_no"), "line")
 
 
 def label_phases(numbered: DataFrame, block_lines: int = 100_000) -> DataFrame:
