@@ -167,6 +167,53 @@ def test_far_cells_are_not_probed(spark, tmp_path):
     assert vector_index.correlate_indexed(empty, frame, index).collect() == []
 
 
+def copies_frame(spark, n=420):
+    """Two hours with many copies of few vectors, serious and other rows mixed."""
+    rng = np.random.default_rng(7)
+    kinds = rng.standard_normal((9, 5))
+    rows = [(f"v{i:04d}", float(rng.integers(0, 9000) if i % 4 else 40_000 + rng.integers(0, 9000)), "EXFILTRATION_HINT" if rng.random() < 0.12 else
+             ("FILE_WRITE" if rng.random() < 0.1 else "DNS_QUERY"), [float(x) for x in kinds[min(int(rng.exponential(2)), 8)]]) for i in range(n)]
+    rows += [("z1", 100.0, "EXFILTRATION_HINT", [0.0] * 5), ("z2", 100.0, "EXFILTRATION_HINT", [0.0] * 5)]
+    return rows, spark.createDataFrame(rows, "id string, event_epoch double, event_type string, embedding array<double>")
+
+
+def test_classes_of_copies_say_every_link(spark):
+    rows, frame = copies_frame(spark)
+    width = {"EXFILTRATION_HINT": 1800, "FILE_WRITE": 3600}
+    classes, members = similarity.copy_classes(frame, F.col("event_type").isin(*width))
+    for chunk_rows in (5, 2000):
+        pairs = similarity.similar_classes(classes, 0.6, chunk_rows=chunk_rows)
+        got = {(r.trigger_id, r.id) for r in similarity.expanded(pairs, classes, members).collect()}
+        want = {(i, j) for i, t, k, v in rows if k in width for j, s, _, w in rows if i != j and abs(s - t) <= width[k]
+                and np.linalg.norm(v) * np.linalg.norm(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.6}
+        assert got == want
+    assert pairs.count() < len(want) / 2
+    parent = {i: i for i, *_ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in want:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    linked = {x for pair in want for x in pair}
+    got = {(r.id, r.cluster): r.cluster_size for r in clusters.attack_clusters(pairs, classes, members).collect()}
+    assert set(got) == {(i, root(i)) for i in linked} and len({root(i) for i in linked}) > 1
+    assert all(size == sum(root(i) == c for i in linked) for (_, c), size in got.items())
+
+
+def test_copies_make_few_rows(spark):
+    """A thousand copies of one serious row in half an hour: one pair."""
+    frame = spark.range(1000).select(F.concat(F.lit("r"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id"), (F.col("id") * 1.5 + 1800).alias("event_epoch"),
+                                     F.lit("EXFILTRATION_HINT").alias("event_type"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    classes, members = similarity.copy_classes(frame, F.col("event_type") == "EXFILTRATION_HINT")
+    pairs = similarity.similar_classes(classes)
+    assert [tuple(r) for r in pairs.collect()] == [("r0000", "r0000", 1.0, True)]
+    assert {(r.cluster, r.cluster_size) for r in clusters.attack_clusters(pairs, classes, members).collect()} == {("r0000", 1000)}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(40)] + [("hub", f"s{i}") for i in range(60)]
     got = {r.id: r.cluster for r in clusters.connected_components(

@@ -195,10 +195,80 @@ def correlation_summary(triggers: DataFrame, hits: DataFrame, candidates: DataFr
     )
 
 
-def similar_pairs(vectors: DataFrame, serious: Column, threshold: float = dims.SIMILARITY_THRESHOLD,
-                  metric: str = "cosine", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(trigger_id, id, similarity): every row in the window of a serious row above a threshold, however many."""
-    left, right = _bucketed(with_window(vectors.filter(serious)), vectors)
-    pairs = _chunked_best(left, right, ["bucket"], None, threshold, metric, chunk_rows)
-    # The row itself is a pair unless its window meets it in another bucket; a pair meets in one bucket only.
-    return pairs.filter(F.col("trigger_id") != F.col("id")).withColumn("similarity", F.round("similarity", 4))
+def copy_classes(vectors: DataFrame, serious: Column) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): rows with one embedding, in one time slot and of one trigger window, are one class.
+
+    A class is known by its smallest id and has its first and last time; ``window_s`` is null unless its rows are
+    serious. Slots are no longer than the shortest window, so copies of a serious row that share a slot are in
+    each other's window.
+    """
+    timed = with_window(vectors).withColumn("window_s", F.when(serious, F.col("window_s")))
+    shortest = timed.agg(F.min("window_s")).first()[0]
+    slot_s = float(max(1, min(shortest or BUCKET_S, BUCKET_S)))
+    placed = timed.withColumn("bucket", F.floor(F.col("event_epoch") / slot_s))
+    keys = ["embedding", "bucket", F.coalesce("window_s", F.lit(-1)).alias("reach_s")]
+    classes = placed.groupBy(*keys).agg(
+        F.min("id").alias("class_id"), F.min("event_epoch").alias("first"), F.max("event_epoch").alias("last"), F.count("*").alias("n")
+    ).withColumn("slot_s", F.lit(slot_s))
+    # The classes are computed once for both frames; their rows are joined back by what makes a class.
+    members = placed.select("id", "event_epoch", *keys).join(
+        classes.select("embedding", "bucket", "reach_s", "class_id"), ["embedding", "bucket", "reach_s"]).select("id", "event_epoch", "class_id")
+    return classes.withColumn("window_s", F.when(F.col("reach_s") >= 0, F.col("reach_s"))).drop("reach_s"), members
+
+
+CLASS_PAIRS = "trigger_id string, id string, similarity double, whole boolean"
+
+
+def _linked_classes(floor: float, metric: str):
+    """The cogroup function: pairs of classes above a threshold that have rows in each other's window."""
+    def search(triggers: pa.Table, others: pa.Table) -> pa.Table:
+        parts = []
+        if triggers.num_rows and others.num_rows:
+            left, right = _matrix(triggers, metric), _matrix(others, metric)
+            names, ids = triggers.column("trigger_id").to_numpy(), others.column("id").to_numpy()
+            a1, a2, width = (triggers.column(c).to_numpy()[:, None] for c in ("first", "last", "window_s"))
+            b1, b2, n = (others.column(c).to_numpy()[None, :] for c in ("first", "last", "n"))
+            for start in range(0, len(names), 256):
+                part = slice(start, start + 256)
+                scores = left[part] @ right.T
+                if metric == "l2sq":
+                    scores = 1.0 - ((left[part] ** 2).sum(axis=1)[:, None] + (right ** 2).sum(axis=1)[None, :] - 2.0 * scores)
+                scores = np.round(scores, RANK_DIGITS)
+                near = np.maximum(b1 - a2[part], a1[part] - b2) <= width[part]
+                # A class is linked with itself if it has two rows.
+                real = (names[part][:, None] != ids[None, :]) | (n > 1)
+                row, col = np.nonzero((scores >= floor) & near & real)
+                whole = np.maximum(b2 - a1[part], a2[part] - b1) <= width[part]
+                parts.append((names[part][row], ids[col], scores[row, col], whole[row, col]))
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.array([])] * 4
+        return pa.table({"trigger_id": pa.array(columns[0].astype(object), pa.string()), "id": pa.array(columns[1].astype(object), pa.string()),
+                         "similarity": pa.array(columns[2].astype(float), pa.float64()), "whole": pa.array(columns[3].astype(bool), pa.bool_())})
+
+    return search
+
+
+def similar_classes(classes: DataFrame, threshold: float = dims.SIMILARITY_THRESHOLD, metric: str = "cosine",
+                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(trigger_id, id, similarity, whole): the pairs of classes with linked rows, by their smallest ids.
+
+    A serious row of the first class is linked with a row of the second if that is in its window, for all
+    rows if ``whole``; so pairs and members say every link, and n copies of a row cost no n * n rows.
+    """
+    slots = F.sequence(F.floor((F.col("first") - F.col("window_s")) / F.col("slot_s")),
+                       F.floor((F.col("last") + F.col("window_s")) / F.col("slot_s")))
+    left = classes.filter("window_s is not null").select(
+        F.col("class_id").alias("trigger_id"), "first", "last", "window_s", "embedding", F.explode(slots).alias("bucket"))
+    # Fresh names: both sides come from the same table.
+    right = classes.select(F.col("class_id").alias("id"), *(F.col(c).alias(c) for c in ("first", "last", "n", "embedding", "bucket")))
+    pairs = by_chunks(left, right, ["bucket"], _linked_classes(threshold, metric), CLASS_PAIRS, chunk_rows)
+    return pairs.withColumn("similarity", F.round("similarity", 4))
+
+
+def expanded(pairs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(trigger_id, id, similarity) of the single rows behind pairs of classes: as many as there are links."""
+    ends = classes.select(F.col("class_id").alias("trigger_id"), "window_s")
+    own = members.select(F.col("class_id").alias("trigger_id"), F.col("id").alias("trigger"), F.col("event_epoch").alias("at"))
+    other = members.select(F.col("class_id").alias("id"), F.col("id").alias("row"), F.col("event_epoch").alias("met"))
+    both = pairs.join(ends, "trigger_id").join(own, "trigger_id").join(other, "id")
+    return both.filter((F.col("trigger") != F.col("row")) & (F.abs(F.col("met") - F.col("at")) <= F.col("window_s"))).select(
+        F.col("trigger").alias("trigger_id"), F.col("row").alias("id"), "similarity")

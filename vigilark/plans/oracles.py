@@ -764,7 +764,15 @@ ORACLES.update({
          coalesce(string_agg(h.id, ',' ORDER BY h.rank), '') AS uuids
         FROM timed t LEFT JOIN hits h ON t.id = h.trigger_id LEFT JOIN vectors c ON h.id = c.id
         GROUP BY t.id, h.id IS NULL""", neighbours(0.3)),
-    "similar_pairs": vec("SELECT trigger_id, id, similarity FROM hits", neighbours(0.25, serious=True, best="")),
+    "similar_rows": vec("SELECT trigger_id, id, similarity FROM hits", neighbours(0.25, serious=True, best="")),
+    "similar_pairs": vec("""
+        SELECT trigger_id, id, similarity, larger <= window_s AS whole FROM (SELECT DISTINCT x.class_id AS trigger_id, y.class_id AS id,
+          h.similarity, x.window_s, greatest(y.last - x.first, x.last - y.first) AS larger
+         FROM hits h JOIN classed x ON x.id = h.trigger_id JOIN classed y ON y.id = h.id)""",
+                         neighbours(0.25, serious=True, best=""), """
+classed AS (SELECT id, window_s, min(id) OVER w AS class_id, min(event_epoch) OVER w AS first, max(event_epoch) OVER w AS last
+  FROM timed WINDOW w AS (PARTITION BY vec, floor(event_epoch / 1800),
+   CASE WHEN event_type IN ('PRIVILEGE_ESCALATION', 'LATERAL_MOVEMENT_HINT', 'EXFILTRATION_HINT') THEN window_s END))"""),
     "attack_clusters": vec("""
         SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size
         FROM (SELECT id, min(other) AS cluster FROM reach GROUP BY id)""", neighbours(0.25, serious=True, best=""), """

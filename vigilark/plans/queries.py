@@ -578,16 +578,26 @@ def _serious() -> Column:
     return F.col("event_type").isin(*dims.QUEUE_P0_TYPES, *dims.QUEUE_P1_TYPES)
 
 
+def _similar(spark, folder):
+    classes, members = similarity.copy_classes(derive.vectors(spark, folder), _serious())
+    return similarity.similar_classes(classes, threshold=0.25), classes, members
+
+
 @query("similar_pairs")
 def similar_pairs(spark, folder):
-    return similarity.similar_pairs(derive.vectors(spark, folder), _serious(), threshold=0.25).select(
-        "trigger_id", "id", "similarity")
+    """Pairs of classes of copies, by their smallest ids."""
+    return _similar(spark, folder)[0]
+
+
+@query("similar_rows")
+def similar_rows(spark, folder):
+    """The single rows behind them."""
+    return similarity.expanded(*_similar(spark, folder))
 
 
 @query("attack_clusters")
 def attack_clusters(spark, folder):
-    pairs = similarity.similar_pairs(derive.vectors(spark, folder), _serious(), threshold=0.25)
-    return clusters.attack_clusters(pairs)
+    return clusters.attack_clusters(*_similar(spark, folder))
 
 
 @query("tier_split")
