@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vigilark import dims
 from vigilark.functions.text import truncate_at_sentence, with_bigrams, words
-from vigilark.session import checkpoint
+from vigilark.session import checkpoint, written
 
 
 def term_counts(texts: DataFrame, id_column: str, text_column: str = "text",
@@ -52,20 +52,19 @@ def tfidf_search(corpus: DataFrame, queries: DataFrame, k: int = 10,
                  stop_words: list[str] | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``k`` most similar documents by cosine.
 
-    Documents that share no term with the query are not listed.
+    Documents that share no term with the query are not listed. The corpus is
+    read and counted once; of the counts, only the asked terms meet queries.
     """
     n = corpus.count()
-    counts = term_counts(corpus, doc_id, stop_words=stop_words)
-    # Written once so that its two uses do not count the corpus twice.
-    terms = checkpoint(vocabulary(counts, F.lit(n), vocabulary_size))
-    documents = weights(counts, terms, doc_id)
-    asked = weights(term_counts(queries, query_id, stop_words=stop_words), terms, query_id)
-    asked = asked.withColumnRenamed("weight", "query_weight")
-    scores = (
-        documents.join(asked, "term").groupBy(doc_id, query_id)
-        .agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
-        .withColumn("score", F.round("score", 9))
-    )
+    counts = written(term_counts(corpus, doc_id, stop_words=stop_words), "term-counts")
+    terms = written(vocabulary(counts, F.lit(n), vocabulary_size), "vocabulary")
+    asked = checkpoint(weights(term_counts(queries, query_id, stop_words=stop_words), terms, query_id)
+                       .withColumnRenamed("weight", "query_weight"))
+    w = F.col("tf") * F.col("idf")
+    norms = counts.join(terms, "term").groupBy(doc_id).agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    wanted = asked.join(terms, "term").select("term", query_id, (F.col("query_weight") * F.col("idf")).alias("part"))
+    sums = counts.join(wanted, "term").groupBy(doc_id, query_id).agg(F.sum(F.col("tf") * F.col("part")).alias("product"))
+    scores = sums.join(norms, doc_id).select(doc_id, query_id, F.round(F.col("product") / F.col("norm"), 9).alias("score"))
     by_query = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
     return scores.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
 
