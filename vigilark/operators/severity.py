@@ -45,20 +45,30 @@ def queue_severity(rows: DataFrame, basename: bool = False) -> DataFrame:
     return rows.withColumn("severity", severity).withColumn("priority", priority[F.col("severity")])
 
 
+LIST_COLUMNS = ("listed_process", "listed_hash", "listed_ip")
+
+
 def _conditions(config: ThreatConfig, scan_threshold: int,
-                basename: bool) -> list[tuple[str, Column, Column]]:
-    """(weight name, condition, flag) for the thirteen conditions, in flag order."""
+                basename: bool, listed: bool = False) -> list[tuple[str, Column, Column]]:
+    """(weight name, condition, flag) for the thirteen conditions, in flag order.
+
+    With ``listed``, the hits of the long lists are columns of the rows.
+    """
     process = _process("process_name", basename)
     parent = _process("parent_process_name", basename)
     args = F.lower(F.coalesce("command_line_args", F.lit("")))
     kind = F.col("event_type")
-    # A literal list test is folded into the scan; long hash lists go through bad_hash_matches.
-    hashes = contains_any(F.upper("raw_payload"), [h.upper() for h in config.known_bad_hashes])
-    ips = list(config.known_c2_ips)
+    if listed:
+        name_hit, hash_hit, ip_hit = (F.col(c) for c in LIST_COLUMNS)
+    else:
+        # A short list is a literal, folded into the scan; threat_lists.with_list_hits is for long ones.
+        ips = list(config.known_c2_ips)
+        name_hit = contains_any(process, [p.lower() for p in config.dangerous_processes])
+        hash_hit = contains_any(F.upper("raw_payload"), [h.upper() for h in config.known_bad_hashes])
+        ip_hit = _true(F.col("source_ip").isin(*ips)) | _true(F.col("dest_ip").isin(*ips))
     critical = F.concat(F.lit("critical_event:"), kind)
     return [
-        ("dangerous_process",
-         contains_any(process, [p.lower() for p in config.dangerous_processes]),
+        ("dangerous_process", name_hit,
          F.concat(F.lit("dangerous_process:"), process)),
         ("webserver_parent_cmd_child",
          parent.isin(*dims.WEB_SERVERS) & process.isin(*dims.SHELLS),
@@ -77,13 +87,12 @@ def _conditions(config: ThreatConfig, scan_threshold: int,
          F.lit("log_clearing")),
         ("shadow_delete", args.contains("vssadmin") & args.contains("delete"),
          F.lit("shadow_delete")),
-        ("known_bad_hash", hashes, F.lit("known_bad_hash")),
+        ("known_bad_hash", hash_hit, F.lit("known_bad_hash")),
         ("large_data_transfer", F.col("bytes_sent") > dims.LARGE_TRANSFER_BYTES,
          F.lit("large_data_transfer")),
         ("port_scan_detected", (F.length("source_ip") > 0)
          & (F.col("scan_count") >= scan_threshold), F.lit("port_scan_detected")),
-        ("known_c2_ip", _true(F.col("source_ip").isin(*ips)) | _true(F.col("dest_ip").isin(*ips)),
-         F.lit("known_c2_ip")),
+        ("known_c2_ip", ip_hit, F.lit("known_c2_ip")),
     ]
 
 
@@ -100,7 +109,8 @@ def triage_score(rows: DataFrame, config: ThreatConfig | None = None, profile: s
     Expects ``ip_seen`` (boolean) and ``scan_count`` (int) from the activity
     operators; missing columns read as "not seen" and zero. ``profile="basic"``
     scores the first five conditions with the built-in weights and thresholds;
-    ``basename`` strips folders from process names first.
+    ``basename`` strips folders from process names first. Rows with ``listed_process``, ``listed_hash``
+    and ``listed_ip`` (``threat_lists.with_list_hits``) use these instead of the lists of ``config``.
     """
     config = config or ThreatConfig()
     weights, limits = config.scoring_weights, config.severity_thresholds
@@ -108,7 +118,7 @@ def triage_score(rows: DataFrame, config: ThreatConfig | None = None, profile: s
         rows = rows.withColumn("ip_seen", F.lit(False))
     if "scan_count" not in rows.columns:
         rows = rows.withColumn("scan_count", F.lit(0))
-    conditions = _conditions(config, scan_threshold, basename)
+    conditions = _conditions(config, scan_threshold, basename, set(LIST_COLUMNS) <= set(rows.columns))
     if profile == "basic":
         weights, limits = dims.WEIGHTS, dims.THRESHOLDS
         conditions = [c for c in conditions if c[0] in BASIC_CONDITIONS]

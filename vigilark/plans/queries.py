@@ -15,7 +15,7 @@ from vigilark.operators import (activity, clusters, deadletters, enrich, graph,
 from vigilark.plans import derive
 from vigilark.plans.stages import canonical_rows, triaged_rows
 from vigilark.session import configure, scratch_path
-from vigilark.sources import archive, lines, vector_store
+from vigilark.sources import archive, lines, threat_lists, vector_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -367,7 +367,8 @@ def triage_score_weighted(spark, folder):
     config = dims.ThreatConfig().override(
         c2_ports=[22, 3389], scoring_weights={"c2_port": 45, "shadow_delete": 5},
         severity_thresholds={"P1": 50})
-    rows = severity.triage_score(_enriched(spark, folder), config)
+    rows = threat_lists.with_list_hits(_enriched(spark, folder), threat_lists.of_config(spark, config))
+    rows = severity.triage_score(rows, config)
     return rows.groupBy("triage_severity", "score").agg(F.count("*").alias("n_events"))
 
 
