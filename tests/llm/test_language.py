@@ -69,3 +69,20 @@ def test_temperature_lowers_overconfident_scores():
     kinds = rng.integers(0, 2, 400)
     scores = np.where(rng.random(400)[:, None] < 0.7, np.eye(2)[kinds], np.eye(2)[1 - kinds]) * 50.0
     assert language.best_temperature(scores, kinds) > 5
+
+
+def test_every_label_is_learned_and_rows_are_sampled(spark):
+    """More labels than any cap, one of them under a single id with many texts: each is predicted."""
+    import random
+    rng = random.Random(4)
+    rows = []
+    for k in range(210):
+        syllables = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(6)]
+        texts = [" ".join("".join(rng.choices(syllables, k=2)) for _ in range(12)) for _ in range(6)]
+        rows += [(1_000_003 if k == 7 else k * 10 + i, t, f"l{k:03d}") for i, t in enumerate(texts)]
+    rows += [rows[50]] * 30
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(frame, bits=14)
+    labels = {r[2] for r in rows}
+    seen = {r.lang for r in frame.filter(language.fold("doc_id") != 0).select("lang").distinct().collect()}
+    assert set(model.languages) == seen and len(seen) > 200 and seen <= labels

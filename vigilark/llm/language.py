@@ -136,24 +136,27 @@ def best_temperature(scores: np.ndarray, kinds: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", held_out: int = 0,
-          per_language: int = 500, languages: int = 200, bits: int = BITS) -> Model:
+          per_language: int = 500, bits: int = BITS) -> Model:
     """Learn from the rows whose id is not in fold ``held_out`` of 5.
 
-    The fit sees at most ``per_language`` documents of each of the ``languages`` most frequent labels, those with
-    the smallest hash of their id (which is looked for among about twice as many; counts of n-grams, not texts, reach the driver); a fifth of them sets the temperature.
+    Every label is learned, from at most ``per_language`` documents, those with the smallest hash of their id (which is looked for
+    among about twice as many; counts of n-grams, not texts, reach the driver); a fifth of them sets the temperature. Rows that
+    repeat an id count by their texts, a text once. The driver's memory grows with the labels, as the weights do.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     rows = rows.filter(fold("id") != held_out).filter("label is not null and text is not null")
     seen, total = document_frequencies(rows.select("text"), bits)
     idf = np.log((1 + total) / (1 + seen)) + 1
-    frequent = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(languages)
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("digest", F.xxhash64("text"))
+    key = ["id", "label", "digest"]
     # Twice as many as wanted are below the cut on average, so the ranking never meets a language's every row.
     span = 1 << 40
     below = F.lit(2.0 * per_language * span) / F.col("n")
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("hash", "id"))
-    few = (rows.select("id", "label", F.pmod(F.xxhash64("id"), F.lit(span)).alias("hash"))
-           .join(F.broadcast(frequent), "label").filter(F.col("hash") < below).withColumn("nth", nth)
-           .filter(F.col("nth") <= per_language).select("id", "label"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("hash", "id", "digest"))
+    few = (rows.select(*key, F.pmod(F.xxhash64("id"), F.lit(span)).alias("hash"))
+           .join(F.broadcast(sizes), "label").filter(F.col("hash") < below).dropDuplicates(key).withColumn("nth", nth)
+           .filter(F.col("nth") <= per_language).select(*key))
 
     def count(batches: Batches) -> Batches:
         grams = Grams(bits)
@@ -165,7 +168,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
                  pa.array([b.astype(np.uint32).tobytes() for _, b in found], pa.binary())],
                 names=["label", "part", "columns", "counts"])
 
-    picked = (rows.join(F.broadcast(few.distinct()), ["id", "label"]).select("label", "text", F.pmod(F.xxhash64("id"), F.lit(5)).alias("part"))
+    # Broadcast: a row per label, and ``per_language`` of each, where the model has 2**bits numbers for each.
+    picked = (rows.join(F.broadcast(few), key).dropDuplicates(key).select("label", "text", F.pmod(F.xxhash64("id"), F.lit(5)).alias("part"))
               .mapInArrow(count, "label string, part long, columns binary, counts binary").collect())
     picked = sorted(tuple(map(bytes, r[2:])) + (r[0], r[1]) for r in picked if r["columns"])
     names = sorted({r[2] for r in picked})
