@@ -152,6 +152,8 @@ def test_ingest_from_files(spark, tmp_path):
     assert stored.count() == 4 and stored.select("log_uuid").distinct().count() == 4
     assert "heuristic_flags" in stored.columns
     assert {r.triage_severity for r in stored.collect()} == {"P1", "BENIGN"}
+    totals = {r.metric: r.n for r in spark.read.parquet(str(tmp_path / "cp-activity/totals")).groupBy("metric").agg(F.sum("value").alias("n")).collect()}
+    assert (totals["ingested"], totals["dead_letters"], totals["p1"]) == (4, 1, 2) and totals["benign"] == 2
     letters = spark.read.parquet(str(tmp_path / "dlq"))
     assert letters.count() == 1 and "event_type" in letters.first().payload
 

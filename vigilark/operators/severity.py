@@ -225,6 +225,22 @@ def severity_summary(rows: DataFrame, severity: str = "triage_severity") -> Data
     return rows.rollup("event_type", severity).agg(F.count("*").alias("n_events"))
 
 
+def outcome_counts(severity: str = "triage_severity", failed: str = "normalize_failed") -> dict[str, Column]:
+    """What became of the rows, as aggregates of one pass: totals, dead letters, and rows by severity."""
+    counts = {"ingested": F.count("*"), "dead_letters": F.count_if(F.col(failed)),
+              "embedded": F.count_if((F.col(severity) != "BENIGN") & (F.length(F.trim("synthetic_intent")) > 0)),
+              "correlated": F.count_if(F.col("correlation_required"))}
+    return counts | {name.lower(): F.count_if(F.col(severity) == name) for name in dims.SEVERITIES} | {
+        "techniques": F.approx_count_distinct(F.when(F.length("mitre_technique_hint") > 0, F.col("mitre_technique_hint")), 0.01)}
+
+
+def outcome_totals(triaged: DataFrame) -> DataFrame:
+    """(metric, value) of :func:`outcome_counts`; techniques, a short list, are counted exactly."""
+    counts = outcome_counts() | {"techniques": F.size(F.collect_set(F.when(F.length("mitre_technique_hint") > 0, F.col("mitre_technique_hint"))))}
+    row = triaged.agg(*(c.cast("bigint").alias(name) for name, c in counts.items()))
+    return row.select(F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in counts))))
+
+
 def p0_alerts(triaged: DataFrame) -> DataFrame:
     """One alert text per P0 row."""
     def shown(name: str, missing: str) -> Column:

@@ -652,6 +652,14 @@ scoring_input AS (SELECT e.*, coalesce(ip_seen, false) AS ip_seen FROM enriched
         "SELECT event_type, triage_severity, count(*) AS n_events FROM triaged GROUP BY ROLLUP (event_type, triage_severity)",
         IDENTIFIED, CODE_MAP, NORMALIZED, enriched("normal"),
         "scoring_input AS (SELECT *, line AS raw_payload FROM enriched)", scored()),
+    "outcome_totals": raw("""
+        SELECT unnest(['ingested', 'dead_letters', 'embedded', 'correlated', 'p0', 'p1', 'p2', 'benign', 'techniques']) AS metric,
+         unnest([count(*), count(*) FILTER (normalize_failed), count(*) FILTER (triage_severity <> 'BENIGN' AND length(trim(synthetic_intent)) > 0),
+          count(*) FILTER (triage_severity IN ('P0', 'P1')), count(*) FILTER (triage_severity = 'P0'), count(*) FILTER (triage_severity = 'P1'),
+          count(*) FILTER (triage_severity = 'P2'), count(*) FILTER (triage_severity = 'BENIGN'),
+          count(DISTINCT nullif(mitre_technique_hint, ''))])::BIGINT AS value FROM triaged""",
+        IDENTIFIED, CODE_MAP, NORMALIZED, enriched("normal"),
+        "scoring_input AS (SELECT *, line AS raw_payload FROM enriched)", scored()),
     "p0_alerts": sec("""
         SELECT log_uuid, '🔴 *P0 CRITICAL — Pre-Correlation Alert*' || chr(10) || chr(10) || 'Event: `' || event_type || '`' ||
          chr(10) || 'Host: `' || hostname || '`' || chr(10) || 'Source: `' || source_ip || '` → `' || coalesce(dest_ip, 'N/A') ||

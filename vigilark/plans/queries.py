@@ -433,6 +433,13 @@ def severity_summary(spark, folder):
     return severity.severity_summary(triaged_rows(rows, with_activity=False))
 
 
+@query("outcome_totals")
+def outcome_totals(spark, folder):
+    """Ingested rows, dead letters and rows by severity in one pass of the lines."""
+    rows = canonical_rows(derive.raw_lines(spark, folder), ingested_at=stamp(INGESTED), keep=("event_id",))
+    return severity.outcome_totals(triaged_rows(rows, with_activity=False))
+
+
 @query("p0_alerts")
 def p0_alerts(spark, folder):
     return severity.p0_alerts(triaged_rows(_enriched(spark, folder), with_activity=False))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -71,7 +71,8 @@ def ingest(spark: SparkSession, folder: str, archive: str, letters: str, checkpo
     Scores know of the rows of this and of earlier batches, as far as they are older in event time: address
     activity, and port scans with ``scan`` (window_s, threshold). ``state`` is the folder for what is carried
     over, beside the checkpoint by default. With files in the order of time the scores are those of
-    :func:`triaged_rows` over all rows at once; a row later than ``delay_s`` may miss what is gone by then.
+    :func:`triaged_rows` over all rows at once; a row later than ``delay_s`` may miss what is gone by then. What
+    became of a batch's rows is counted on the way, below ``totals`` of the same folder.
     """
     scan = scan or {"window_s": dims.PORT_SCAN_WINDOW_S, "threshold": dims.PORT_SCAN_THRESHOLD}
     carried = CarriedActivity(state or f"{checkpoint.rstrip('/')}-activity", scan, delay_s)
@@ -82,10 +83,17 @@ def ingest(spark: SparkSession, folder: str, archive: str, letters: str, checkpo
         before = carried.read(rows.sparkSession, batch_id) or (None, None)
         scored = triaged_rows(rows, scan=scan, carried_hours=before[0], carried_seconds=before[1])
         scored = scored.withColumn("event_date", F.to_date("event_timestamp")).persist()
-        stored, bad = normalize.split_ingest(scored)
+        # Totals are observed on the way to the archive: no pass of their own.
+        totals = Observation(f"outcome-{batch_id}")
+        watched = scored.observe(totals, *(c.cast("bigint").alias(name) for name, c in severity.outcome_counts().items()))
+        stored, _ = normalize.split_ingest(watched)
+        _, bad = normalize.split_ingest(scored)
         (stored.write.mode("overwrite").partitionBy("event_date")
          .parquet(f"{archive}/batch_id={batch_id}"))
         bad.write.mode("overwrite").parquet(f"{letters}/batch_id={batch_id}")
+        found = totals.get
+        spark.createDataFrame([(n, v) for n, v in found.items()], "metric string, value bigint").coalesce(1).write.mode(
+            "overwrite").parquet(f"{carried.folder}/totals/batch_id={batch_id}")
         carried.write(rows, batch_id)
         scored.unpersist()
         rows.unpersist()
