@@ -35,11 +35,8 @@ def _given(column: str) -> Column:
     return F.coalesce(F.length(column) > 0, F.lit(False))
 
 
-def log_node_parts(rows: DataFrame) -> DataFrame:
-    """One contribution per entity of a row: +5 unless it is a placeholder, and its touches.
-
-    A placeholder still becomes a node (with nothing added) when it ends an edge.
-    """
+def _log_nodes() -> Column:
+    """The node contributions of a row, as an array."""
     parts = []
     for kind, column, placeholder in LOG_ENTITIES:
         ends = [_given(a[1]) & _given(b[1]) for a, b, _ in LOG_EDGES
@@ -51,13 +48,19 @@ def log_node_parts(rows: DataFrame) -> DataFrame:
             F.col(column).alias("label"),
             F.when(counted, dims.RAW_LOG_SCORE).otherwise(0.0).alias("score"),
             (F.when(counted, 1).otherwise(0) + n_ends).cast("bigint").alias("touches"))))
-    return rows.select(
-        F.col("event_timestamp").alias("seen_at"), F.col("log_uuid").alias("origin"),
-        F.inline(F.array_compact(F.array(*parts))))
+    return F.array_compact(F.array(*parts))
 
 
-def log_edge_parts(rows: DataFrame) -> DataFrame:
-    """Up to four edges per row."""
+def log_node_parts(rows: DataFrame) -> DataFrame:
+    """One contribution per entity of a row: +5 unless it is a placeholder, and its touches.
+
+    A placeholder still becomes a node (with nothing added) when it ends an edge.
+    """
+    return rows.select(F.col("event_timestamp").alias("seen_at"), F.col("log_uuid").alias("origin"), F.inline(_log_nodes()))
+
+
+def _log_edges() -> Column:
+    """The edges of a row, as an array."""
     parts = []
     for (a_kind, a), (b_kind, b), kind in LOG_EDGES:
         source, target = node_id(a_kind, F.col(a)), node_id(b_kind, F.col(b))
@@ -65,9 +68,12 @@ def log_edge_parts(rows: DataFrame) -> DataFrame:
             edge_id(source, target, F.lit(kind)).alias("id"), source.alias("source"),
             target.alias("target"), F.lit(kind).alias("type"),
             F.lit("").alias("mitre_technique_id"))))
-    return rows.select(
-        F.col("event_timestamp").alias("seen_at"), F.col("log_uuid").alias("origin"),
-        F.inline(F.array_compact(F.array(*parts))))
+    return F.array_compact(F.array(*parts))
+
+
+def log_edge_parts(rows: DataFrame) -> DataFrame:
+    """Up to four edges per row."""
+    return rows.select(F.col("event_timestamp").alias("seen_at"), F.col("log_uuid").alias("origin"), F.inline(_log_edges()))
 
 
 def infer_edge_type(a: Column, b: Column) -> Column:
@@ -214,6 +220,23 @@ def delta(old_nodes: DataFrame, old_edges: DataFrame, node_parts: DataFrame,
     )
 
 
+def log_delta(rows: DataFrame, is_new: Column) -> DataFrame:
+    """:func:`delta` of the rows that are new against the others, in one pass of both.
+
+    A contribution carries which side it is of; one aggregate by id says what was there and what has come.
+    """
+    def marked(kind: str, parts: Column, touches) -> Column:
+        return F.transform(parts, lambda x: F.struct(F.lit(kind).alias("part"), x["id"].alias("id"), touches(x).alias("touches")))
+
+    both = F.concat(marked("node", _log_nodes(), lambda x: x["touches"]), marked("edge", _log_edges(), lambda x: F.lit(0).cast("bigint")))
+    sides = rows.select(is_new.alias("new"), F.inline(both)).groupBy("part", "id").agg(
+        F.max("new").alias("fresh"), F.min("new").alias("only_fresh"), F.sum(F.when(F.col("new"), F.col("touches"))).alias("n"))
+    node, known = F.col("part") == "node", ~F.col("only_fresh")
+    kinds = F.array_compact(F.array(
+        F.when(node & ~known, "new_node"), F.when(node & (known | (F.col("n") > 1)), "updated_node"), F.when(~node & ~known, "new_edge")))
+    return sides.filter("fresh").select(F.explode(kinds).alias("kind"), "id")
+
+
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Totals, highest score, users, high-risk nodes: two one-row aggregates side by side."""
     left = nodes.agg(

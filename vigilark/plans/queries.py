@@ -716,12 +716,7 @@ def graph_stats(spark, folder):
 
 @query("graph_delta")
 def graph_delta(spark, folder):
-    rows = derive.sec_log(spark, folder)
-    old = rows.filter(F.col("event_timestamp") < stamp(NOW))
-    new = rows.filter(F.col("event_timestamp") >= stamp(NOW))
-    return graph.delta(
-        graph.build_nodes(graph.log_node_parts(old)), graph.build_edges(graph.log_edge_parts(old)),
-        graph.log_node_parts(new), graph.log_edge_parts(new))
+    return graph.log_delta(derive.sec_log(spark, folder), F.col("event_timestamp") >= stamp(NOW))
 
 
 # ---- reports -----------------------------------------------------------------------------
