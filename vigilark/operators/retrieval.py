@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vigilark import dims
 from vigilark.functions.text import truncate_at_sentence, with_bigrams, words
@@ -34,18 +39,160 @@ def vocabulary(counts: DataFrame, n_documents: Column, size: int | None = None)
         terms = terms.orderBy(F.desc("cf"), "term").limit(size)
     return (
         terms.withColumn("idf", F.log((1 + n_documents) / (1 + F.col("df"))) + 1)
-        .select("term", "idf")
+        .select("term", "idf", "df")
     )
 
 
 def weights(counts: DataFrame, terms: DataFrame, id_column: str) -> DataFrame:
     """(id, term, weight) of unit length per id."""
     by_id = Window.partitionBy(id_column)
-    raw = counts.join(terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    raw = counts.join(terms.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_id))
                           ).select(id_column, "term", "weight")
 
 
+#: Terms of texts that a task holds on each side at once, besides one text that has more by itself.
+QUERY_TERMS, DOCUMENT_TERMS = 2_000_000, 1_000_000
+#: Rows of a block of scores within a task, and terms of a dense product or products of a sparse one at once.
+QUERY_ROWS, DOCUMENT_ROWS, DENSE_TERMS, PRODUCTS = 512, 4096, 512, 1 << 20
+#: A product by index costs as much as this many by matrix.
+SPARSE_COST = 256
+
+
+def text_norms(counts: DataFrame, terms: DataFrame, doc_id: str, heavy: int = 1 << 16) -> DataFrame:
+    """(doc_id, norm) over all of a document's ``terms``.
+
+    Terms that make up at least 1 in ``heavy`` of all counts, of which there are no more than ``heavy``, are
+    sent to every task, so that only the rarer ones move to meet their weights.
+    """
+    total = counts.count()
+    common = F.broadcast(terms.filter(F.col("df") * heavy >= total).select("term", F.col("idf").alias("common")))
+    first = counts.join(common, "term", "left")
+    w = F.col("tf") * F.col("idf")
+    parts = first.filter("common is not null").select(doc_id, (F.col("tf") * F.col("common")).alias("w")).unionByName(
+        first.filter("common is null").join(terms.filter(F.col("df") * heavy < total).select("term", "idf"), "term")
+        .select(doc_id, w.alias("w")))
+    return parts.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
+def _entries(table: pa.Table, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, value) of the terms of ``table`` that are in ``codes``."""
+    terms, values = (table.column(c).combine_chunks() for c in ("terms", "amounts"))
+    found = terms.flatten().to_numpy()
+    row = np.repeat(np.arange(table.num_rows), pc.list_value_length(terms).to_numpy())
+    code = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
+    real = codes[code] == found
+    return row[real], code[real], values.flatten().to_numpy()[real]
+
+
+def _blocks(row: np.ndarray, code: np.ndarray, value: np.ndarray, rows: int, size: int):
+    """Consecutive rows at a time: first row, number of rows, and the entries by code with rows from 0."""
+    for start in range(0, rows, size):
+        some = slice(*np.searchsorted(row, [start, start + size]))
+        order = np.argsort(code[some], kind="stable")
+        yield start, min(size, rows - start), row[some][order] - start, code[some][order], value[some][order]
+
+
+def _products(left: tuple, right: tuple, n_codes: int) -> np.ndarray:
+    """The inner products of all rows of two blocks: terms in many rows by matrix, the others by index."""
+    (_, n_left, l_row, l_code, l_value), (_, n_right, r_row, r_code, r_value) = left, right
+    l_count, r_count = np.bincount(l_code, minlength=n_codes), np.bincount(r_code, minlength=n_codes)
+    often = l_count * r_count * SPARSE_COST > n_left * n_right
+    out = np.zeros((n_left, n_right))
+    dense = np.flatnonzero(often)
+    place = np.full(n_codes, -1)
+    for start in range(0, len(dense), DENSE_TERMS):
+        part = dense[start:start + DENSE_TERMS]
+        place[:] = -1
+        place[part] = np.arange(len(part))
+        sides = []
+        for n, row, code, value in ((n_left, l_row, l_code, l_value), (n_right, r_row, r_code, r_value)):
+            own = place[code]
+            side = np.zeros((n, len(part)))
+            side[row[own >= 0], own[own >= 0]] = value[own >= 0]
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    rare = np.flatnonzero(~often[l_code] & (r_count[l_code] > 0))
+    n = r_count[l_code[rare]]
+    first, ends, flat, at = np.cumsum(r_count) - r_count, np.cumsum(n), out.reshape(-1), 0
+    while at < len(rare):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PRODUCTS, "right")))
+        mine, many = rare[at:upto], n[at:upto]
+        begun = np.repeat(np.cumsum(many) - many, many)
+        other = np.repeat(first[l_code[mine]], many) + np.arange(many.sum()) - begun
+        np.add.at(flat, np.repeat(l_row[mine] * n_right, many) + r_row[other],
+                  np.repeat(l_value[mine], many) * r_value[other])
+        at = upto
+    return out
+
+
+def _first(k: int, row: np.ndarray, col: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best cells of each row; documents are in the order of their ids, which breaks ties."""
+    order = np.lexsort((col, -score, row))
+    row, col, score = row[order], col[order], score[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[best], col[best], score[best]
+
+
+def _best_documents(k: int, query_kind: pa.DataType, doc_kind: pa.DataType):
+    """The cogroup function: the ``k`` best of some documents for each of some queries."""
+    def search(queries: pa.Table, documents: pa.Table) -> pa.Table:
+        found = [], [], []
+        documents = documents.sort_by("doc")
+        asked = pc.unique(queries.column("terms").combine_chunks().flatten()).to_numpy()
+        codes = np.intersect1d(asked, pc.unique(documents.column("terms").combine_chunks().flatten()).to_numpy())
+        if len(codes):
+            norms = documents.column("norm").to_numpy()
+            lefts = list(_blocks(*_entries(queries, codes), queries.num_rows, QUERY_ROWS))
+            for right in _blocks(*_entries(documents, codes), documents.num_rows, DOCUMENT_ROWS):
+                for left in lefts:
+                    product = _products(left, right, len(codes))
+                    scores = np.round(product / norms[right[0]:right[0] + right[1]], 9)
+                    scores[product <= 0] = -1
+                    cut = np.partition(scores, -k, axis=1)[:, -k:-k + 1 or None] if right[1] > k else 0
+                    row, col = np.nonzero((scores >= cut) & (scores >= 0))
+                    row, col, score = _first(k, row, col, scores[row, col])
+                    for list_, more in zip(found, (left[0] + row, right[0] + col, score)):
+                        list_.append(more)
+        row, col, score = _first(k, *(np.concatenate(x) if x else np.array([], int) for x in found))
+        return pa.table({"query": queries.column("query").take(pa.array(row)).cast(query_kind),
+                         "doc": documents.column("doc").take(pa.array(col)).cast(doc_kind),
+                         "score": pa.array(score.astype(float))})
+
+    return search
+
+
+def best_documents(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """(query, doc, score): the ``k`` best documents per query of every pair of chunks.
+
+    ``queries`` has (query, terms, amounts), ``documents`` (doc, norm, terms, amounts); terms are numbers. A task
+    multiplies a chunk of either side; pairs of a document and a query exist only as cells of its blocks.
+    """
+    def chunks(rows: DataFrame, most: int) -> int:
+        return max(1, -(-(rows.agg(F.sum(F.size("terms"))).first()[0] or 0) // most))
+
+    n_queries, n_documents = chunks(queries, QUERY_TERMS), chunks(documents, DOCUMENT_TERMS)
+
+    def dealt(rows: DataFrame, key: str, own: tuple[str, int], other: tuple[str, int]) -> DataFrame:
+        return rows.select("*", F.pmod(F.xxhash64(key), F.lit(own[1])).cast("int").alias(own[0]),
+                           F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))).alias(other[0]))
+
+    left, right = ("query_chunk", n_queries), ("document_chunk", n_documents)
+    kinds = queries.schema["query"].dataType, documents.schema["doc"].dataType
+    schema = T.StructType([T.StructField("query", kinds[0]), T.StructField("doc", kinds[1]), T.StructField("score", T.DoubleType())])
+    return (
+        dealt(queries, "query", left, right).groupBy(left[0], right[0])
+        .cogroup(dealt(documents, "doc", right, left).groupBy(left[0], right[0]))
+        .applyInArrow(_best_documents(k, *map(to_arrow_type, kinds)), schema)
+    )
+
+
+def _packed(rows: DataFrame, key: str, amount: Column) -> DataFrame:
+    """A row per ``key`` with its terms' numbers and their amounts, which are the terms of one text."""
+    grouped = rows.groupBy(key).agg(F.collect_list(F.struct("number", amount.alias("amount"))).alias("held"))
+    return grouped.select(key, F.col("held.number").alias("terms"), F.col("held.amount").alias("amounts"))
+
+
 def tfidf_search(corpus: DataFrame, queries: DataFrame, k: int = 10,
                  doc_id: str = "doc_id", query_id: str = "query_id",
                  vocabulary_size: int | None = None,
@@ -53,18 +200,22 @@ def tfidf_search(corpus: DataFrame, queries: DataFrame, k: int = 10,
     """(query_id, doc_id, score, rank): the ``k`` most similar documents by cosine.
 
     Documents that share no term with the query are not listed. The corpus is
-    read and counted once; of the counts, only the asked terms meet queries.
+    read and counted once; of the counts, only the asked terms meet queries, as
+    products of chunks of both, which hand on their best rows only.
     """
     n = corpus.count()
     counts = written(term_counts(corpus, doc_id, stop_words=stop_words), "term-counts")
     terms = written(vocabulary(counts, F.lit(n), vocabulary_size), "vocabulary")
-    asked = checkpoint(weights(term_counts(queries, query_id, stop_words=stop_words), terms, query_id)
-                       .withColumnRenamed("weight", "query_weight"))
-    w = F.col("tf") * F.col("idf")
-    norms = counts.join(terms, "term").groupBy(doc_id).agg(F.sqrt(F.sum(w * w)).alias("norm"))
-    wanted = asked.join(terms, "term").select("term", query_id, (F.col("query_weight") * F.col("idf")).alias("part"))
-    sums = counts.join(wanted, "term").groupBy(doc_id, query_id).agg(F.sum(F.col("tf") * F.col("part")).alias("product"))
-    scores = sums.join(norms, doc_id).select(doc_id, query_id, F.round(F.col("product") / F.col("norm"), 9).alias("score"))
+    asked = checkpoint(weights(term_counts(queries, query_id, stop_words=stop_words), terms, query_id))
+    # Written, as a number must stay with its term.
+    numbers = written(terms.join(asked.select("term").distinct(), "term").select(
+        "term", "idf", F.monotonically_increasing_id().alias("number")), "asked-terms")
+    wanted = asked.join(numbers, "term").select(F.col(query_id).alias("query"), "number", (F.col("weight") * F.col("idf")).alias("part"))
+    met = counts.join(numbers, "term").select(F.col(doc_id).alias("doc"), "number", "tf")
+    documents = _packed(met, "doc", F.col("tf").cast("int")).join(
+        text_norms(counts, terms, doc_id).withColumnRenamed(doc_id, "doc"), "doc")
+    found = best_documents(written(_packed(wanted, "query", F.col("part")), "queries"), written(documents, "documents"), k)
+    scores = found.select(F.col("doc").alias(doc_id), F.col("query").alias(query_id), "score")
     by_query = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
     return scores.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
 
