@@ -220,3 +220,26 @@ def test_components_of_a_chain_and_a_star(spark):
         spark.createDataFrame(edges, "a string, b string")).collect()}
     assert {got[f"c{i:03d}"] for i in range(41)} == {"c000"}
     assert {got[x] for x in ["hub", *[f"s{i}" for i in range(60)]]} == {"hub"}
+
+
+def test_similar_pairs_say_every_link(spark):
+    """Pairs and members together, and nothing else, give the links of all rows."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 6))
+    rows = [(f"v{i:03d}", [float(x) for x in base[i % 12]], float(i * 97),
+             ["PRIVILEGE_ESCALATION", "DNS_QUERY", "FILE_WRITE"][i // 12 % 3]) for i in range(120)]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<double>, event_epoch double, event_type string")
+    serious = F.col("event_type") == "PRIVILEGE_ESCALATION"
+    classes, members = similarity.copy_classes(vectors, serious)
+    found = similarity.pairs_and_members(similarity.similar_classes(classes, 0.25), members).collect()
+    held = {}
+    for r in (r for r in found if r.kind == "member"):
+        held.setdefault(r.trigger_id, []).append(r)
+    assert sorted(r.id for m in held.values() for r in m) == [r[0] for r in rows]
+    got = {(a.id, b.id) for r in found if r.kind == "pair" for a in held[r.trigger_id] for b in held[r.id]
+           if a.id != b.id and (r.whole or abs(a.event_epoch - b.event_epoch) <= a.window_s)}
+    width = {r[0]: w for r, w in zip(rows, [x.window_s for x in similarity.with_window(vectors).orderBy("id").collect()])}
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    want = {(a[0], b[0]) for i, a in enumerate(rows) for j, b in enumerate(rows) if i != j and a[3] == "PRIVILEGE_ESCALATION"
+            and abs(a[2] - b[2]) <= width[a[0]] and round(float(unit[i % 12] @ unit[j % 12]), 9) >= 0.25}
+    assert want and got == want

@@ -212,8 +212,9 @@ def copy_classes(vectors: DataFrame, serious: Column) -> tuple[DataFrame, DataFr
     ).withColumn("slot_s", F.lit(slot_s))
     # The classes are computed once for both frames; their rows are joined back by what makes a class.
     members = placed.select("id", "event_epoch", *keys).join(
-        classes.select("embedding", "bucket", "reach_s", "class_id"), ["embedding", "bucket", "reach_s"]).select("id", "event_epoch", "class_id")
-    return classes.withColumn("window_s", F.when(F.col("reach_s") >= 0, F.col("reach_s"))).drop("reach_s"), members
+        classes.select("embedding", "bucket", "reach_s", "class_id"), ["embedding", "bucket", "reach_s"])
+    window = F.when(F.col("reach_s") >= 0, F.col("reach_s")).alias("window_s")
+    return classes.withColumn("window_s", window).drop("reach_s"), members.select("id", "event_epoch", "class_id", window)
 
 
 CLASS_PAIRS = "trigger_id string, id string, similarity double, whole boolean"
@@ -264,6 +265,18 @@ def similar_classes(classes: DataFrame, threshold: float = dims.SIMILARITY_THRES
     return pairs.withColumn("similarity", F.round("similarity", 4))
 
 
+def pairs_and_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(kind, trigger_id, id, similarity, whole, event_epoch, window_s): every link, without a row for each.
+
+    A ``pair`` is one of classes, by their smallest ids. A ``member`` says of the row ``id`` the class, ``trigger_id``,
+    its time, and the window if it is serious; so pairs that are not ``whole`` can be read as well.
+    """
+    rows = members.select(
+        F.lit("member").alias("kind"), F.col("class_id").alias("trigger_id"), "id", F.lit(None).cast("double").alias("similarity"),
+        F.lit(None).cast("boolean").alias("whole"), "event_epoch", F.col("window_s").cast("double").alias("window_s"))
+    return rows.unionByName(pairs.withColumn("kind", F.lit("pair")), allowMissingColumns=True)
+
+
 def expanded(pairs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
     """(trigger_id, id, similarity) of the single rows behind pairs of classes: as many as there are links."""
     ends = classes.select(F.col("class_id").alias("trigger_id"), "window_s")

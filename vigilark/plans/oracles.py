@@ -774,11 +774,14 @@ ORACLES.update({
         GROUP BY t.id, h.id IS NULL""", neighbours(0.3)),
     "similar_rows": vec("SELECT trigger_id, id, similarity FROM hits", neighbours(0.25, serious=True, best="")),
     "similar_pairs": vec("""
-        SELECT trigger_id, id, similarity, larger <= window_s AS whole FROM (SELECT DISTINCT x.class_id AS trigger_id, y.class_id AS id,
+        SELECT 'member' AS kind, class_id AS trigger_id, id, NULL::DOUBLE AS similarity, NULL::BOOLEAN AS whole, event_epoch,
+          CASE WHEN serious THEN window_s END::DOUBLE AS window_s FROM classed
+        UNION ALL SELECT 'pair', trigger_id, id, similarity, larger <= window_s, NULL, NULL FROM (SELECT DISTINCT x.class_id AS trigger_id, y.class_id AS id,
           h.similarity, x.window_s, greatest(y.last - x.first, x.last - y.first) AS larger
          FROM hits h JOIN classed x ON x.id = h.trigger_id JOIN classed y ON y.id = h.id)""",
                          neighbours(0.25, serious=True, best=""), """
-classed AS (SELECT id, window_s, min(id) OVER w AS class_id, min(event_epoch) OVER w AS first, max(event_epoch) OVER w AS last
+classed AS (SELECT id, window_s, event_epoch, event_type IN ('PRIVILEGE_ESCALATION', 'LATERAL_MOVEMENT_HINT', 'EXFILTRATION_HINT') AS serious,
+  min(id) OVER w AS class_id, min(event_epoch) OVER w AS first, max(event_epoch) OVER w AS last
   FROM timed WINDOW w AS (PARTITION BY vec, floor(event_epoch / 1800),
    CASE WHEN event_type IN ('PRIVILEGE_ESCALATION', 'LATERAL_MOVEMENT_HINT', 'EXFILTRATION_HINT') THEN window_s END))"""),
     "attack_clusters": vec("""

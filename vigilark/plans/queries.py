@@ -593,8 +593,9 @@ def _similar(spark, folder):
 
 @query("similar_pairs")
 def similar_pairs(spark, folder):
-    """Pairs of classes of copies, by their smallest ids."""
-    return _similar(spark, folder)[0]
+    """Pairs of classes of copies, by their smallest ids, and the class of every row."""
+    pairs, _, members = _similar(spark, folder)
+    return similarity.pairs_and_members(pairs, members)
 
 
 @query("similar_rows")
