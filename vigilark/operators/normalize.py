@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark import dims
-from vigilark.functions.fields import (iso_from_epoch, map_lit, once, safe_str, sql_text,
+from vigilark.functions.fields import (iso_from_epoch, map_lit, safe_str, sql_text,
                                        to_time)
 
 ZEEK = ["zeek_conn", "zeek_dns", "zeek_http", "zeek_ssl"]
@@ -263,10 +263,8 @@ def normalize(identified: DataFrame, line: str = "line", extra_windows: bool = F
     ]
     extra = [name for name in keep if name in identified.columns]
     rows = kept.select(*extra, "log_source", "format", *out, failed.alias("normalize_failed"))
-    # The hash stays outside so that jobs that do not need it never compute it.
-    carried = [*extra, "raw_payload", "sha256_hash"]
-    return once(rows.drop("sha256_hash"), *[c for c in rows.columns if c not in carried]).withColumn(
-        "sha256_hash", F.sha2("raw_payload", 256))
+    # A plain projection: a job computes only the columns it reads.
+    return rows
 
 
 def assign_uuids(lines: DataFrame, path: str = "source_path", line: str = "line",
