@@ -30,3 +30,13 @@ def test_round_trip_keeps_rows_and_columns(spark):
     assert all(r.n_tokens == len(r.ids) // 4 for r in got)
     empty = byte_bpe.encode(docs.limit(0), PATH, PATTERN)
     assert byte_bpe.decode(empty, PATH, PATTERN).collect() == []
+
+
+def test_ids_are_decoded_in_the_worker_that_made_them(spark):
+    docs = spark.createDataFrame([(1, None), (2, "Hello  wörld\x00"), (3, "é" * 9000), (None, "x")], "doc_id long, text string")
+    at_once = byte_bpe.encode(docs, PATH, PATTERN, decoded=True, keep_text=False)
+    assert at_once.columns == ["doc_id", "n_tokens", "ids", "bytes"]
+    apart = byte_bpe.decode(byte_bpe.encode(docs, PATH, PATTERN), PATH, PATTERN).select(*at_once.columns)
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, apart.collect()))
+    plan = at_once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1

@@ -21,6 +21,8 @@ from vigilark.llm.common import Batches, sliced
 
 #: Characters of a text that are encoded at once, if it has a safe place to cut.
 CHUNK = 50_000
+#: Bytes of text or ids that a task works on at once.
+SLICE_BYTES = 2 << 20
 #: White space as the library's pattern has it, in runs too long for it.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SAFE = re.compile(r"(?<=\S)(?=[ \n])")
@@ -78,21 +80,28 @@ def _added(df: DataFrame, **more: T.DataType) -> T.StructType:
                         + [T.StructField(k, v) for k, v in more.items()])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_tokens and ids (binary: little-endian unsigned 32-bit)."""
-    names = [n for n in docs.columns if n not in ("n_tokens", "ids")]
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", decoded: bool = False,
+           keep_text: bool = True) -> DataFrame:
+    """``docs`` with n_tokens and ids (binary: little-endian unsigned 32-bit).
+
+    ``decoded`` adds the bytes of the ids as ``decode`` does, in the same worker, so that a task has one
+    and the ids travel once; without ``keep_text`` the text does not travel back.
+    """
+    new = {"n_tokens": T.LongType(), "ids": T.BinaryType()} | ({"bytes": T.BinaryType()} if decoded else {})
+    kept = docs if keep_text else docs.drop(text_col)
+    names = [n for n in kept.columns if n not in new]
 
     def run(batches: Batches) -> Batches:
         encoder = Encoder(path, pattern)
         for batch in batches:
-            for part in sliced(batch, text_col):
-                ids = [np.array(encoder.ids(x or ""), "<u4") for x in part.column(text_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(n) for n in names]
-                    + [pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    names=[*names, "n_tokens", "ids"])
+            for part in sliced(batch, text_col, SLICE_BYTES):
+                ids = [np.array(encoder.ids(x.as_py() or ""), "<u4") for x in part.column(text_col)]
+                made = [pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+                if decoded:
+                    made.append(pa.array([encoder.library.decode_bytes(x.tolist()) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=[*names, *new])
 
-    return docs.mapInArrow(run, _added(docs, n_tokens=T.LongType(), ids=T.BinaryType()))
+    return docs.mapInArrow(run, _added(kept, **new))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -102,9 +111,9 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Da
     def run(batches: Batches) -> Batches:
         library = encoding(path, pattern)
         for batch in batches:
-            for part in sliced(batch, ids_col):
-                found = [library.decode_bytes(np.frombuffer(x or b"", "<u4").tolist())
-                         for x in part.column(ids_col).to_pylist()]
+            for part in sliced(batch, ids_col, SLICE_BYTES):
+                found = [library.decode_bytes(np.frombuffer(x.as_py() or b"", "<u4").tolist())
+                         for x in part.column(ids_col)]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(n) for n in names), pa.array(found, pa.binary())], names=[*names, "bytes"])
 

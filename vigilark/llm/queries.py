@@ -30,8 +30,8 @@ def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), ranks, pattern)
-    return byte_bpe.decode(coded.drop("text"), ranks, pattern).select(
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return byte_bpe.encode(docs, ranks, pattern, decoded=True, keep_text=False).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
