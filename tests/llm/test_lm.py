@@ -189,3 +189,23 @@ def test_scores_equal_a_plain_model(spark, rows, monkeypatch):
                 assert r.score == pytest.approx(plain_score(models[0], ids), rel=1e-4, abs=1e-3)
                 checked += 1
     assert checked == 25
+
+
+def test_weights_are_fitted_on_every_training_document(spark, rows, monkeypatch):
+    models, fit = [], lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *given: models.append(fit(*given)) or models[-1])
+    # The weights start from one window of two documents; every symbol that training texts hold must move all the same.
+    few = SETTINGS._replace(documents=2, windows=1, steps=2)
+    lm.score(spark.createDataFrame(rows, "doc_id long, text string, score int"), few)
+    texts = [t for i, t, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
+    flat, _ = lm.sequences(WordEncoder(few.tokenizer), pa.array(texts, pa.string()), few.ids)
+    held = np.setdiff1d(models[0].symbol[flat], [few.symbols - 1])
+    moved = (models[0].weights["embed"] != attention.start(models[0].shape, 3)["embed"]).any(axis=1)
+    assert len(held) > 30 and moved[held].all()
+
+
+def test_sums_by_number():
+    rng = np.random.default_rng(2)
+    which, change, want = rng.integers(0, 6, (4, 5)), rng.normal(size=(4, 5, 3)), np.zeros((8, 3))
+    np.add.at(want, which.ravel(), change.reshape(-1, 3))
+    assert np.allclose(attention.summed(which, change, 8), want)

@@ -3,6 +3,7 @@
 Symbols are classes of subword ids. A token's query comes from the symbol before it; keys and values come
 from the symbols up to there, with a learned bias by distance; what the heads gather and the last
 symbol pass one hidden layer, whose scores correct a table of symbol pairs counted from the corpus.
+Queries and keys hang on symbols only, so scoring looks their products up in a table.
 A symbol is predicted in two steps, its group of ``group`` symbols and its place there, so that the work
 for a token grows with the root of their number.
 """
@@ -82,24 +83,35 @@ def tables(p: dict[str, np.ndarray], shape: Shape) -> list[tuple[np.ndarray, np.
              np.hstack([p["embed"] @ p["values"][h], one])) for h in range(shape.heads)]
 
 
+def affinities(mask: np.ndarray, heads: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each head exp(query . key) of every two symbols, and exp of the mask: their product is a place's weight."""
+    return [(np.exp(q @ k.T).ravel(), np.exp(mask[h]).astype(np.float32)) for h, (q, k, _) in enumerate(heads)]
+
+
+def prepared(p: dict[str, np.ndarray], shape: Shape):
+    """What ``forward`` needs of weights that stay: the mask, the tables and the affinities."""
+    mask, heads = causal(p["bias"], shape), tables(p, shape)
+    return mask, heads, affinities(mask, heads)
+
+
 def forward(p: dict[str, np.ndarray], seen: np.ndarray, known: np.ndarray, shape: Shape, ready=None, keep: bool = False):
     """The hidden layer for each scored place of ``seen`` (windows x span), and the symbol before it.
 
-    ``known`` is False at places that must not be seen; ``ready``: the mask and the tables, if made before. With ``keep``, also what ``backward`` needs.
+    ``known`` is False at places that must not be seen; ``ready``: what ``prepared`` gives, if made before. With ``keep``, also what ``backward`` needs.
     """
     s, n = shape, len(seen)
     last, past = seen[:, s.context - 1:-1], seen[:, :-1]
-    mask, heads = ready or (causal(p["bias"], s), tables(p, s))
-    hide = None if known[:, :-1].all() else np.where(known[:, None, :-1], np.float32(0), MASKED)
+    mask, heads, weights = ready or prepared(p, s)
+    all_known = known[:, :-1].all()
+    pairs = last[:, :, None] * (s.symbols + 1) + past[:, None, :]
     joined = np.empty((n, s.stride, s.width + s.heads * s.value), np.float32)
     joined[:, :, :s.width] = p["embed"][last]
     kept = []
     for h, (q, k, v) in enumerate(heads):
-        scores = np.matmul(q[last], k[past].transpose(0, 2, 1))
-        scores += mask[h]
-        if hide is not None:
-            scores += hide
-        np.exp(scores, out=scores)
+        scores = weights[h][0].take(pairs)
+        scores *= weights[h][1]
+        if not all_known:
+            scores *= known[:, None, :-1]
         found = np.matmul(scores, v[past])
         found[:, :, -1] += np.float32(1e-9)
         own = joined[:, :, s.width + h * s.value:s.width + (h + 1) * s.value]
@@ -165,6 +177,17 @@ def log_likelihood(p: dict[str, np.ndarray], prior: Priors, hidden: np.ndarray,
     return (out, logits, parts) if slopes else out
 
 
+def summed(which: np.ndarray, change: np.ndarray, rows: int) -> np.ndarray:
+    """``rows`` sums of those rows of ``change`` that have the same number in ``which``."""
+    which, change = which.ravel(), change.reshape(-1, change.shape[-1])
+    order = np.argsort(which, kind="stable")
+    numbers, first = np.unique(which[order], return_index=True)
+    out = np.zeros((rows, change.shape[1]), change.dtype)
+    if len(numbers):
+        out[numbers] = np.add.reduceat(change[order], first, axis=0)
+    return out
+
+
 def backward(p: dict[str, np.ndarray], shape: Shape, kept, first: np.ndarray, parts, share: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients, for the slopes that ``log_likelihood`` gives, each place weighted by its ``share``."""
     s = shape
@@ -181,7 +204,7 @@ def backward(p: dict[str, np.ndarray], shape: Shape, kept, first: np.ndarray, pa
     back *= hidden > 0
     g["inner"], g["offset"] = joined.T @ back, back.sum(axis=0)
     back = (back @ p["inner"].T).reshape(n, s.stride, -1)
-    np.add.at(g["embed"], last.ravel(), back[:, :, :s.width].reshape(-1, s.width))
+    g["embed"] += summed(last, back[:, :, :s.width], s.symbols + 1)
     ahead = (s.context + np.arange(s.stride) - 1)[:, None] - np.arange(s.span - 1)[None, :]
     for h, (weights, q, k, v, found) in enumerate(heads):
         own = back[:, :, s.width + h * s.value:s.width + (h + 1) * s.value]
@@ -192,30 +215,41 @@ def backward(p: dict[str, np.ndarray], shape: Shape, kept, first: np.ndarray, pa
                   "keys": (past, np.matmul(to_scores.transpose(0, 2, 1), q[last])),  # q is scaled already
                   "values": (past, np.matmul(weights.transpose(0, 2, 1), own))}
         for name, (which, change) in changes.items():
-            table = np.zeros((s.symbols + 1, change.shape[2]), np.float32)
-            np.add.at(table, which.ravel(), change.reshape(-1, change.shape[2]))
+            table = summed(which, change, s.symbols + 1)
             g[name][h] = p["embed"].T @ table
             g["embed"] += table @ p[name][h].T
         np.add.at(g["bias"][h], np.maximum(ahead, 0).ravel(), np.where(ahead >= 0, to_scores.sum(axis=0), 0).ravel())
     return g
 
 
-def train(seen: np.ndarray, known: np.ndarray, prior: Priors, shape: Shape, steps: int, batch: int = 96, rate: float = 6e-3,
-          seed: int = 3) -> dict[str, np.ndarray]:
-    """Adam on windows of symbols; what is not ``known`` is neither seen nor scored."""
-    p = start(shape, seed)
-    one, two = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    rng = np.random.default_rng(seed)
-    for step in range(1, steps + 1 if len(seen) else 1):
-        pick = rng.integers(0, len(seen), batch)
-        hidden, last, kept = forward(p, seen[pick], known[pick], shape, keep=True)
-        target = seen[pick][:, shape.context:].ravel()
-        real = known[pick][:, shape.context:].ravel() & (target < shape.symbols)
-        _, first, parts = log_likelihood(p, prior, hidden, last, np.where(real, target, 0), shape, slopes=True)
+class Adam:
+    """Weights ``p`` and the running means of their slopes; a step goes over some windows."""
+
+    def __init__(self, p: dict[str, np.ndarray], prior: Priors, shape: Shape):
+        self.p, self.prior, self.shape, self.steps = {k: v.copy() for k, v in p.items()}, prior, shape, 0
+        self.one, self.two = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def step(self, seen: np.ndarray, known: np.ndarray, rate: float) -> None:
+        """What is not ``known`` is neither seen nor scored; the first steps are short."""
+        p, one, two, shape = self.p, self.one, self.two, self.shape
+        self.steps += 1
+        hidden, last, kept = forward(p, seen, known, shape, keep=True)
+        target = seen[:, shape.context:].ravel()
+        real = known[:, shape.context:].ravel() & (target < shape.symbols)
+        _, first, parts = log_likelihood(p, self.prior, hidden, last, np.where(real, target, 0), shape, slopes=True)
         share = (real / max(1, real.sum())).astype(np.float32)
-        now = rate * min(1, step / 20) * (1 - 0.9 * step / steps)
+        now = rate * min(1, self.steps / 20)
         for name, slope in backward(p, shape, kept, first, parts, share).items():
             one[name] = 0.9 * one[name] + 0.1 * slope
             two[name] = 0.99 * two[name] + 0.01 * slope * slope
-            p[name] -= (now * (one[name] / (1 - 0.9 ** step)) / (np.sqrt(two[name] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
-    return p
+            p[name] -= (now * (one[name] / (1 - 0.9 ** self.steps)) / (np.sqrt(two[name] / (1 - 0.99 ** self.steps)) + 1e-8)).astype(np.float32)
+
+
+def train(seen: np.ndarray, known: np.ndarray, prior: Priors, shape: Shape, steps: int, batch: int = 96, rate: float = 6e-3,
+          seed: int = 3) -> dict[str, np.ndarray]:
+    """Adam on windows of symbols drawn at random."""
+    adam, rng = Adam(start(shape, seed), prior, shape), np.random.default_rng(seed)
+    for step in range(1, steps + 1 if len(seen) else 1):
+        pick = rng.integers(0, len(seen), batch)
+        adam.step(seen[pick], known[pick], rate * (1 - 0.9 * step / steps))
+    return adam.p

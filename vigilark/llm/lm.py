@@ -1,8 +1,10 @@
 """Language-model scores: a causal self-attention model on subword ids, and an exact word model beside it.
 
 Texts are encoded once and written beside their ids. Counts come from all training documents: words, and pairs of
-neighbouring subword ids, from which follow how often an id occurs, its symbol and the pairs of symbols. Only the attention weights are fitted on a
-bounded sample of windows of training documents. Frequent ids are symbols of their own; the others share
+neighbouring subword ids, from which follow how often an id occurs, its symbol and the pairs of symbols. The attention
+weights start from a few windows and then pass over every window of every training document once: each task goes
+on from the common weights with its own rows, and after each of ``rounds`` shares of the documents the weights of all
+tasks are averaged by their windows (local SGD). Frequent ids are symbols of their own; the others share
 symbols by the company they keep, and within a symbol an id has its share of the counts. A text is
 scored in overlapping windows, every token once, in batches of masked attention.
 
@@ -39,6 +41,8 @@ SLICE_BYTES = 2 << 20
 ROWS = 400
 #: Distinct parts of words that a task's encoder keeps.
 KNOWN_PARTS = 150_000
+#: Windows of a step, and the longest step, in the pass over all training documents.
+STEP, RATE = 96, 3e-3
 
 
 class Settings(NamedTuple):
@@ -46,9 +50,10 @@ class Settings(NamedTuple):
     ids: int = 49_408  # of the tokenizer; one more is the end of a text
     singles: int = 440
     symbols: int = 512
-    documents: int = 4000  # whose windows are sampled for the weights
+    documents: int = 4000  # from whose windows the weights start
     windows: int = 6  # of each
-    steps: int = 400
+    steps: int = 400  # of that start
+    rounds: int = 4  # averages in the pass over all training documents
     folds: int = 5
     held_out: int = 1
 
@@ -275,11 +280,49 @@ def fit(train: DataFrame, pairs: DataFrame, settings: Settings) -> Model:
     known = windows >= 0
     seen, visible = with_beginning(np.where(known, symbol[windows], 0), known, k)
     weights = attention.train(seen, visible, prior, shape, settings.steps)
+    for nth in range(settings.rounds):
+        share = train.filter(F.pmod(F.xxhash64("uid"), F.lit(settings.rounds)) == nth)
+        weights = passed(share, weights, prior, symbol, shape, settings, RATE * (1 - 0.9 * nth / settings.rounds))
     share = counts + 0.01
     within = np.log10(share / np.bincount(symbol, weights=share, minlength=k)[symbol])
     return Model(settings, shape, weights, prior, symbol, within)
 
 
+def passed(rows: DataFrame, weights: dict[str, np.ndarray], prior: attention.Priors, symbol: np.ndarray, shape: attention.Shape,
+           settings: Settings, rate: float) -> dict[str, np.ndarray]:
+    """The weights after one pass over every window of ``rows`` (ids): the mean of all tasks' by their windows.
+
+    Windows of a slice are taken in a random order, as those of one text are alike. A task passes on as many rows as there are weights.
+    """
+    names, sizes = list(weights), [w.size for w in weights.values()]
+
+    def run(batches: Batches) -> Batches:
+        adam, rng, total = attention.Adam(weights, prior, shape), np.random.default_rng(3), 0
+        for batch in batches:
+            for part in sliced(batch, "ids", SLICE_BYTES):
+                flat, ends = ids_of(part.column("ids"), settings)
+                text, nth = attention.window_places(ends, shape)
+                order, own = rng.permutation(len(text)), symbol[flat]
+                for some in np.array_split(order, max(1, round(len(order) / STEP))):
+                    found = attention.windows(text[some], nth[some], ends, shape)
+                    known = found >= 0
+                    adam.step(*with_beginning(np.where(known, own[found], 0), known, shape.symbols), rate)
+                total += len(text)
+        if total:
+            flat = np.concatenate([adam.p[n].ravel() for n in names]).astype(np.float64) * total
+            # The last cell is the number of windows.
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.append(flat, total))],
+                                             names=["cell", "value"])
+
+    found = rows.select("ids").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+    if not found.num_rows:
+        return weights
+    flat = np.zeros(sum(sizes) + 1)
+    flat[found.column("cell").to_numpy()] = found.column("value").to_numpy()
+    parts = np.split(flat[:-1] / flat[-1], np.cumsum(sizes)[:-1])
+    return {n: part.reshape(weights[n].shape).astype(np.float32) for n, part in zip(names, parts)}
+
+
 def with_beginning(seen: np.ndarray, known: np.ndarray, beginning: int) -> tuple[np.ndarray, np.ndarray]:
     """The symbol ``beginning`` at the place before a text's first token; only that and tokens may be seen."""
     rows, at = np.nonzero(known[:, 1:] & ~known[:, :-1])
@@ -293,7 +336,7 @@ def text_scores(model: Model, flat: np.ndarray, ends: np.ndarray, batch: int = 1
     """log10 P of each text's ids, which lie one after another in ``flat``."""
     shape, symbol = model.shape, model.symbol[flat]
     text, nth = attention.window_places(ends, shape)
-    ready = attention.causal(model.weights["bias"], shape), attention.tables(model.weights, shape)
+    ready = attention.prepared(model.weights, shape)
     out = np.zeros(len(ends) - 1)
     for at in range(0, len(text), batch):
         part = attention.windows(text[at:at + batch], nth[at:at + batch], ends, shape)
