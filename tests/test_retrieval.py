@@ -70,3 +70,35 @@ def test_pairs_leave_a_task_only_as_best_rows(spark):
     asked = spark.createDataFrame([(q, [1], [1.0]) for q in range(60)], "query long, terms array<long>, amounts array<double>")
     found = retrieval.best_documents(asked, docs, 3).collect()
     assert sorted((r.query, r.doc) for r in found) == [(q, d) for q in range(60) for d in range(3)]
+
+
+def test_a_term_moves_once_for_each_chunk_of_texts(spark):
+    """Two hundred copies of a text hold its seven terms 1400 times; what moves are seven names a chunk."""
+    docs = spark.createDataFrame([(i, "aa bb cc dd") for i in range(200)], "doc_id long, text string").coalesce(1)
+    found = retrieval.coded_texts(docs, "doc_id", 4, []).collect()
+    names = sorted((n, c) for r in found if r.bin is not None for n, c in zip(r.names.split("\n"), r.df))
+    chunks = {r.chunk for r in found}
+    assert len(names) == 7 * len(chunks) and sum(c for _, c in names) == 1400
+    assert sorted({n for n, _ in names}) == ["aa", "aa bb", "bb", "bb cc", "cc", "cc dd", "dd"]
+    assert sum(len(r.steps) for r in found if r.bin is None) == 1400
+
+
+@pytest.mark.parametrize("words_of_chunk", [1 << 20, 30])
+def test_chunks_give_what_rows_of_texts_and_terms_give(spark, monkeypatch, words_of_chunk):
+    monkeypatch.setattr(retrieval, "CHUNK_WORDS", words_of_chunk)
+    corpus = spark.createDataFrame(list(enumerate(texts(120, 3, copies=30) + ["", None, "alone apart"])), "doc_id long, text string")
+    asked = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(texts(20, 4) + ["nothing known", None, "alone w03"])],
+                                  "query_id string, text string")
+    sides = []
+    for build in (retrieval._coded_sides, retrieval._counted_sides):
+        queries, documents = build(corpus, asked, "doc_id", "query_id", ["w01"], None)
+        sides.append(({r.query: sorted(round(x, 9) for x in r.amounts) for r in queries.collect()},
+                      {r.doc: (round(r.norm, 9), sorted(r.amounts)) for r in documents.collect()}))
+    assert sides[0] == sides[1] and len(sides[0][1]) > 100
+
+
+def test_rows_of_one_id_are_one_text(spark):
+    corpus = [(1, "aa bb"), (1, "bb cc"), (2, "bb dd"), (None, "aa")]
+    found = retrieval.tfidf_search(spark.createDataFrame(corpus, "doc_id long, text string"),
+                                   spark.createDataFrame([("q", "bb cc")], "query_id string, text string")).collect()
+    assert [(r.doc_id, r["rank"]) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,16 +195,14 @@ def _packed(rows: DataFrame, key: str, amount: Column) -> DataFrame:
     return grouped.select(key, F.col("held.number").alias("terms"), F.col("held.amount").alias("amounts"))
 
 
-def tfidf_search(corpus: DataFrame, queries: DataFrame, k: int = 10,
-                 doc_id: str = "doc_id", query_id: str = "query_id",
-                 vocabulary_size: int | None = None,
-                 stop_words: list[str] | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank): the ``k`` most similar documents by cosine.
+def _single(rows: DataFrame, key: str) -> bool:
+    """Whether every row has an id, and one of its own."""
+    return not rows.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).head(1)
 
-    Documents that share no term with the query are not listed. The corpus is
-    read and counted once; of the counts, only the asked terms meet queries, as
-    products of chunks of both, which hand on their best rows only.
-    """
+
+def _counted_sides(corpus: DataFrame, queries: DataFrame, doc_id: str, query_id: str, stop_words: list[str],
+                   vocabulary_size: int | None) -> tuple[DataFrame, DataFrame]:
+    """The two sides of ``best_documents``, from a written row per text and term."""
     n = corpus.count()
     counts = written(term_counts(corpus, doc_id, stop_words=stop_words), "term-counts")
     terms = written(vocabulary(counts, F.lit(n), vocabulary_size), "vocabulary")
@@ -214,7 +214,182 @@ def tfidf_search(corpus: DataFrame, queries: DataFrame, k: int = 10,
     met = counts.join(numbers, "term").select(F.col(doc_id).alias("doc"), "number", "tf")
     documents = _packed(met, "doc", F.col("tf").cast("int")).join(
         text_norms(counts, terms, doc_id).withColumnRenamed(doc_id, "doc"), "doc")
-    found = best_documents(written(_packed(wanted, "query", F.col("part")), "queries"), written(documents, "documents"), k)
+    return _packed(wanted, "query", F.col("part")), documents
+
+
+#: Words of texts that are numbered together, and characters of all texts for each bin of terms, of which there are ``LEAST_BINS``.
+CHUNK_WORDS, BIN_CHARS, LEAST_BINS = 800_000, 1 << 23, 32
+
+
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def _numbered(chunk: int, keys: pa.Array, tokens: pa.ListArray, bins: int) -> Iterator[pa.RecordBatch]:
+    """The terms of some texts, a row for each of their bins, and a row for each text: the steps between its terms' places among these, and counts."""
+    lengths = pc.list_value_length(tokens).to_numpy()
+    coded = tokens.flatten().dictionary_encode()
+    by_word = pc.sort_indices(coded.dictionary).to_numpy()
+    found = coded.dictionary.take(pa.array(by_word))
+    rank = np.empty(len(found), np.int64)
+    rank[by_word] = np.arange(len(found))
+    word, text, width = rank[coded.indices.to_numpy()], np.repeat(np.arange(len(keys)), lengths), len(found) + 1
+    near = text[1:] == text[:-1]
+    # A word by itself, or with the next one: first * width + (0 or second + 1).
+    kinds, kind = np.unique(np.concatenate([word * width, (word[:-1] * width + word[1:] + 1)[near]]), return_inverse=True)
+    text = np.concatenate([text, text[1:][near]])
+    first, second = np.divmod(kinds, width)
+    marks = np.array([zlib.crc32(w) for w in found.cast(pa.binary()).to_pylist()] + [0], np.uint64)
+    bin_ = ((marks[first] * np.uint64(0x9E3779B1) + marks[second - 1] * np.uint64(0x85EBCA77)) >> np.uint64(16)) % np.uint64(bins)
+    order = np.argsort(bin_, kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    names = pc.binary_join_element_wise(found.take(pa.array(first[order])), found.take(pa.array(
+        second[order] - 1, mask=second[order] == 0)), " ", null_handling="skip")
+    held, sizes = np.unique(bin_[order], return_counts=True)
+    cells, tf = np.unique(text * len(kinds) + place[kind], return_counts=True)
+    text, kind = np.divmod(cells, max(1, len(kinds)))
+    texts = np.bincount(kind, minlength=len(order)).astype(np.int32)
+    yield _side(len(held), chunk, keys.type, bin=pa.array(held.astype(np.int32)), names=pc.binary_join(_lists(names, sizes), "\n"), df=_lists(pa.array(texts), sizes))
+    sizes = np.bincount(text, minlength=len(keys))
+    # Small steps from place to place take less room than places.
+    steps = np.diff(kind, prepend=0)
+    begun = (np.cumsum(sizes) - sizes)[sizes > 0]
+    steps[begun] = kind[begun]
+    yield _side(len(keys), chunk, keys.type, key=keys, steps=_lists(pa.array(steps.astype(np.int32)), sizes), tf=_lists(pa.array(tf.astype(np.int32)), sizes))
+
+
+def _side(size: int, chunk: int, key_kind: pa.DataType, **columns: pa.Array) -> pa.RecordBatch:
+    kinds = {"bin": pa.int32(), "names": pa.string(), "df": pa.list_(pa.int32()),
+             "key": key_kind, "steps": pa.list_(pa.int32()), "tf": pa.list_(pa.int32())}
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, chunk, np.int64))] + [
+        columns[n].cast(t) if n in columns else pa.nulls(size, t) for n, t in kinds.items()], names=["chunk", *kinds])
+
+
+def coded_texts(texts: DataFrame, key: str, bins: int, stop_words: list[str], asked: bool = False) -> DataFrame:
+    """Chunks of texts: (chunk, bin, names, df) for the terms of a chunk in a bin, a line each, and how many of its texts hold
+    each, and (chunk, key, steps, tf) for a text, with the steps from place to place in the chunk's names by bin. Chunks of
+    ``asked`` texts are below 0.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def numbered() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            yield from _numbered(-1 - chunk if asked else chunk, *(table.column(c).combine_chunks() for c in ("key", "tokens")), bins)
+
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column("tokens")).to_numpy())
+            start = 0
+            while start < batch.num_rows:
+                before = ends[start - 1] if start else 0
+                upto = max(start + 1, int(np.searchsorted(ends, before + CHUNK_WORDS - size, "right")))
+                held.append(batch.slice(start, upto - start))
+                size += ends[upto - 1] - before
+                start = upto
+                if size >= CHUNK_WORDS or start < batch.num_rows:
+                    yield from numbered()
+                    chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield from numbered()
+
+    # A table of few pieces would keep most cores idle.
+    if texts.rdd.getNumPartitions() < texts.sparkSession.sparkContext.defaultParallelism:
+        texts = texts.repartition(key)
+    kind = texts.schema[key].dataType
+    tokens = texts.select(F.col(key).alias("key"), F.coalesce(words("text", stop_words), F.array().cast("array<string>")).alias("tokens"))
+    return tokens.mapInArrow(run, "chunk long, bin int, names string, df array<int>, "
+                             f"key {kind.simpleString()}, steps array<int>, tf array<int>")
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    """For each row of a bin, how many documents in all hold each of its terms, and the numbers of asked terms at their places."""
+    sizes = pc.list_value_length(rows.column("df").combine_chunks()).to_numpy()
+    term = pc.split_pattern(rows.column("names").combine_chunks(), "\n").flatten().dictionary_encode()
+    kinds, term = len(term.dictionary), term.indices.to_numpy()
+    by_query = np.repeat(rows.column("chunk").to_numpy() < 0, sizes)
+    df = np.where(by_query, 0, rows.column("df").combine_chunks().flatten().to_numpy())
+    total = np.bincount(term, df, kinds).astype(np.int64)[term]
+    number = np.full(kinds, -1, np.int64)
+    asked = np.unique(term[by_query])
+    number[asked] = (rows.column("bin")[0].as_py() << 32) + np.arange(len(asked))
+    number = number[term]
+    real, row = np.flatnonzero(number >= 0), np.repeat(np.arange(len(sizes)), sizes)
+    at = real - (np.cumsum(sizes) - sizes)[row[real]]
+    many = np.bincount(row[real], minlength=len(sizes))
+    return pa.table({"chunk": rows.column("chunk"), "bin": rows.column("bin"), "total": _lists(pa.array(total), sizes),
+                     "at": _lists(pa.array(at.astype(np.int32)), many), "number": _lists(pa.array(number[real]), many)})
+
+
+def _weighed(n: int, kind: pa.DataType, asked: bool):
+    """The cogroup function of a chunk's texts and its terms' totals: asked terms of each text, and the length of the whole."""
+    def run(texts: pa.Table, terms: pa.Table) -> pa.Table:
+        terms = terms.sort_by("bin")
+        total, at, numbers = (terms.column(c).combine_chunks() for c in ("total", "at", "number"))
+        sizes, many = pc.list_value_length(total).to_numpy(), pc.list_value_length(at).to_numpy()
+        total = total.flatten().to_numpy()
+        number = np.full(len(total), -1, np.int64)
+        number[at.flatten().to_numpy() + np.repeat(np.cumsum(sizes) - sizes, many)] = numbers.flatten().to_numpy()
+        steps, tf = (texts.column(c).combine_chunks() for c in ("steps", "tf"))
+        held = pc.list_value_length(steps).to_numpy()
+        row = np.repeat(np.arange(texts.num_rows), held)
+        place, tf = np.cumsum(steps.flatten().to_numpy(), dtype=np.int64), tf.flatten().to_numpy()
+        # A text's first step is from 0.
+        place -= np.concatenate([[0], place])[np.cumsum(held) - held][row]
+        idf = np.where(total > 0, np.log((1 + n) / (1 + total)) + 1, 0)[place]
+        norm = np.sqrt(np.bincount(row, (tf * idf) ** 2, texts.num_rows))
+        real = (number[place] >= 0) & (idf > 0)
+        row, tf, idf = row[real], tf[real], idf[real]
+        many = np.bincount(row, minlength=texts.num_rows)
+        found = {"key": texts.column("key").cast(kind), "norm": pa.array(norm), "terms": _lists(pa.array(number[place[real]]), many),
+                 "amounts": _lists(pa.array(tf * idf / norm[row] * idf if asked else tf), many)}
+        return pa.table(found).filter(pa.array(many > 0))
+
+    return run
+
+
+def _coded_sides(corpus: DataFrame, queries: DataFrame, doc_id: str, query_id: str, stop_words: list[str],
+                 vocabulary_size: None) -> tuple[DataFrame, DataFrame]:
+    """The two sides of ``best_documents``; a term moves once for each chunk of texts that holds it, not for each text.
+
+    Terms of a chunk go to their bins in packed rows, learn there how many documents hold them, and come back to
+    the chunk in their order. A bin holds a term once a chunk, however many texts have it.
+    """
+    n, chars = corpus.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    bins = max(LEAST_BINS, -(-chars // BIN_CHARS))
+    sides = [written(coded_texts(*side), name, compression="zstd") for side, name in (
+        ((corpus, doc_id, bins, stop_words), "document-terms"), ((queries, query_id, bins, stop_words, True), "query-terms"))]
+    terms = [side.filter("bin is not null").select("chunk", "bin", "names", "df") for side in sides]
+    totals = written(terms[0].unionByName(terms[1]).groupBy("bin").applyInArrow(
+        _met, "chunk long, bin int, total array<long>, at array<int>, number array<long>"), "term-totals")
+
+    def weighed(side: DataFrame, asked: bool) -> DataFrame:
+        kind = side.schema["key"].dataType
+        schema = f"key {kind.simpleString()}, norm double, terms array<long>, amounts array<{'double' if asked else 'int'}>"
+        own = totals.filter(F.col("chunk") < 0 if asked else F.col("chunk") >= 0)
+        return side.filter("bin is null").select("chunk", "key", "steps", "tf").groupBy("chunk").cogroup(
+            own.groupBy("chunk")).applyInArrow(_weighed(n, to_arrow_type(kind), asked), schema)
+
+    return (weighed(sides[1], True).withColumnRenamed("key", "query").drop("norm"),
+            weighed(sides[0], False).withColumnRenamed("key", "doc"))
+
+
+def tfidf_search(corpus: DataFrame, queries: DataFrame, k: int = 10,
+                 doc_id: str = "doc_id", query_id: str = "query_id",
+                 vocabulary_size: int | None = None,
+                 stop_words: list[str] | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``k`` most similar documents by cosine.
+
+    Documents that share no term with the query are not listed. Only the asked
+    terms of documents meet queries, as products of chunks of both, which hand
+    on their best rows only. The rows of an id that occurs more than once are
+    one text; then, or with a vocabulary of a given size, a row per text and
+    term moves.
+    """
+    whole = vocabulary_size is None and _single(corpus, doc_id) and _single(queries, query_id)
+    sides = _coded_sides if whole else _counted_sides
+    asked, documents = sides(corpus, queries, doc_id, query_id, dims.STOP_WORDS if stop_words is None else stop_words, vocabulary_size)
+    found = best_documents(written(asked, "queries"), written(documents, "documents"), k)
     scores = found.select(F.col("doc").alias(doc_id), F.col("query").alias(query_id), "score")
     by_query = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
     return scores.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
