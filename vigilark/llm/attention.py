@@ -179,12 +179,14 @@ def log_likelihood(p: dict[str, np.ndarray], prior: Priors, hidden: np.ndarray,
 
 def summed(which: np.ndarray, change: np.ndarray, rows: int) -> np.ndarray:
     """``rows`` sums of those rows of ``change`` that have the same number in ``which``."""
-    which, change = which.ravel(), change.reshape(-1, change.shape[-1])
+    # Small numbers are sorted by their bytes.
+    which, change = which.ravel().astype(np.min_scalar_type(rows)), change.reshape(-1, change.shape[-1])
     order = np.argsort(which, kind="stable")
-    numbers, first = np.unique(which[order], return_index=True)
+    count = np.bincount(which, minlength=rows)
+    held = np.flatnonzero(count)
     out = np.zeros((rows, change.shape[1]), change.dtype)
-    if len(numbers):
-        out[numbers] = np.add.reduceat(change[order], first, axis=0)
+    if len(held):
+        out[held] = np.add.reduceat(change[order], (np.cumsum(count) - count)[held], axis=0)
     return out
 
 
@@ -204,21 +206,24 @@ def backward(p: dict[str, np.ndarray], shape: Shape, kept, first: np.ndarray, pa
     back *= hidden > 0
     g["inner"], g["offset"] = joined.T @ back, back.sum(axis=0)
     back = (back @ p["inner"].T).reshape(n, s.stride, -1)
-    g["embed"] += summed(last, back[:, :, :s.width], s.symbols + 1)
     ahead = (s.context + np.arange(s.stride) - 1)[:, None] - np.arange(s.span - 1)[None, :]
+    of_last, of_past = [back[:, :, :s.width]], []
     for h, (weights, q, k, v, found) in enumerate(heads):
         own = back[:, :, s.width + h * s.value:s.width + (h + 1) * s.value]
-        to_weights = np.matmul(own, v[past].transpose(0, 2, 1))
-        to_scores = weights * (to_weights - (own * found).sum(axis=2, keepdims=True))
-        scale = np.float32(s.key ** -0.5)
-        changes = {"query": (last, np.matmul(to_scores, k[past]) * scale),
-                  "keys": (past, np.matmul(to_scores.transpose(0, 2, 1), q[last])),  # q is scaled already
-                  "values": (past, np.matmul(weights.transpose(0, 2, 1), own))}
-        for name, (which, change) in changes.items():
-            table = summed(which, change, s.symbols + 1)
+        to_scores = np.matmul(own, v[past].transpose(0, 2, 1))
+        to_scores -= (own * found).sum(axis=2, keepdims=True)
+        to_scores *= weights
+        of_last.append(np.matmul(to_scores, k[past]) * np.float32(s.key ** -0.5))
+        # q is scaled already.
+        of_past += [np.matmul(to_scores.transpose(0, 2, 1), q[last]), np.matmul(weights.transpose(0, 2, 1), own)]
+        np.add.at(g["bias"][h], np.maximum(ahead, 0).ravel(), np.where(ahead >= 0, to_scores.sum(axis=0), 0).ravel())
+    by_last, by_past = (np.split(summed(which, np.concatenate(parts, axis=2), s.symbols + 1), np.cumsum([x.shape[2] for x in parts])[:-1], axis=1)
+                        for which, parts in ((last, of_last), (past, of_past)))
+    g["embed"] += by_last[0]
+    for h in range(s.heads):
+        for name, table in (("query", by_last[1 + h]), ("keys", by_past[2 * h]), ("values", by_past[2 * h + 1])):
             g[name][h] = p["embed"].T @ table
             g["embed"] += table @ p[name][h].T
-        np.add.at(g["bias"][h], np.maximum(ahead, 0).ravel(), np.where(ahead >= 0, to_scores.sum(axis=0), 0).ravel())
     return g
 
 

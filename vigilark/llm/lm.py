@@ -332,7 +332,7 @@ def with_beginning(seen: np.ndarray, known: np.ndarray, beginning: int) -> tuple
     return seen, visible
 
 
-def text_scores(model: Model, flat: np.ndarray, ends: np.ndarray, batch: int = 128) -> np.ndarray:
+def text_scores(model: Model, flat: np.ndarray, ends: np.ndarray, batch: int = 256) -> np.ndarray:
     """log10 P of each text's ids, which lie one after another in ``flat``."""
     shape, symbol = model.shape, model.symbol[flat]
     text, nth = attention.window_places(ends, shape)
