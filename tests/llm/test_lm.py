@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import resource
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from vigilark.llm import attention, lm
+from vigilark.llm import attention, common, lm
 from vigilark.llm.subwords import WordEncoder
 
 SETTINGS = lm.Settings(public_tokenizers.path("word_bpe_49k.json"), singles=40, symbols=64, documents=300, steps=150)
@@ -209,3 +210,36 @@ def test_sums_by_number():
     which, change, want = rng.integers(0, 6, (4, 5)), rng.normal(size=(4, 5, 3)), np.zeros((8, 3))
     np.add.at(want, which.ravel(), change.reshape(-1, 3))
     assert np.allclose(attention.summed(which, change, 8), want)
+
+
+def test_steps_use_memory_again():
+    common.keep_freed()
+    shape, rng = attention.Shape(512), np.random.default_rng(3)
+    prior = attention.priors(rng.integers(0, 9, (513, 512)).astype(float), shape)
+    adam = attention.Adam(attention.start(shape, 3), prior, shape)
+    seen, known = rng.integers(0, 512, (lm.STEP, shape.span)), np.ones((lm.STEP, shape.span), bool)
+    faults = []
+    for _ in range(15):
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        adam.step(seen, known, 1e-3)
+        faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+    assert sorted(faults)[7] < 100
+
+
+def test_what_is_not_seen_has_no_part():
+    rng, shape, sequence, ends = tiny()
+    p = {k: rng.normal(size=v.shape) * 0.5 for k, v in attention.start(shape, 0).items()}
+    rows = attention.windows(*attention.window_places(ends, shape), ends, shape)
+    known, prior = rows >= 0, attention.priors(rng.integers(0, 9, (9, 8)).astype(float), shape)
+    real = known[:, shape.context:].ravel()
+
+    def slopes(fill):
+        seen, visible = lm.with_beginning(np.where(known, sequence[rows], fill), known, 8)
+        hidden, last, kept = attention.forward(p, seen, visible, shape, keep=True)
+        target = np.where(real, seen[:, shape.context:].ravel(), 0)
+        _, first, parts = attention.log_likelihood(p, prior, hidden, last, target, shape, slopes=True)
+        return hidden[real], attention.backward(p, shape, kept, first, parts, real.astype(float))
+
+    (one, some), (two, other) = slopes(0), slopes(5)
+    assert np.allclose(one, two) and all(np.allclose(some[k], other[k]) for k in some)
+    assert len(attention.tables(p, shape).heads[0][2]) == shape.symbols + 2

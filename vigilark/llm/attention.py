@@ -76,53 +76,61 @@ def causal(bias: np.ndarray, shape: Shape) -> np.ndarray:
     return np.where(ahead >= 0, bias[:, np.maximum(ahead, 0)], MASKED)
 
 
-def tables(p: dict[str, np.ndarray], shape: Shape) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Query, key and value of every symbol for each head; a value's last entry is 1, to sum the weights."""
-    one = np.ones((shape.symbols + 1, 1), np.float32)
-    return [(p["embed"] @ p["query"][h] * np.float32(shape.key ** -0.5), p["embed"] @ p["keys"][h],
-             np.hstack([p["embed"] @ p["values"][h], one])) for h in range(shape.heads)]
+class Tables(NamedTuple):
+    """What hangs on symbols only: a row for each symbol, the beginning, and last what is not seen (zeros).
 
+    first: the last symbol's part of the hidden layer; for each head, queries, keys, and values as the hidden layer takes them.
+    A value's last entry is 1, to sum the weights; that of what is not seen is 0, so it has no weight.
+    """
+
+    first: np.ndarray
+    heads: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def tables(p: dict[str, np.ndarray], shape: Shape) -> Tables:
+    embed = np.vstack([p["embed"], np.zeros((1, shape.width), p["embed"].dtype)])
+    seen = np.ones((len(embed), 1), embed.dtype)
+    seen[-1] = 0
+    return Tables(embed @ p["inner"][:shape.width] + p["offset"], [
+        (embed @ (p["query"][h] * np.float32(shape.key ** -0.5)), embed @ p["keys"][h],
+         np.hstack([embed @ (p["values"][h] @ p["inner"][rows_of(h, shape)]), seen])) for h in range(shape.heads)])
 
-def affinities(mask: np.ndarray, heads: list) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each head exp(query . key) of every two symbols, and exp of the mask: their product is a place's weight."""
-    return [(np.exp(q @ k.T).ravel(), np.exp(mask[h]).astype(np.float32)) for h, (q, k, _) in enumerate(heads)]
 
+def rows_of(head: int, shape: Shape) -> slice:
+    """The rows of ``inner`` that take what a head gathers."""
+    return slice(shape.width + head * shape.value, shape.width + (head + 1) * shape.value)
 
-def prepared(p: dict[str, np.ndarray], shape: Shape):
-    """What ``forward`` needs of weights that stay: the mask, the tables and the affinities."""
-    mask, heads = causal(p["bias"], shape), tables(p, shape)
-    return mask, heads, affinities(mask, heads)
+
+def prepared(p: dict[str, np.ndarray], shape: Shape) -> tuple[np.ndarray, Tables]:
+    """What ``forward`` needs of weights that stay: exp of the mask, and the tables."""
+    return np.exp(causal(p["bias"], shape)), tables(p, shape)
 
 
 def forward(p: dict[str, np.ndarray], seen: np.ndarray, known: np.ndarray, shape: Shape, ready=None, keep: bool = False):
     """The hidden layer for each scored place of ``seen`` (windows x span), and the symbol before it.
 
     ``known`` is False at places that must not be seen; ``ready``: what ``prepared`` gives, if made before. With ``keep``, also what ``backward`` needs.
+    What a head gathers is linear in the values, so these are brought to the hidden layer once for each symbol, not for each place.
     """
     s, n = shape, len(seen)
-    last, past = seen[:, s.context - 1:-1], seen[:, :-1]
-    mask, heads, weights = ready or prepared(p, s)
-    all_known = known[:, :-1].all()
-    pairs = last[:, :, None] * (s.symbols + 1) + past[:, None, :]
-    joined = np.empty((n, s.stride, s.width + s.heads * s.value), np.float32)
-    joined[:, :, :s.width] = p["embed"][last]
-    kept = []
-    for h, (q, k, v) in enumerate(heads):
-        scores = weights[h][0].take(pairs)
-        scores *= weights[h][1]
-        if not all_known:
-            scores *= known[:, None, :-1]
-        found = np.matmul(scores, v[past])
+    mask, made = ready or prepared(p, s)
+    last, past = seen[:, s.context - 1:-1], np.where(known[:, :-1], seen[:, :-1], s.symbols + 1)
+    hidden, kept = made.first.take(last, axis=0), []
+    for h, (q, k, v) in enumerate(made.heads):
+        query, key, value = q.take(last, axis=0), k.take(past, axis=0), v.take(past, axis=0)
+        weights = np.matmul(query, key.transpose(0, 2, 1))
+        np.exp(weights, out=weights)
+        weights *= mask[h]
+        found = np.matmul(weights, value)
         found[:, :, -1] += np.float32(1e-9)
-        own = joined[:, :, s.width + h * s.value:s.width + (h + 1) * s.value]
-        np.divide(found[:, :, :-1], found[:, :, -1:], out=own)
+        shares = 1 / found[:, :, -1:]
+        found *= shares
+        hidden += found[:, :, :-1]
         if keep:
-            kept.append((scores / found[:, :, -1:], q, k, v[:, :-1], own))
-    joined = joined.reshape(n * s.stride, -1)
-    hidden = joined @ p["inner"]
-    hidden += p["offset"]
-    np.maximum(hidden, 0, out=hidden)
-    return hidden, last.ravel(), (last, past, joined, hidden, kept)
+            weights *= shares
+            kept.append((weights, query, key, value[:, :, :-1], found[:, :, :-1]))
+    hidden = np.maximum(hidden, 0, out=hidden).reshape(n * s.stride, -1)
+    return hidden, last.ravel(), (last, past, known, hidden, made, kept)
 
 
 class Priors(NamedTuple):
@@ -147,82 +155,94 @@ def log_likelihood(p: dict[str, np.ndarray], prior: Priors, hidden: np.ndarray,
     Corrections are small against the log probabilities they are added to, so no power overflows.
     """
     size, which = shape.group, target // shape.group
+    every, ones = np.arange(len(target)), np.ones(max(size, shape.groups), hidden.dtype)
     logits = hidden @ p["first"]
-    logits += prior.groups[last]
-    out = logits[np.arange(len(target)), which]
+    logits += prior.groups.take(last, axis=0)
+    out = logits[every, which]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
+    total = logits @ ones[:shape.groups]
     out -= np.log(total)
-    # Tokens of one group lie one after another, so each group is one product.
-    order = np.argsort(which, kind="stable")
-    bounds = np.searchsorted(which[order], np.arange(shape.groups + 1))
-    if slopes:
-        logits /= total[:, None]
-        logits[np.arange(len(target)), which] -= 1
-    inside = prior.pairs.reshape(-1, shape.groups, size)[last[order], which[order]]
-    sorted_ = hidden[order]
+    # Tokens of one group lie one after another, so each group is one product. Small numbers are sorted by their bytes.
+    order = np.argsort(which.astype(np.min_scalar_type(shape.groups)), kind="stable")
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=shape.groups))])
+    inside = prior.pairs.reshape(-1, size).take(last[order] * shape.groups + which[order], axis=0)
+    sorted_ = hidden.take(order, axis=0)
     for g in range(shape.groups):
         rows = slice(bounds[g], bounds[g + 1])
         inside[rows] += sorted_[rows] @ p["outer"][:, g * size:(g + 1) * size]
     place = target[order] % size
-    picked = inside[np.arange(len(order)), place]
+    picked = inside[every, place]
     np.exp(inside, out=inside)
-    total = inside.sum(axis=1)
-    out[order] += picked - np.log(total)
-    if slopes:
-        inside /= total[:, None]
-        inside[np.arange(len(order)), place] -= 1
-        parts = [(order[bounds[g]:bounds[g + 1]], slice(g * size, (g + 1) * size), inside[bounds[g]:bounds[g + 1]])
-                 for g in range(shape.groups)]
-    return (out, logits, parts) if slopes else out
+    below = inside @ ones[:size]
+    out[order] += picked - np.log(below)
+    if not slopes:
+        return out
+    logits *= (1 / total)[:, None]
+    logits[every, which] -= 1
+    inside *= (1 / below)[:, None]
+    inside[every, place] -= 1
+    return out, logits, (order, bounds, sorted_, inside)
 
 
 def summed(which: np.ndarray, change: np.ndarray, rows: int) -> np.ndarray:
     """``rows`` sums of those rows of ``change`` that have the same number in ``which``."""
-    # Small numbers are sorted by their bytes.
-    which, change = which.ravel().astype(np.min_scalar_type(rows)), change.reshape(-1, change.shape[-1])
-    order = np.argsort(which, kind="stable")
-    count = np.bincount(which, minlength=rows)
-    held = np.flatnonzero(count)
-    out = np.zeros((rows, change.shape[1]), change.dtype)
-    if len(held):
-        out[held] = np.add.reduceat(change[order], (np.cumsum(count) - count)[held], axis=0)
-    return out
+    width = change.shape[-1]
+    out = np.zeros(rows * width, change.dtype)
+    # On flat arrays this costs less than sorting the rows and adding neighbours.
+    np.add.at(out, (which.reshape(-1, 1) * width + np.arange(width)).ravel(), change.ravel())
+    return out.reshape(rows, width)
 
 
 def backward(p: dict[str, np.ndarray], shape: Shape, kept, first: np.ndarray, parts, share: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients, for the slopes that ``log_likelihood`` gives, each place weighted by its ``share``."""
-    s = shape
-    last, past, joined, hidden, heads = kept
-    n = len(last)
+    """Gradients, for the slopes that ``log_likelihood`` gives, each place weighted by its ``share``.
+
+    Slopes are summed by symbol into the rows of ``Tables`` first, and from there to the weights.
+    """
+    s, size = shape, shape.group
+    last, past, known, hidden, made, heads = kept
+    order, bounds, sorted_, inside = parts
+    n, width, embed = len(last), s.hidden + s.key, p["embed"]
     g = {k: np.zeros_like(v) for k, v in p.items()}
     first = first * share[:, None]
     g["first"] = hidden.T @ first
-    back = first @ p["first"].T
-    for rows, block, slope in parts:
-        slope = slope * share[rows, None]
-        g["outer"][:, block] = hidden[rows].T @ slope
-        back[rows] += slope @ p["outer"][:, block].T
+    inside = inside * share[order, None]
+    inner = np.empty_like(sorted_)
+    for i in range(s.groups):
+        rows, block = slice(bounds[i], bounds[i + 1]), slice(i * size, (i + 1) * size)
+        g["outer"][:, block] = sorted_[rows].T @ inside[rows]
+        np.matmul(inside[rows], p["outer"][:, block].T, out=inner[rows])
+    back = np.empty_like(hidden)
+    back[order] = inner
+    back += first @ p["first"].T
     back *= hidden > 0
-    g["inner"], g["offset"] = joined.T @ back, back.sum(axis=0)
-    back = (back @ p["inner"].T).reshape(n, s.stride, -1)
+    back = back.reshape(n, s.stride, -1)
     ahead = (s.context + np.arange(s.stride) - 1)[:, None] - np.arange(s.span - 1)[None, :]
-    of_last, of_past = [back[:, :, :s.width]], []
-    for h, (weights, q, k, v, found) in enumerate(heads):
-        own = back[:, :, s.width + h * s.value:s.width + (h + 1) * s.value]
-        to_scores = np.matmul(own, v[past].transpose(0, 2, 1))
-        to_scores -= (own * found).sum(axis=2, keepdims=True)
+    of_last = np.empty((n, s.stride, s.hidden + s.heads * s.key), back.dtype)
+    of_last[:, :, :s.hidden] = back
+    of_past = np.empty((n, s.span - 1, s.heads * width), back.dtype)
+    visible = known[:, None, :-1].astype(back.dtype)
+    for h, (weights, query, key, value, found) in enumerate(heads):
+        to_scores = np.matmul(back, value.transpose(0, 2, 1))
+        to_scores -= np.einsum("nth,nth->nt", back, found)[:, :, None]
         to_scores *= weights
-        of_last.append(np.matmul(to_scores, k[past]) * np.float32(s.key ** -0.5))
-        # q is scaled already.
-        of_past += [np.matmul(to_scores.transpose(0, 2, 1), q[last]), np.matmul(weights.transpose(0, 2, 1), own)]
+        to_scores *= visible
+        own = of_past[:, :, h * width:(h + 1) * width]
+        np.matmul(to_scores, key, out=of_last[:, :, s.hidden + h * s.key:s.hidden + (h + 1) * s.key])
+        np.matmul(to_scores.transpose(0, 2, 1), query, out=own[:, :, :s.key])
+        np.matmul(weights.transpose(0, 2, 1), back, out=own[:, :, s.key:])
         np.add.at(g["bias"][h], np.maximum(ahead, 0).ravel(), np.where(ahead >= 0, to_scores.sum(axis=0), 0).ravel())
-    by_last, by_past = (np.split(summed(which, np.concatenate(parts, axis=2), s.symbols + 1), np.cumsum([x.shape[2] for x in parts])[:-1], axis=1)
-                        for which, parts in ((last, of_last), (past, of_past)))
-    g["embed"] += by_last[0]
+    # What is not seen has no weights.
+    by_last, by_past = summed(last, of_last, s.symbols + 1), summed(past, of_past, s.symbols + 2)[:-1]
+    by_first = by_last[:, :s.hidden]
+    g["offset"], g["inner"][:s.width] = by_first.sum(axis=0), embed.T @ by_first
+    g["embed"] += by_first @ p["inner"][:s.width].T
     for h in range(s.heads):
-        for name, table in (("query", by_last[1 + h]), ("keys", by_past[2 * h]), ("values", by_past[2 * h + 1])):
-            g[name][h] = p["embed"].T @ table
+        table = by_past[:, h * width + s.key:(h + 1) * width]
+        g["inner"][rows_of(h, s)] = (embed @ p["values"][h]).T @ table
+        # Queries are scaled.
+        for name, table in (("query", by_last[:, s.hidden + h * s.key:s.hidden + (h + 1) * s.key] * np.float32(s.key ** -0.5)),
+                            ("keys", by_past[:, h * width:h * width + s.key]), ("values", table @ p["inner"][rows_of(h, s)].T)):
+            g[name][h] = embed.T @ table
             g["embed"] += table @ p[name][h].T
     return g
 
@@ -244,10 +264,15 @@ class Adam:
         _, first, parts = log_likelihood(p, self.prior, hidden, last, np.where(real, target, 0), shape, slopes=True)
         share = (real / max(1, real.sum())).astype(np.float32)
         now = rate * min(1, self.steps / 20)
+        now = np.float32(now / (1 - 0.9 ** self.steps))
+        even = np.float32(1 / (1 - 0.99 ** self.steps))
         for name, slope in backward(p, shape, kept, first, parts, share).items():
-            one[name] = 0.9 * one[name] + 0.1 * slope
-            two[name] = 0.99 * two[name] + 0.01 * slope * slope
-            p[name] -= (now * (one[name] / (1 - 0.9 ** self.steps)) / (np.sqrt(two[name] / (1 - 0.99 ** self.steps)) + 1e-8)).astype(np.float32)
+            one[name] *= np.float32(0.9)
+            one[name] += np.float32(0.1) * slope
+            slope *= slope
+            two[name] *= np.float32(0.99)
+            two[name] += np.float32(0.01) * slope
+            p[name] -= now * one[name] / (np.sqrt(two[name] * even) + np.float32(1e-8))
 
 
 def train(seen: np.ndarray, known: np.ndarray, prior: Priors, shape: Shape, steps: int, batch: int = 96, rate: float = 6e-3,

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilark.llm import attention
-from vigilark.llm.common import Batches, fold, sliced, written
+from vigilark.llm.common import Batches, fold, give_back, keep_freed, sliced, written
 from vigilark.llm.shingles import FACTOR, mix
 from vigilark.llm.subwords import WordEncoder
 
@@ -86,6 +86,7 @@ def _kind(settings: Settings) -> type:
 def encoded(texts: DataFrame, settings: Settings) -> DataFrame:
     """uid, doc_id, held_out, text, ids of the rows of ``texts`` (doc_id, held_out, text); a text's ids without its end."""
     def run(batches: Batches) -> Batches:
+        keep_freed()
         encoder, task, kind = WordEncoder(settings.tokenizer, KNOWN_PARTS), TaskContext.get(), _kind(settings)
         uid = (task.partitionId() if task else 0) << 33
         for batch in batches:
@@ -97,7 +98,7 @@ def encoded(texts: DataFrame, settings: Settings) -> DataFrame:
                     [pa.array(uid + np.arange(part.num_rows)), *part.columns, ids], names=["uid", *part.schema.names, "ids"])
                 uid += part.num_rows
 
-    return texts.mapInArrow(run, "uid long, doc_id long, held_out boolean, text string, ids binary")
+    return texts.mapInArrow(lambda batches: give_back(run(batches)), "uid long, doc_id long, held_out boolean, text string, ids binary")
 
 
 def ids_of(column: pa.Array, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +119,7 @@ def corpus_counts(rows: DataFrame, settings: Settings) -> DataFrame:
     """
 
     def run(batches: Batches) -> Batches:
+        keep_freed()
         held: dict[str, list[pa.Table]] = {"word": [], "cell": []}
 
         def summed(name: str) -> pa.Table:
@@ -153,7 +155,7 @@ def corpus_counts(rows: DataFrame, settings: Settings) -> DataFrame:
             if held[name]:
                 yield from rows(name)
 
-    return rows.mapInArrow(run, "word string, cell long, n long").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lambda batches: give_back(run(batches)), "word string, cell long, n long").groupBy("word", "cell").agg(F.sum("n").alias("n"))
 
 
 def sample(rows: DataFrame, settings: Settings, span: int, stride: int, context: int) -> list[np.ndarray]:
@@ -279,6 +281,7 @@ def fit(train: DataFrame, pairs: DataFrame, settings: Settings) -> Model:
     windows = np.array(windows, np.int64).reshape(-1, shape.span)
     known = windows >= 0
     seen, visible = with_beginning(np.where(known, symbol[windows], 0), known, k)
+    keep_freed()
     weights = attention.train(seen, visible, prior, shape, settings.steps)
     for nth in range(settings.rounds):
         share = train.filter(F.pmod(F.xxhash64("uid"), F.lit(settings.rounds)) == nth)
@@ -297,6 +300,7 @@ def passed(rows: DataFrame, weights: dict[str, np.ndarray], prior: attention.Pri
     names, sizes = list(weights), [w.size for w in weights.values()]
 
     def run(batches: Batches) -> Batches:
+        keep_freed()
         adam, rng, total = attention.Adam(weights, prior, shape), np.random.default_rng(3), 0
         for batch in batches:
             for part in sliced(batch, "ids", SLICE_BYTES):
@@ -314,7 +318,7 @@ def passed(rows: DataFrame, weights: dict[str, np.ndarray], prior: attention.Pri
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.append(flat, total))],
                                              names=["cell", "value"])
 
-    found = rows.select("ids").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+    found = rows.select("ids").mapInArrow(lambda batches: give_back(run(batches)), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
     if not found.num_rows:
         return weights
     flat = np.zeros(sum(sizes) + 1)
@@ -337,21 +341,19 @@ def text_scores(model: Model, flat: np.ndarray, ends: np.ndarray, batch: int = 2
     shape, symbol = model.shape, model.symbol[flat]
     text, nth = attention.window_places(ends, shape)
     ready = attention.prepared(model.weights, shape)
-    out = np.zeros(len(ends) - 1)
+    out = np.zeros(len(text))
     for at in range(0, len(text), batch):
         part = attention.windows(text[at:at + batch], nth[at:at + batch], ends, shape)
         known = part >= 0
         seen, visible = with_beginning(np.where(known, symbol[part], 0), known, shape.symbols)
         hidden, last, _ = attention.forward(model.weights, seen, visible, shape, ready)
-        real = known[:, shape.context:].ravel()
-        target = np.where(real, seen[:, shape.context:].ravel(), 0)
-        if not real.all():
-            hidden, last, target = hidden[real], last[real], target[real]
+        real = known[:, shape.context:]
+        target = np.where(real, seen[:, shape.context:], 0).ravel()
         found = attention.log_likelihood(model.weights, model.prior, hidden, last, target, shape)
-        which = np.repeat(text[at:at + batch], shape.stride)[real]
-        out += np.bincount(which, weights=found, minlength=len(out))
-    places = np.repeat(np.arange(len(out)), np.diff(ends))
-    return out / np.log(10) + np.bincount(places, weights=model.within[flat], minlength=len(out))
+        out[at:at + batch] = np.where(real, found.reshape(real.shape), 0).sum(axis=1, dtype=np.float64)
+    places = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    return (np.bincount(text, weights=out, minlength=len(ends) - 1) / np.log(10)
+            + np.bincount(places, weights=model.within[flat], minlength=len(ends) - 1))
 
 
 def score(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,6 +380,7 @@ def score(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col:
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
 
     def run(batches: Batches) -> Batches:
+        keep_freed()
         for batch in batches:
             for part in sliced(batch, "text", SLICE_BYTES):
                 rows, uid = part.num_rows, part.column("uid").to_numpy()
@@ -408,7 +411,7 @@ def score(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(none, names=names)
 
     made = written(coded.mapInArrow(
-        run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word string, n long"), "scores")
+        lambda batches: give_back(run(batches)), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word string, n long"), "scores")
     count = F.coalesce("count", F.lit(0))
     light = (made.filter("word is not null").select("uid", "word", "n")
              .join(counts.withColumnRenamed("n", "count"), "word", "left")

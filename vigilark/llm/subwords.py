@@ -89,9 +89,15 @@ class WordEncoder:
         places = np.zeros((len(plain), 2), np.int64)
         places[:, 0] = self._places(stems.dictionary.to_pylist(), easy.tolist())[stems.indices.to_numpy()]
         places[cut, 1] = self._places(tails.dictionary.to_pylist(), [False] * len(tails.dictionary))[tails.indices.to_numpy()]
-        parts = places[coded.indices.to_numpy()].ravel()
-        sizes = (self.starts[1:] - self.starts[:-1])[parts]
+        # The ids of each distinct word, then those of the texts' words.
+        words, ends = self._spread(self.starts[:-1], np.diff(self.starts), self.ids, places.ravel())
+        found, cuts = self._spread(ends[:-1:2], np.diff(ends[::2]), words, coded.indices.to_numpy())
+        return found, cuts[offsets - offsets[0]]
+
+    @staticmethod
+    def _spread(starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``parts``, one after another, and where each starts (with the end); part p has ``sizes[p]`` ids from ``starts[p]`` on."""
+        sizes = sizes[parts]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         # Position k of the output belongs to part p and is the (k - ends[p])-th id of that part.
-        found = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[parts] - ends[:-1], sizes)]
-        return found, ends[2 * (offsets - offsets[0])]
+        return ids[np.arange(ends[-1]) + np.repeat(starts[parts] - ends[:-1], sizes)], ends
