@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from vigilark.operators import retrieval
@@ -72,6 +74,71 @@ def test_pairs_leave_a_task_only_as_best_rows(spark):
     assert sorted((r.query, r.doc) for r in found) == [(q, d) for q in range(60) for d in range(3)]
 
 
+def test_long_spans_of_documents_hand_on_few_rows(spark, monkeypatch):
+    """Eighty chunks of documents pass in at most two spans a core, and only a span hands on its best rows."""
+    monkeypatch.setattr(retrieval, "DOCUMENT_TERMS", 10)
+    docs = spark.createDataFrame([(d, [1, 2 + d % 5], [1, 1], 1.0) for d in range(400)],
+                                 "doc long, terms array<long>, amounts array<int>, norm double")
+    asked = spark.createDataFrame([(q, [1, 2 + q % 5], [1.0, 0.5]) for q in range(60)], "query long, terms array<long>, amounts array<double>")
+    found = retrieval.best_documents(asked, docs, 3).collect()
+    assert len(found) <= 60 * 3 * 2 * spark.sparkContext.defaultParallelism
+    best = {q: sorted((-r.score, r.doc) for r in found if r.query == q)[:3] for q in range(60)}
+    assert best == {q: [(-1.5, d) for d in range(q % 5, 15, 5)] for q in range(60)}
+
+
+def sides(n_queries, n_docs, words, seed, longest=12):
+    rng = np.random.default_rng(seed)
+    share = 1 / np.arange(1, words + 1)
+
+    def terms(n):
+        return [rng.choice(words, rng.integers(1, longest), False, share / share.sum()).tolist() for _ in range(n)]
+
+    asked, docs = terms(n_queries), terms(n_docs - n_docs // 4)
+    docs += [docs[0]] * (n_docs - len(docs))  # many copies, so that ids break ties
+    return (pa.table({"query": [f"q{i}" for i in range(n_queries)], "terms": asked, "amounts": [rng.random(len(x)).tolist() for x in asked]}),
+            pa.table({"doc": range(n_docs), "norm": [math.sqrt(len(x)) for x in docs], "terms": docs, "amounts": [[1.0] * len(x) for x in docs]}))
+
+
+@pytest.mark.parametrize("limits", [{}, {"FEW_CELLS": 0}, {"FEW_CELLS": 1, "QUERY_ROWS": 16, "DOCUMENT_ROWS": 64, "DOCUMENT_TERMS": 0},
+                                    {"BOUND_COLUMNS": 4, "DENSE_TERMS": 2, "PRODUCTS": 50, "DOCUMENT_ROWS": 64, "SPARSE_COST": 4}, {"longest": 90_000}])
+def test_best_are_those_of_the_whole_product(monkeypatch, limits):
+    for name, value in limits.items():
+        if name != "longest":
+            monkeypatch.setattr(retrieval, name, value)
+    queries, documents = sides(50, 600, 80, 5)
+    if "longest" in limits:  # then short floats are not sure enough
+        terms = list(range(80, 80 + limits["longest"]))
+        queries = pa.concat_tables([queries, pa.table({"query": ["long"], "terms": [terms], "amounts": [[0.5] * len(terms)]})])
+    best = retrieval._Best(queries, 4)
+    assert best.kind is (np.float64 if "longest" in limits else np.float32)
+    for start in range(0, 600, 150):
+        best.meet(documents.slice(start, 150))
+    got = sorted((r["query"], r["doc"], round(r["score"], 8)) for b in best.rows((pa.string(), pa.int64())) for r in b.to_pylist())
+    asked, held = ([dict(zip(r["terms"], r["amounts"])) for r in t.to_pylist()] for t in (queries, documents))
+    norms, expected = documents.column("norm").to_pylist(), []
+    for q, name in zip(asked, queries.column("query").to_pylist()):
+        scores = [(-round(sum(w * d[t] / n for t, w in q.items() if t in d), 9), i) for i, (d, n) in enumerate(zip(held, norms)) if q.keys() & d.keys()]
+        expected += [(name, i, round(-s, 8)) for s, i in sorted(scores)[:4]]
+    assert got == sorted(expected)
+
+
+def test_a_block_is_met_only_by_queries_it_can_serve(monkeypatch):
+    """Two languages share a rare word of no weight: once a query has good documents, blocks of the other one are left out."""
+    met = []
+    cells = retrieval._Best._cells
+    monkeypatch.setattr(retrieval._Best, "_cells", lambda self, rows, *a: (met.append(len(rows)), cells(self, rows, *a)))
+    monkeypatch.setattr(retrieval, "DOCUMENT_ROWS", 50)
+    queries = pa.table({"query": range(40), "terms": [[i % 2, 2] for i in range(40)], "amounts": [[1.0, 0.01]] * 40})
+    documents = pa.table({"doc": range(400), "norm": [1.0] * 400, "terms": [[i % 2, 2] for i in range(400)], "amounts": [[1.0, 1.0]] * 400})
+    best = retrieval._Best(queries, 3)
+    best.meet(documents.slice(0, 100))
+    assert sum(met) == 2 * 40
+    met.clear()
+    best.meet(documents.slice(100))
+    assert sum(met) == 6 * 20
+    assert {tuple(x) for x in best.place.tolist()} == {(0, 2, 4), (1, 3, 5)}
+
+
 def test_a_term_moves_once_for_each_chunk_of_texts(spark):
     """Two hundred copies of a text hold its seven terms 1400 times; what moves are seven names a chunk."""
     docs = spark.createDataFrame([(i, "aa bb cc dd") for i in range(200)], "doc_id long, text string").coalesce(1)

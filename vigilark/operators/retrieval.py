@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -53,12 +54,17 @@ def weights(counts: DataFrame, terms: DataFrame, id_column: str) -> DataFrame:
                           ).select(id_column, "term", "weight")
 
 
-#: Terms of texts that a task holds on each side at once, besides one text that has more by itself.
-QUERY_TERMS, DOCUMENT_TERMS = 2_000_000, 1_000_000
+#: Terms of texts that a task holds on each side at once, besides one text that has more by itself, and the most
+#: such chunks of documents that pass through a task.
+QUERY_TERMS, DOCUMENT_TERMS, SPAN = 2_000_000, 1_000_000, 16
 #: Rows of a block of scores within a task, and terms of a dense product or products of a sparse one at once.
 QUERY_ROWS, DOCUMENT_ROWS, DENSE_TERMS, PRODUCTS = 512, 4096, 512, 1 << 20
 #: A product by index costs as much as this many by matrix.
 SPARSE_COST = 256
+#: Scores are compared as they are rounded, to nine digits.
+ROUNDED = 1e-9
+#: Most columns of a block of which one score is looked at to find a bound, and the share of cells that are summed one by one.
+BOUND_COLUMNS, FEW_CELLS = 16, 1 / 32
 
 
 def text_norms(counts: DataFrame, terms: DataFrame, doc_id: str, heavy: int = 1 << 16) -> DataFrame:
@@ -77,115 +83,295 @@ def text_norms(counts: DataFrame, terms: DataFrame, doc_id: str, heavy: int = 1
     return parts.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def _entries(table: pa.Table, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, code, value) of the terms of ``table`` that are in ``codes``."""
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, value) of the terms of ``table``."""
     terms, values = (table.column(c).combine_chunks() for c in ("terms", "amounts"))
-    found = terms.flatten().to_numpy()
     row = np.repeat(np.arange(table.num_rows), pc.list_value_length(terms).to_numpy())
-    code = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
-    real = codes[code] == found
-    return row[real], code[real], values.flatten().to_numpy()[real]
-
-
-def _blocks(row: np.ndarray, code: np.ndarray, value: np.ndarray, rows: int, size: int):
-    """Consecutive rows at a time: first row, number of rows, and the entries by code with rows from 0."""
-    for start in range(0, rows, size):
-        some = slice(*np.searchsorted(row, [start, start + size]))
-        order = np.argsort(code[some], kind="stable")
-        yield start, min(size, rows - start), row[some][order] - start, code[some][order], value[some][order]
-
-
-def _products(left: tuple, right: tuple, n_codes: int) -> np.ndarray:
-    """The inner products of all rows of two blocks: terms in many rows by matrix, the others by index."""
-    (_, n_left, l_row, l_code, l_value), (_, n_right, r_row, r_code, r_value) = left, right
-    l_count, r_count = np.bincount(l_code, minlength=n_codes), np.bincount(r_code, minlength=n_codes)
-    often = l_count * r_count * SPARSE_COST > n_left * n_right
-    out = np.zeros((n_left, n_right))
-    dense = np.flatnonzero(often)
-    place = np.full(n_codes, -1)
-    for start in range(0, len(dense), DENSE_TERMS):
-        part = dense[start:start + DENSE_TERMS]
-        place[:] = -1
-        place[part] = np.arange(len(part))
-        sides = []
-        for n, row, code, value in ((n_left, l_row, l_code, l_value), (n_right, r_row, r_code, r_value)):
-            own = place[code]
-            side = np.zeros((n, len(part)))
-            side[row[own >= 0], own[own >= 0]] = value[own >= 0]
-            sides.append(side)
-        out += sides[0] @ sides[1].T
-    rare = np.flatnonzero(~often[l_code] & (r_count[l_code] > 0))
-    n = r_count[l_code[rare]]
-    first, ends, flat, at = np.cumsum(r_count) - r_count, np.cumsum(n), out.reshape(-1), 0
-    while at < len(rare):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PRODUCTS, "right")))
-        mine, many = rare[at:upto], n[at:upto]
-        begun = np.repeat(np.cumsum(many) - many, many)
-        other = np.repeat(first[l_code[mine]], many) + np.arange(many.sum()) - begun
-        np.add.at(flat, np.repeat(l_row[mine] * n_right, many) + r_row[other],
-                  np.repeat(l_value[mine], many) * r_value[other])
-        at = upto
+    return row, terms.flatten().to_numpy(), values.flatten().to_numpy()
+
+
+def _alike(row: np.ndarray, rank: np.ndarray, rows: int) -> np.ndarray:
+    """An order of the rows in which those with the same two commonest terms are neighbours."""
+    first = np.full(rows, np.iinfo(np.int64).max)
+    second = first.copy()
+    np.minimum.at(first, row, rank)
+    others = rank != first[row]
+    np.minimum.at(second, row[others], rank[others])
+    return np.lexsort((second, first))
+
+
+def _within(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The places of all members of groups that begin at ``first``."""
+    out = np.arange(many.sum())
+    out += np.repeat(first - (np.cumsum(many) - many), many)
     return out
 
 
-def _first(k: int, row: np.ndarray, col: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best cells of each row; documents are in the order of their ids, which breaks ties."""
-    order = np.lexsort((col, -score, row))
-    row, col, score = row[order], col[order], score[order]
-    best = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return row[best], col[best], score[best]
-
-
-def _best_documents(k: int, query_kind: pa.DataType, doc_kind: pa.DataType):
-    """The cogroup function: the ``k`` best of some documents for each of some queries."""
-    def search(queries: pa.Table, documents: pa.Table) -> pa.Table:
-        found = [], [], []
-        documents = documents.sort_by("doc")
-        asked = pc.unique(queries.column("terms").combine_chunks().flatten()).to_numpy()
-        codes = np.intersect1d(asked, pc.unique(documents.column("terms").combine_chunks().flatten()).to_numpy())
-        if len(codes):
-            norms = documents.column("norm").to_numpy()
-            lefts = list(_blocks(*_entries(queries, codes), queries.num_rows, QUERY_ROWS))
-            for right in _blocks(*_entries(documents, codes), documents.num_rows, DOCUMENT_ROWS):
-                for left in lefts:
-                    product = _products(left, right, len(codes))
-                    scores = np.round(product / norms[right[0]:right[0] + right[1]], 9)
-                    scores[product <= 0] = -1
-                    cut = np.partition(scores, -k, axis=1)[:, -k:-k + 1 or None] if right[1] > k else 0
-                    row, col = np.nonzero((scores >= cut) & (scores >= 0))
-                    row, col, score = _first(k, row, col, scores[row, col])
-                    for list_, more in zip(found, (left[0] + row, right[0] + col, score)):
-                        list_.append(more)
-        row, col, score = _first(k, *(np.concatenate(x) if x else np.array([], int) for x in found))
-        return pa.table({"query": queries.column("query").take(pa.array(row)).cast(query_kind),
-                         "doc": documents.column("doc").take(pa.array(col)).cast(doc_kind),
-                         "score": pa.array(score.astype(float))})
-
-    return search
+class _Block:
+    """Documents of a block by term: rows and values, and where each term begins."""
+
+    def __init__(self, row: np.ndarray, code: np.ndarray, value: np.ndarray, places: np.ndarray):
+        self.row, self.value, self.places = row, value, places
+        self.first = np.flatnonzero(np.diff(code, prepend=-1))
+        self.count = np.diff(np.append(self.first, len(code)))
+        self.codes = code[self.first]
+
+
+class _Best:
+    """The ``k`` best documents of each of some queries, among the documents met so far.
+
+    A block of scores is the sum of a product by matrix, over terms in many rows, and of single products by index. It
+    is of short floats, which with a bound on their error say which cells can be among the best; these are summed
+    in full. Queries and documents with the same common terms stand together, so that a block has terms of its own,
+    and a query is left out of a block whose terms cannot bring it to its ``k``-th best score.
+    """
+
+    def __init__(self, queries: pa.Table, k: int):
+        row, term, value = _entries(queries)
+        self.k, self.n = k, queries.num_rows
+        self.codes, code = np.unique(term, return_inverse=True)
+        self.rank = np.empty(len(self.codes), np.int64)
+        self.rank[np.argsort(-np.bincount(code, minlength=len(self.codes)), kind="stable")] = np.arange(len(self.codes))
+        order = _alike(row, self.rank[code], self.n)
+        place = np.empty(self.n, np.int64)
+        place[order] = np.arange(self.n)
+        by_row = np.argsort(place[row], kind="stable")
+        self.row, self.code, self.value = place[row][by_row], code[by_row], value[by_row]
+        self.queries = queries.column("query").take(pa.array(order)).combine_chunks()
+        self.score, self.place, self.keys = np.full((self.n, k), -1.0), np.zeros((self.n, k), np.int64), None
+        # A sum of n products is off by less than (n + 3) roundings of its value, in whichever order.
+        self.slack = 2 * (np.bincount(row, minlength=1).max() + 3) * 2.0 ** -24
+        self.kind = np.float32
+        if self.slack > 0.01:
+            self.slack, self.kind = self.slack * 2.0 ** -29, np.float64
+        # Memory that is used again for each block.
+        cells = QUERY_ROWS * DOCUMENT_ROWS
+        self.scores, self.passed = np.empty(cells, self.kind), np.empty(cells, bool)
+
+    def meet(self, documents: pa.Table) -> None:
+        """Compare all queries with some documents, whose ids come after those met before."""
+        if not len(self.codes):
+            return
+        n, base = documents.num_rows, 0 if self.keys is None else len(self.keys)
+        row, term, value = _entries(documents)
+        by = np.argsort(term)
+        code = np.minimum(np.searchsorted(self.codes, term[by]), len(self.codes) - 1)
+        real = self.codes[code] == term[by]
+        by, code = by[real], code[real]
+        row, value = row[by], value[by] / documents.column("norm").to_numpy()[row[by]]
+        # The first documents stay mixed: they give every query a score to pass.
+        order = _alike(row, self.rank[code], n) if base else np.arange(n)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        row = place[row]
+        block = row // DOCUMENT_ROWS
+        by = np.argsort(block.astype(np.min_scalar_type(n // DOCUMENT_ROWS)), kind="stable")
+        ends = np.searchsorted(block[by], np.arange(n // DOCUMENT_ROWS + 2))
+        for b, start in enumerate(range(0, n, DOCUMENT_ROWS)):
+            some = by[ends[b]:ends[b + 1]]
+            if len(some):
+                self._block(_Block(row[some] - start, code[some], value[some], base + order[start:start + DOCUMENT_ROWS]))
+        keys = documents.column("doc").combine_chunks()
+        self.keys = pa.concat_arrays([self.keys, keys]) if base else keys
+        if len(self.keys) > 2 * self.score.size + DOCUMENT_TERMS:
+            held, place = np.unique(self.place[self.score >= 0], return_inverse=True)
+            self.place[self.score >= 0] = place
+            self.keys = self.keys.take(pa.array(held))
+
+    def _block(self, right: _Block) -> None:
+        local = np.full(len(self.codes), -1)
+        local[right.codes] = np.arange(len(right.codes))
+        code = local[self.code]
+        known = np.flatnonzero(code >= 0)
+        row, code, value = self.row[known], code[known], self.value[known]
+        most = np.bincount(row, value * np.maximum.reduceat(right.value, right.first)[code], self.n)
+        rows = np.flatnonzero((most > 0) & (most >= self.score[:, -1] - ROUNDED))
+        place = np.full(self.n, -1)
+        place[rows] = np.arange(len(rows))
+        row = place[row]
+        known = np.flatnonzero(row >= 0)
+        row, code, value = row[known], code[known], value[known]
+        for start in range(0, len(rows), QUERY_ROWS):
+            some = slice(*np.searchsorted(row, [start, start + QUERY_ROWS]))
+            self._cells(rows[start:start + QUERY_ROWS], row[some] - start, code[some], value[some], right)
+
+    def _cells(self, rows: np.ndarray, row: np.ndarray, code: np.ndarray, value: np.ndarray, right: _Block) -> None:
+        """The scores of some queries and a block of documents."""
+        n_left, n_right, n_codes = len(rows), len(right.places), len(right.codes)
+        often = np.bincount(code, minlength=n_codes) * right.count * SPARSE_COST > n_left * n_right
+        dense, by_matrix, made = np.flatnonzero(often), often[code], {}
+
+        def sides(start: int) -> tuple[np.ndarray, np.ndarray]:
+            if start not in made:
+                made.clear()
+                part = dense[start:start + DENSE_TERMS]
+                place = np.full(n_codes, -1)
+                place[part] = np.arange(len(part))
+                own = place[code]
+                known = own >= 0
+                left, other = np.zeros((n_left, len(part))), np.zeros((n_right, len(part)))
+                left[row[known], own[known]] = value[known]
+                at = _within(right.first[part], right.count[part])
+                other[right.row[at], np.repeat(np.arange(len(part)), right.count[part])] = right.value[at]
+                made[start] = left, other
+            return made[start]
+
+        parts = range(0, len(dense), DENSE_TERMS)
+        scores = self.scores[:n_left * n_right].reshape(n_left, n_right)
+        if not parts:
+            scores[:] = 0
+        for start in parts:
+            left, other = (x.astype(self.kind, copy=False) for x in sides(start))
+            if start:
+                scores += left @ other.T
+            else:
+                np.matmul(left, other.T, out=scores)
+        rare_row, rare_code, rare_value = row[~by_matrix], code[~by_matrix], value[~by_matrix]
+        many = right.count[rare_code]
+        upto = np.cumsum(np.bincount(rare_row, many, n_left))
+        start = 0
+        while start < n_left:
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PRODUCTS, "right")))
+            some = slice(*np.searchsorted(rare_row, [start, stop]))
+            at = _within(right.first[rare_code[some]], many[some])
+            cell, product = right.row[at], right.value[at]
+            cell += np.repeat((rare_row[some] - start) * n_right, many[some])
+            product *= np.repeat(rare_value[some], many[some])
+            out = scores[start:stop]
+            np.add.at(out.reshape(-1), cell, product.astype(self.kind, copy=False))
+            found = self._found(out, rows[start:stop])
+            if len(found):
+                one, two = np.divmod(found, n_right)
+                if self.kind is np.float64:
+                    exact = out.reshape(-1)[found]
+                elif len(found) > out.size * FEW_CELLS:
+                    whole = np.zeros(out.shape)
+                    for p in parts:
+                        left, other = sides(p)
+                        whole += left[start:stop] @ other.T
+                    np.add.at(whole.reshape(-1), cell, product)
+                    exact = whole.reshape(-1)[found]
+                else:
+                    met = np.flatnonzero(self.passed[cell])
+                    exact = np.zeros(len(found))
+                    exact += np.bincount(np.searchsorted(found, cell[met]), product[met], len(found))
+                    for p in parts:
+                        left, other = sides(p)
+                        exact += np.einsum("ij,ij->i", left[start + one], other[two])
+                self._keep(rows[start:stop], one, right.places[two], np.round(exact, 9))
+            start = stop
+
+    def _found(self, out: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The cells of ``out`` that may be among the best, besides some that are not."""
+        cut = (self.score[rows, -1] - ROUNDED) * (1 - self.slack)
+        new, width = np.flatnonzero(self.score[rows, -1] < 0), out.shape[1] // BOUND_COLUMNS
+        if len(new) and width >= self.k:
+            # The k-th of the best cells of as many groups is no better than the k-th cell.
+            best = out[new, :width * BOUND_COLUMNS].reshape(len(new), BOUND_COLUMNS, width).max(axis=1)
+            cut[new] = (np.partition(best, -self.k, axis=1)[:, -self.k].astype(float) - ROUNDED) * (1 - 2 * self.slack)
+        passed = self.passed[:out.size]
+        np.greater_equal(out, np.maximum(cut, np.finfo(self.kind).tiny).astype(self.kind)[:, None], out=passed.reshape(out.shape))
+        # Few cells pass, so eight are looked at together.
+        whole = out.size // 8 * 8
+        some = np.flatnonzero(passed[:whole].view(np.uint64))
+        eight, one = np.nonzero(passed[:whole].reshape(-1, 8)[some])
+        return np.concatenate([some[eight] * 8 + one, whole + np.flatnonzero(passed[whole:])])
+
+    def _keep(self, rows: np.ndarray, row: np.ndarray, place: np.ndarray, score: np.ndarray) -> None:
+        """Put cells among the best of their rows; earlier places break ties."""
+        last = self.score[rows[row], -1]
+        better = (score > last) | ((score == last) & (place < self.place[rows[row], -1]))
+        row, place, score = row[better], place[better], score[better]
+        if not len(row):
+            return
+        own = np.unique(row)
+        row = np.concatenate([np.repeat(own, self.k), row])
+        place = np.concatenate([self.place[rows[own]].reshape(-1), place])
+        score = np.concatenate([self.score[rows[own]].reshape(-1), score])
+        order = np.lexsort((place, -score, row.astype(np.min_scalar_type(len(rows)))))
+        row, place, score = row[order], place[order], score[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        self.place[rows[own]] = place[first].reshape(-1, self.k)
+        self.score[rows[own]] = score[first].reshape(-1, self.k)
+
+    def rows(self, kinds: tuple[pa.DataType, pa.DataType]) -> Iterator[pa.RecordBatch]:
+        for start in range(0, self.n, 1 << 13):
+            row, col = np.nonzero(self.score[start:start + (1 << 13)] >= 0)
+            if len(row):
+                row += start
+                yield pa.RecordBatch.from_arrays([
+                    self.queries.take(pa.array(row)).cast(kinds[0]), self.keys.take(pa.array(self.place[row, col])).cast(kinds[1]),
+                    pa.array(self.score[row, col])], names=["query", "doc", "score"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """(task, whether documents, rows), with the terms of a chunk at most besides one text that has more by itself."""
+    for batch in batches:
+        task, document = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("task", "document"))
+        marks = [0, *(np.flatnonzero(np.diff(task * 2 + document)) + 1), batch.num_rows]
+        ends = np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy())
+        for start, stop in zip(marks, marks[1:]):
+            while start < stop:
+                upto = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + DOCUMENT_TERMS, "right"))
+                upto = min(stop, max(start + 1, upto))
+                yield task[start], document[start], batch.slice(start, upto - start)
+                start = upto
+
+
+def _search(k: int, kinds: tuple[pa.DataType, pa.DataType]):
+    """The function of a task: queries come first, then documents in the order of their ids, a chunk at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pieces in itertools.groupby(_pieces(batches), lambda piece: piece[0]):
+            best, held, size = None, [], 0
+            for _, document, piece in pieces:
+                if document and best is None:
+                    if not held:
+                        break
+                    best, held = _Best(pa.Table.from_batches(held), k), []
+                more = pc.sum(pc.list_value_length(piece.column("terms"))).as_py()
+                if document and held and size + more > DOCUMENT_TERMS:
+                    best.meet(pa.Table.from_batches(held))
+                    held, size = [], 0
+                held.append(piece)
+                size += more if document else 0
+            if best is not None:
+                best.meet(pa.Table.from_batches(held))
+                yield from best.rows(kinds)
+
+    return run
 
 
 def best_documents(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """(query, doc, score): the ``k`` best documents per query of every pair of chunks.
+    """(query, doc, score): the ``k`` best documents per query of every chunk of queries and span of documents.
 
     ``queries`` has (query, terms, amounts), ``documents`` (doc, norm, terms, amounts); terms are numbers. A task
-    multiplies a chunk of either side; pairs of a document and a query exist only as cells of its blocks.
+    holds a chunk of queries while a span of documents passes by; pairs of a document and a query exist only as
+    cells of its blocks.
     """
     def chunks(rows: DataFrame, most: int) -> int:
         return max(1, -(-(rows.agg(F.sum(F.size("terms"))).first()[0] or 0) // most))
 
     n_queries, n_documents = chunks(queries, QUERY_TERMS), chunks(documents, DOCUMENT_TERMS)
-
-    def dealt(rows: DataFrame, key: str, own: tuple[str, int], other: tuple[str, int]) -> DataFrame:
-        return rows.select("*", F.pmod(F.xxhash64(key), F.lit(own[1])).cast("int").alias(own[0]),
-                           F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))).alias(other[0]))
-
-    left, right = ("query_chunk", n_queries), ("document_chunk", n_documents)
+    # Long spans hand on fewer rows, but every core is to have some.
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    spans = min(n_documents, max(-(-n_documents // SPAN), -(-2 * cores // n_queries)))
     kinds = queries.schema["query"].dataType, documents.schema["doc"].dataType
+
+    def dealt(rows: DataFrame, key: str, own: tuple[int, int], other: tuple[int, int]) -> DataFrame:
+        """A row for each task: of its key's number among ``own``, and of every number of the others; both come with their step."""
+        first = (F.pmod(F.xxhash64(key), F.lit(own[0])) * own[1]).cast("int")
+        return rows.withColumns({"amounts": F.col("amounts").cast("array<double>"), "task": F.explode(
+            F.sequence(first, first + (other[0] - 1) * other[1], F.lit(other[1])))})
+
+    by_chunk, by_span = (n_queries, spans), (spans, 1)
+    asked = dealt(queries, "query", by_chunk, by_span).select(
+        "task", F.lit(False).alias("document"), "query", F.lit(None).cast(kinds[1]).alias("doc"), F.lit(0.0).alias("norm"), "terms", "amounts")
+    met = dealt(documents, "doc", by_span, by_chunk).select(
+        "task", F.lit(True).alias("document"), F.lit(None).cast(kinds[0]).alias("query"), "doc", "norm", "terms", "amounts")
     schema = T.StructType([T.StructField("query", kinds[0]), T.StructField("doc", kinds[1]), T.StructField("score", T.DoubleType())])
     return (
-        dealt(queries, "query", left, right).groupBy(left[0], right[0])
-        .cogroup(dealt(documents, "doc", right, left).groupBy(left[0], right[0]))
-        .applyInArrow(_best_documents(k, *map(to_arrow_type, kinds)), schema)
+        asked.unionByName(met).repartitionById(n_queries * spans, "task").sortWithinPartitions("task", "document", "doc")
+        .mapInArrow(_search(k, tuple(map(to_arrow_type, kinds))), schema)
     )
 
 
@@ -381,8 +567,8 @@ def tfidf_search(corpus: DataFrame, queries: DataFrame, k: int = 10,
     """(query_id, doc_id, score, rank): the ``k`` most similar documents by cosine.
 
     Documents that share no term with the query are not listed. Only the asked
-    terms of documents meet queries, as products of chunks of both, which hand
-    on their best rows only. The rows of an id that occurs more than once are
+    terms of documents meet queries, as products of blocks of both in a task, which
+    hands on its best rows only. The rows of an id that occurs more than once are
     one text; then, or with a vocabulary of a given size, a row per text and
     term moves.
     """
