@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import zlib
 from collections.abc import Callable, Iterator
@@ -337,6 +338,8 @@ def _search(k: int, kinds: tuple[pa.DataType, pa.DataType]):
             if best is not None:
                 best.meet(pa.Table.from_batches(held))
                 yield from best.rows(kinds)
+        best = held = None
+        _give_back()
 
     return run
 
@@ -407,6 +410,14 @@ def _counted_sides(corpus: DataFrame, queries: DataFrame, doc_id: str, query_id:
 CHUNK_WORDS, BIN_CHARS, LEAST_BINS = 800_000, 1 << 23, 32
 
 
+def _give_back() -> None:
+    """Return freed memory to the system; a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
@@ -478,6 +489,8 @@ def coded_texts(texts: DataFrame, key: str, bins: int, stop_words: list[str], as
                     chunk, held, size = chunk + 1, [], 0
         if held:
             yield from numbered()
+        held.clear()
+        _give_back()
 
     # A table of few pieces would keep most cores idle.
     if texts.rdd.getNumPartitions() < texts.sparkSession.sparkContext.defaultParallelism:
